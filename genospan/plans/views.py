@@ -21,7 +21,10 @@ CHROMS = ["AF", "NF", "NO", "RF", "AO", "RO"]
 
 _CHROM_CASE = "CASE {k} % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CHROMS)) + " END"
 _START = "DAYS(l_shipdate) * 100 + l_orderkey % 100"
-_FID = "((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"
+_FID = (
+    "((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000"
+    " + (l_suppkey * 50 + CAST(l_quantity AS BIGINT)) % 10000"
+)
 _Q = "CAST(l_quantity AS BIGINT)"
 _HEX = "concat(md5(CAST({fid} AS VARCHAR(40))), md5(concat('x', CAST({fid} AS VARCHAR(40)))))"
 

@@ -187,10 +187,10 @@ def order_statistics(
     distribution looks like; the approximation only places the cuts.
     """
     by = list(by)
-    keys = ["__all", *by]
+    keys = ["__one", *by]
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(F.lit(0).alias("__all"), *by, F.col(value).cast("double").alias("__v"))
+        .groupBy(F.lit(0).alias("__one"), *by, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     cuts = [i / blocks for i in range(1, blocks)]

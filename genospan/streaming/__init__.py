@@ -1,0 +1,7 @@
+"""Streaming note.
+
+The line parsers in :mod:`genospan.sources` take a DataFrame with a ``value``
+column, so those that need no line order (BED, VCF rows, SAM, BEDPE and so on)
+accept the result of ``spark.readStream.text(...)`` unchanged.  There are no
+streaming operators of their own: the product this library follows has none.
+"""
