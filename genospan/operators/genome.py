@@ -137,7 +137,8 @@ def alias_table_from_records(records: DataFrame, chromosomes: DataFrame | None =
     The canonical name is the first name known to ``chromosomes``, else the first
     name of the row.  Case and ``chr`` prefix variants of it are added.
     """
-    rows = records.select(F.monotonically_increasing_id().alias("__r"), F.posexplode("names").alias("__i", "alias"))
+    # A record is known by its own names, so the key is the same on every evaluation.
+    rows = records.select(F.concat_ws("\t", "names").alias("__r"), F.posexplode("names").alias("__i", "alias"))
     if chromosomes is not None:
         known = chromosomes.select(F.col("chr").alias("alias"), F.lit(True).alias("__known"))
         rows = rows.join(known, "alias", "left")

@@ -56,7 +56,7 @@ def with_cds(exons: Column, cds_start: Column, cds_end: Column) -> Column:
 
 def attributes_of(text: Column) -> Column:
     """``k=v;k=v`` to a map; pairs without a key or a value are dropped."""
-    pairs = F.filter(F.transform(F.split(text, ";"), F.trim), lambda p: p.rlike("^[^=]+=.+"))
+    pairs = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda p: p.rlike("^[^=]+=.+"))
     entries = F.transform(
         pairs, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))), F.trim(F.regexp_replace(p, "^[^=]+=", "")))
     )
@@ -350,7 +350,7 @@ def parse_gff(lines: DataFrame, kind: str = "gff3") -> DataFrame:
     gff3 = kind == "gff3"
     delim = "=" if gff3 else " "
     t = content(lines).select(F.split("value", "\t").alias("t")).where(F.size("t") >= 9)
-    pairs = F.filter(F.transform(F.split(field(8), ";"), F.trim), lambda p: p.rlike(f"^[^{delim}]+{delim}.+"))
+    pairs = F.filter(F.transform(F.split(field(8), ";"), lambda x: F.trim(x)), lambda p: p.rlike(f"^[^{delim}]+{delim}.+"))
 
     def clean(x: Column) -> Column:
         text = percent_decode(F.trim(x))
