@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from genospan.functions import locus as L
 from genospan.functions.sequence import lookup
-from genospan.scale import islands
+from genospan.scale import cut_lineage, islands
 
 # Row types of the transcript model.
 TRANSCRIPT_TYPES = [
@@ -75,10 +75,12 @@ def exon_table(rows: DataFrame, kind: str = "gff3") -> DataFrame:
     if kind == "gff3":
         known = rows.where(is_transcript() & F.col("id").isNotNull()).select(F.col("id").alias("tid")).distinct()
         parts = parts.join(known, "tid", "left_semi")
+    # The parts are read by several branches below, so they are written once.
+    parts = cut_lineage(parts)
     key = ["tid", "chr", "strand"]
     exons = parts.where(F.col("type").isin(EXON_TYPES)).select(*key, "start", "end").distinct()
     bits = parts.where(F.col("type").isin(CODING_TYPES + UTR_TYPES))
-    merged = islands(bits, key).select(*key, "start", "end")
+    merged = cut_lineage(islands(bits, key).select(*key, "start", "end"))
     covered = (
         merged.alias("m")
         .join(exons.alias("e"), key)
@@ -97,14 +99,14 @@ def exon_table(rows: DataFrame, kind: str = "gff3") -> DataFrame:
     inside = inside.unionByName(lone, allowMissingColumns=True)
     coding, utr = F.col("type").isin(CODING_TYPES), F.col("type").isin(UTR_TYPES)
     first = F.when(F.col("strand") == "+", F.col("ps")).otherwise(-F.col("ps"))
-    tagged = inside.groupBy(*key, "start", "end", "made").agg(
+    tagged = cut_lineage(inside.groupBy(*key, "start", "end", "made").agg(
         F.min(F.when(coding, F.col("ps"))).alias("c1"),
         F.max(F.when(coding, F.col("pe"))).alias("c2"),
         F.max(F.when(utr & (F.col("ps") == F.col("start")) & (F.col("pe") == F.col("end")), True)).alias("whole_utr"),
         F.max(F.when(utr & (F.col("pe") < F.col("end")), F.col("pe"))).alias("u_left"),
         F.min(F.when(utr & (F.col("ps") > F.col("start")), F.col("ps"))).alias("u_right"),
         F.min_by(F.when(coding, F.col("reading_frame")), F.when(coding & F.col("reading_frame").isNotNull(), first)).alias("reading_frame"),
-    )
+    ))
     # A UTR may cut the coding end only where no coding part reaches farther.
     cds_start = F.coalesce("u_left", "c1")
     cds_end = F.when(F.col("c2").isNull() | (F.col("u_right") > F.col("c2")), F.coalesce("u_right", "c2")).otherwise(F.col("c2"))

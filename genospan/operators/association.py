@@ -60,7 +60,7 @@ def normalize_contacts(contacts: DataFrame, vectors: DataFrame) -> DataFrame:
     product = F.col("nv1") * F.col("nv2")
     joined = contacts.join(side(1), ["chr", "bin1"]).join(side(2), ["chr", "bin2"])
     good = joined.where((product != 0) & ~F.isnan(product))
-    return good.withColumn("value", F.col("counts") / product).drop("nv1", "nv2")
+    return good.withColumn("value", F.try_divide(F.col("counts"), product)).drop("nv1", "nv2")
 
 
 def off_diagonal(contacts: DataFrame, distance: int = DIAGONAL) -> DataFrame:
@@ -94,7 +94,7 @@ def contact_filter(contacts: DataFrame, bin_size: int, by: Sequence[str] = ("chr
     far = off_diagonal(contacts, distance)
     bounds = contact_percentiles(far, by, **limits)
     kept = far.join(bounds, by).where(F.col("value") >= F.col("threshold"))
-    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
+    share = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
     score = F.when(F.col("low").isNull(), F.lit(None)).when(
         F.col("high") > F.col("low"), F.floor(200 + F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 600 + 0.5)
     ).otherwise(800)
@@ -169,7 +169,7 @@ def splice_junction_filter(
         drop.append(seen < min_ends_visible)
     unique, multi = num("uniquely_mapped"), num("multi_mapped")
     total = unique + multi
-    drop += [unique < min_unique, total < min_total, (total > 0) & (multi / total > max_multi_fraction)]
+    drop += [unique < min_unique, total < min_total, F.try_divide(multi, total) > max_multi_fraction]
     drop.append(unique.isNotNull() & (num("maximum_spliced_alignment_overhang") < min_overhang))
     count = num("num_samples_with_this_junction")
     if min_samples:
@@ -177,7 +177,7 @@ def splice_junction_filter(
     if max_samples:
         drop.append(count > max_samples)
     if min_percent:
-        percent = 100 * count / num("num_samples_total")
+        percent = F.try_divide(100 * count, num("num_samples_total"))
         drop.append((percent < min_percent) | (percent > max_percent))
     kept = junctions
     for test in drop:

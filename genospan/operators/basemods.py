@@ -45,14 +45,14 @@ def _mod_sets(mm: str, ml, seq: str, reverse: bool):
         implicit = head.endswith(".")
         codes = _split_codes(head[2:].rstrip(".?"))
         sites = np.arange(len(raw)) if base == "N" else np.flatnonzero(raw == ord(base))
-        nth = np.cumsum(np.array([int(s) for s in skips]) + 1) - 1
+        nth = np.cumsum(np.array([int(s) for s in skips], dtype=int) + 1) - 1
         nth = nth[nth < len(sites)]
         hit = sites[nth]
         n, k = len(hit), len(codes)
         if ml is None:
             grid = np.full((n, k), 255)
         else:
-            grid = np.asarray(ml[used : used + n * k]).reshape(n, k)
+            grid = np.asarray(ml[used : used + n * k], dtype=int).reshape(n, k)
             used += n * k
         skipped = np.setdiff1d(sites, hit) if implicit else sites[:0]
         where = np.concatenate([hit, skipped])
@@ -187,7 +187,7 @@ def base_mod_counts(calls: DataFrame, threshold: float = 0.5, include_no_mods: b
         F.sum(F.when(over, 1).otherwise(0)).alias("count"),
         F.sum(F.when(over, F.col("likelihood")).otherwise(0)).alias("likelihood_sum"),
     )
-    average = F.col("likelihood_sum") / F.col("count") * 100 / 255
+    average = F.try_divide(F.col("likelihood_sum"), F.col("count")) * 100 / 255
     return counted.withColumn("average_percent", F.when(F.col("count") > 0, average))
 
 
@@ -218,7 +218,7 @@ def mod_fraction(counts: DataFrame, pile: DataFrame, simplex: DataFrame) -> Data
 
     modifiable = of(F.col("base"), "both") + of(partner, "both")
     detectable = F.when(F.col("is_simplex"), of(F.col("base"), "pos") + of(partner, "neg")).otherwise(modifiable)
-    value = (modifiable / F.col("total")) * (F.col("count") / detectable)
+    value = F.try_divide(modifiable, F.col("total")) * F.try_divide(F.col("count"), detectable)
     return (
         j.where((detectable > 0) & (F.col("total") > 0) & (F.col("count") > 0))
         .select("chr", F.col("position").alias("pos"), "base", "strand", "mod", "count", value.alias("fraction"))

@@ -172,7 +172,7 @@ def attach_gc(bins: DataFrame, gc: DataFrame, bin_size: int) -> DataFrame:
     sums = gc.groupBy("chr", (F.floor(F.col("start") / bin_size) * bin_size).alias("start")).agg(
         F.sum("gc_count").alias("g"), F.sum("at_count").alias("a")
     )
-    percent = F.floor(F.col("g") * 100 / (F.col("g") + F.col("a")) + 0.5).cast("int")
+    percent = F.floor(F.try_divide(F.col("g") * 100, F.col("g") + F.col("a")) + 0.5).cast("int")
     return bins.join(sums, ["chr", "start"], "left").withColumn("gc", percent).drop("g", "a")
 
 
@@ -187,7 +187,7 @@ def gc_correct(bins: DataFrame, global_mean: DataFrame) -> DataFrame:
     total = global_mean.select("mean").scalar()
     factors = per_class.select("gc", mean.alias("class_mean"))
     out = bins.join(F.broadcast(factors), "gc", "left").withColumn("global_mean", total)
-    corrected = F.floor(F.col("score") * F.col("global_mean") / F.col("class_mean") + 0.5)
+    corrected = F.floor(F.try_divide(F.col("score") * F.col("global_mean"), F.col("class_mean")) + 0.5)
     return out.withColumn("corrected", corrected).drop("class_mean", "global_mean")
 
 
@@ -410,7 +410,7 @@ def combined_segments(
 
 def copy_number_tracks(bins: DataFrame, stats: DataFrame, column: str = "score") -> DataFrame:
     """Copy number = score / global mean x 2."""
-    return bins.withColumn("__m", stats.select("mean").scalar()).withColumn("value", F.col(column) / F.col("__m") * 2).drop("__m")
+    return bins.withColumn("__m", stats.select("mean").scalar()).withColumn("value", F.try_divide(F.col(column), F.col("__m")) * 2).drop("__m")
 
 
 def baf_tracks(levels: DataFrame, factor: float = -1.0) -> DataFrame:

@@ -139,7 +139,7 @@ def choose_level(levels: Sequence[int], bp_per_pixel: float) -> int | None:
 def level_values(rollup: DataFrame, level: int, how: str = "mean") -> DataFrame:
     """One zoom level as signal. ``level`` prunes partitions when the roll-up is stored by level."""
     pick = {
-        "mean": F.col("sum_value") / F.col("valid_count"),
+        "mean": F.try_divide("sum_value", "valid_count"),
         "min": F.col("min_value"),
         "max": F.col("max_value"),
     }[how]
@@ -161,8 +161,8 @@ def rollup_statistics(rollup: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.min("min_value").alias("min_value"),
         F.max("max_value").alias("max_value"),
     )
-    out = stats.withColumn("mean", F.col("__s") / F.col("n")).withColumn(
-        "stddev", F.when(F.col("n") > 1, F.sqrt(F.col("__q") / (F.col("n") - 1)))
+    out = stats.withColumn("mean", F.try_divide("__s", "n")).withColumn(
+        "stddev", F.when(F.col("n") > 1, F.sqrt(F.try_divide(F.col("__q"), F.col("n") - 1)))
     )
     low = F.when(F.col("min_value") < 0, F.col("mean") - 2 * F.col("stddev")).otherwise(F.lit(0.0))
     high = F.when(F.col("max_value") > 0, F.col("mean") + 2 * F.col("stddev")).otherwise(F.lit(0.0))

@@ -248,10 +248,10 @@ def props_attribute(spark, sf):
 
 def bases(spark, sf):
     d = V.spread(V.table(spark, sf, "documents"), "doc_id")
-    return d.select("doc_id", F.regexp_replace(F.translate(F.upper("text"), "EIONRS", "ACGTGA"), "[^ACGT]", "").alias("seq"))
+    return d.select("doc_id", F.regexp_replace(F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "EIONRS", "ACGTGA"), "[^ACGT]", "").alias("seq"))
 
 
-_SEQ = "sq AS (SELECT doc_id, regexp_replace(translate(upper(text), 'EIONRS', 'ACGTGA'), '[^ACGT]', '', 'g') AS seq FROM documents)"
+_SEQ = "sq AS (SELECT doc_id, regexp_replace(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'EIONRS', 'ACGTGA'), '[^ACGT]', '', 'g') AS seq FROM documents)"
 
 
 @query("reverse_complement", f"WITH {_SEQ} SELECT doc_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc FROM sq")

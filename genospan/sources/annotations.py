@@ -290,7 +290,7 @@ def parse_psl(lines: DataFrame) -> DataFrame:
         long_field(16).alias("end"),
         F.substring(field(8), 1, 1).alias("strand"),
         field(9).alias("name"),
-        F.floor(1000 * net / q_size).alias("score"),
+        F.floor(F.try_divide(1000 * net, q_size)).alias("score"),
         *[
             long_field(i).alias(c)
             for i, c in enumerate(["matches", "mismatches", "rep_matches", "n_count", "q_num_insert", "q_base_insert", "t_num_insert", "t_base_insert"])
