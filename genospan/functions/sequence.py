@@ -36,11 +36,17 @@ def codon_table() -> dict[str, str]:
 
 
 def codons(seq: Column, frame: int) -> Column:
-    """Whole codons of reading frame 0, 1 or 2."""
-    usable = F.length(seq) - frame
-    starts = F.sequence(F.lit(0), F.floor(usable / 3).cast("int") - 1)
-    cut = F.transform(starts, lambda i: F.substring(seq, i * 3 + frame + 1, F.lit(3)))
-    return F.when(usable >= 3, cut).otherwise(F.array().cast("array<string>"))
+    """Whole codons of reading frame 0, 1 or 2, cut in one pass over the text."""
+    return F.regexp_extract_all(F.substring(seq, F.lit(frame + 1), F.length(seq)), F.lit("(?s)(.{3})"), F.lit(1))
+
+
+def amino_acid(codon: Column) -> Column:
+    """Amino acid of an upper-case codon by its rank in T, C, A, G order; empty when unknown."""
+    digit = lambda i: F.instr(F.lit("TCAG"), F.substring(codon, i, 1))
+    a, b, c = digit(1), digit(2), digit(3)
+    acids = F.array(*[F.lit("STOP" if x == "*" else x) for x in AMINO_ACIDS])
+    known = (a > 0) & (b > 0) & (c > 0)
+    return F.when(known, F.get(acids, a * 16 + b * 4 + c - 21)).otherwise("")
 
 
 def translate_frame(seq: Column, frame: int, reverse: bool = False) -> Column:
@@ -49,9 +55,8 @@ def translate_frame(seq: Column, frame: int, reverse: bool = False) -> Column:
     In reverse mode each codon is read backwards: the caller passes the already
     complemented strand in forward order.
     """
-    table = codon_table()
-    read = (lambda c: F.upper(F.reverse(c))) if reverse else F.upper
-    return F.transform(codons(seq, frame), lambda c: F.coalesce(lookup(read(c), table), F.lit("")))
+    read = (lambda c: F.upper(F.reverse(c))) if reverse else (lambda c: F.upper(c))
+    return F.transform(codons(seq, frame), lambda c: amino_acid(read(c)))
 
 
 def translate_3_frames(seq: Column, reverse: bool = False) -> list[Column]:

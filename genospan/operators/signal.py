@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genospan.scale import BLOCK_BP, block_of, ordered_scan
+from genospan.scale import BLOCK_BP, block_of, label_runs, ordered_scan
 
 
 def finite_only(signal: DataFrame, column: str = "value") -> DataFrame:
@@ -77,13 +77,15 @@ def merge_equal_neighbours(
 ) -> DataFrame:
     """Join touching neighbours that carry the same value."""
     by, order = list(by), list(order)
-    block = block_of(order[0], block_bp)
-    prev = ordered_scan(
-        signal, by, order, block, __prev=("lag", F.struct(F.col("value").alias("value"), F.col("end").alias("end")))
+    runs = label_runs(
+        signal,
+        by,
+        order,
+        block_of(order[0], block_bp),
+        F.struct(F.col("value").alias("value"), F.col("end").alias("end")),
+        lambda prev: ~((F.col("value") == prev["value"]) & (F.col("start") <= prev["end"])),
+        "__run",
     )
-    same = (F.col("value") == F.col("__prev.value")) & (F.col("start") <= F.col("__prev.end"))
-    marked = prev.withColumn("__open", F.when(~F.coalesce(same, F.lit(False)), F.struct(*order)))
-    runs = ordered_scan(marked, by, order, block, __run=("last", F.col("__open")))
     return (
         runs.groupBy(*by, "__run", "value")
         .agg(F.min("start").alias("start"), F.max_by("end", F.struct(*order)).alias("end"))

@@ -9,7 +9,7 @@ result, the partial results are scanned, and the carry is joined back.
 from __future__ import annotations
 
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,6 +112,47 @@ def ordered_scan(
     return joined.select(*df.columns, *[c.alias(n) for n, c in locals_])
 
 
+def label_runs(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    carry: Column,
+    starts_new: Callable[[Column], Column],
+    name: str = "run",
+) -> DataFrame:
+    """Number runs of rows: ``name`` is the key of the row that opened the run.
+
+    ``carry`` is what a row shows to the next one; ``starts_new(previous)`` says
+    whether a row opens a run.  The rows are shuffled once on (by, block); each
+    block reports its first row, its last ``carry`` and its last opening.
+    """
+    by, blk, key = list(by), "__blk", F.struct(*order)
+    inside = Window.partitionBy(*by, blk).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*by).orderBy(blk)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    opens = lambda prev: F.coalesce(starts_new(prev["v"]), F.lit(True))
+
+    rows = df.withColumn(blk, block).withColumn("__box", F.struct(carry.alias("v")))
+    rows = rows.withColumn("__lp", F.lag("__box").over(inside))
+    inner = F.when(F.col("__lp").isNotNull() & opens(F.col("__lp")), key)
+    rest = [c for c in df.columns if c not in by]
+    per_block = rows.groupBy(*by, blk).agg(
+        F.min_by(F.struct(*rest), key).alias("__first"),
+        F.max_by("__box", key).alias("__last"),
+        F.max(inner).alias("__inner"),
+    )
+    table = per_block.select(*by, blk, "__first.*", "__inner", F.lag("__last").over(across).alias("__cp"))
+    opened = F.coalesce("__inner", F.when(F.col("__cp").isNull() | opens(F.col("__cp")), key))
+    carried = table.select(*by, blk, "__cp", F.last(opened, ignorenulls=True).over(earlier).alias("__co"))
+    met = rows.join(carried, [*by, blk], "left").withColumn("__p", F.coalesce("__lp", "__cp"))
+    here = F.when(F.col("__p").isNull() | opens(F.col("__p")), key)
+    return met.withColumn("__open", here).select(
+        *df.columns, F.coalesce(F.last("__open", ignorenulls=True).over(upto), F.col("__co")).alias(name)
+    )
+
+
 def islands(
     df: DataFrame,
     by: Sequence[str],
@@ -173,7 +214,7 @@ def order_statistics(
     ranks: dict[str, Column],
     by: Sequence[str] = (),
     *,
-    blocks: int = 256,
+    blocks: int = 16,
 ) -> DataFrame:
     """Exact order statistics: the value at 0-based sorted position ``rank``.
 
@@ -182,7 +223,7 @@ def order_statistics(
     group comes back, with the count ``n``.
 
     Equal values are counted first (map-side combined).  The distinct values of a
-    group are then cut into ``blocks`` pieces at approximate quantiles, so the
+    group are then cut into 16 x ``blocks`` pieces at approximate quantiles, so the
     running count is a blocked scan whose pieces are balanced whatever the
     distribution looks like; the approximation only places the cuts.
     """
@@ -193,14 +234,20 @@ def order_statistics(
         .groupBy(F.lit(0).alias("__one"), *by, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    cuts = [i / blocks for i in range(1, blocks)]
+    step = 16
+    cuts = [i / (blocks * step) for i in range(1, blocks * step)]
     shape = counts.groupBy(*keys).agg(
         F.percentile_approx("__v", cuts, 10_000).alias("__q"), F.sum("__c").alias("n")
     )
+    # Two short look-ups, among every 16th cut and then inside the stretch, find the block.
+    marks = F.filter("__q", lambda q, i: (i + 1) % step == 0)
+    marked = shape.withColumn("__m", marks)
+    below = lambda cut: cut <= F.col("__v")
     placed = (
-        counts.join(shape, keys)
-        .withColumn("__b", F.size(F.filter("__q", lambda q: q <= F.col("__v"))).cast("long"))
-        .drop("__q")
+        counts.join(marked, keys)
+        .withColumn("__k", F.size(F.filter("__m", below)))
+        .withColumn("__b", (F.col("__k") * step + F.size(F.filter(F.slice("__q", F.col("__k") * step + 1, F.lit(step - 1)), below))).cast("long"))
+        .drop("__q", "__m", "__k")
     )
     scanned = ordered_scan(placed, keys, ["__v"], F.col("__b"), __upto=("sum", F.col("__c")))
     picks = []

@@ -39,6 +39,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", os.environ.get("GENOSPAN_DRIVER_MEMORY", "8g"))
         )
     if shuffle_partitions:
