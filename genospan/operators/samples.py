@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genospan.scale import ordered_scan
+
 
 def attach_sample_info(df: DataFrame, attributes: DataFrame, mapping: DataFrame | None = None, sample: str = "sample") -> DataFrame:
     """Attributes of every row's sample; a mapping table renames samples first."""
@@ -39,18 +41,22 @@ def attribute_ranges(attributes: DataFrame) -> DataFrame:
 def group_counts(attributes: DataFrame, attribute: str, ascending: bool = True) -> DataFrame:
     """Samples per value of one attribute, in display order (``group_index``).
 
-    Texts come before numbers when ascending.  The counts are reduced before they
-    are ranked.
+    Texts come before numbers when ascending.  The counts are reduced first; the
+    display position is a blocked running count over the distinct values, cut by
+    the first letters of a text or the thousands of a number.
     """
-    from pyspark.sql import Window
-
     counts = (
         attributes.where((F.col("attribute") == attribute) & ((F.col("str_value") != "") | (F.col("num_value") != 0)))
         .groupBy("str_value", "num_value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("__one", F.lit(1))
+        .withColumn("__num", F.col("num_value").isNotNull())
+    )
+    block = F.struct("__num", F.substring("str_value", 1, 3).alias("s"), F.floor(F.col("num_value") / 1000).alias("k"))
+    ranked = ordered_scan(
+        counts, ["__one"], ["__num", "str_value", "num_value"], block, reverse=not ascending, __at=("sum", F.lit(1))
     )
-    order = _attribute_order(ascending)
-    return counts.withColumn("group_index", F.row_number().over(Window.orderBy(*order)) - 1)
+    return ranked.select("str_value", "num_value", "n", (F.col("__at") - 1).cast("int").alias("group_index"))
 
 
 def _attribute_order(ascending: bool):

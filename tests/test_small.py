@@ -223,6 +223,8 @@ def test_writers_and_shards(spark, tmp_path):
     sinks.write_intervals(df, str(tmp_path / "p"), partitions=4)
     back = spark.read.parquet(str(tmp_path / "p"))
     assert I.range_query(back, "c1", 100, 200).count() == sum(r[0] == "c1" and r[1] <= 200 and r[2] >= 100 for r in rows)
+    plan = I.range_query(back, "c1", 100, 200)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(chr" in plan and "LessThanOrEqual(start,200)" in plan
     sinks.write_bed(df, str(tmp_path / "b"))
     assert detect.read_any(spark, str(tmp_path / "b"), "bed").select("chr", "start", "end", "name").exceptAll(df).count() == 0
     sinks.write_features(df, str(tmp_path / "j"))
