@@ -151,6 +151,36 @@ def assemble_transcripts(rows: DataFrame, kind: str = "gff3") -> DataFrame:
     return out
 
 
+def combine_features(rows: DataFrame, kind: str = "gff3") -> DataFrame:
+    """All features of a GFF or GTF table: assembled transcripts and everything they did not use.
+
+    A gene with a transcript, and a part with a known transcript, are used up.
+    Rows of one ID outside the model are combined first (GFF3); their pieces are
+    in ``pieces``.
+    """
+    base = gff_type_filter(rows)
+    if kind == "gff3":
+        base = combine_by_id(base).withColumnRenamed("exons", "pieces")
+    base = cut_lineage(base)
+    transcripts = assemble_transcripts(base.drop("pieces"), kind)
+    known = transcripts.select(F.col("id").alias("tid"))
+    is_gene = (F.col("type") == "gene") | F.col("type").endswith("_gene")
+    is_tx = is_transcript() & F.col("id").isNotNull()
+    others = base.where(~is_tx)
+    genes = others.where(is_gene)
+    used = transcripts.where(F.col("gene_id").isNotNull()).select(F.col("gene_id").alias("id")).distinct()
+    lone_genes = genes.join(used, "id", "left_anti")
+    parts = others.where(~is_gene & is_part() & F.col("parent").isNotNull())
+    place = ["chr", "start", "end", "type", "parent"]
+    taken = parts.select(*place, F.explode(F.split(F.trim("parent"), ",")).alias("tid")).join(known, "tid", "left_semi")
+    lone_parts = parts.join(taken.select(*place).distinct(), place, "left_anti")
+    rest = others.where(~is_gene & ~(is_part() & F.col("parent").isNotNull()))
+    left_over = rest.unionByName(lone_parts).unionByName(lone_genes.select(*rest.columns))
+    named = left_over.withColumn("name", feature_name())
+    keep = [c for c in ("id", "chr", "strand", "start", "end", "type", "name", "pieces") if c in named.columns]
+    return transcripts.unionByName(named.select(*keep), allowMissingColumns=True)
+
+
 def feature_name(fields: Sequence[str] = NAME_FIELDS, attributes: str = "attributes") -> Column:
     """The first attribute of the list that has a value."""
     return F.coalesce(*[F.nullif(F.try_element_at(attributes, F.lit(f)), F.lit("")) for f in fields])

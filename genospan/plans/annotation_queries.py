@@ -104,6 +104,39 @@ def combine_by_id(spark, sf):
     return c.select("chr", "id", "start", "end", F.coalesce(F.size("exons"), F.lit(-1)).alias("parts"))
 
 
+@query(
+    "combine_features",
+    with_views(
+        """SELECT 'mRNA' AS type, count(DISTINCT o_custkey) AS n, NULL::BIGINT AS s FROM orders
+           UNION ALL SELECT 'match', count(*), CAST(sum(x) AS BIGINT) FROM (SELECT min(start) AS x FROM features GROUP BY chr, sample) m""",
+        "features",
+    ),
+)
+def combine_features(spark, sf):
+    matches = feature_lines(
+        spark, sf, "chr", lambda: F.lit("src"), lambda: F.lit("match"), lambda: s(F.col("start") + 1), "end", lambda: F.lit("."), lambda: F.lit("+"),
+        lambda: F.lit("."), lambda: F.concat(F.lit("ID=m"), s("sample")),
+    )
+    both = A.combine_features(parse_gff(gff_lines(spark, sf).unionByName(matches)))
+    start = F.sum(F.when(F.col("type") == "match", F.col("start")))
+    return both.groupBy("type").agg(F.count(F.lit(1)).alias("n"), start.alias("s"))
+
+
+@query(
+    "exon_phase",
+    with_views("SELECT fid, CAST((3 - fid % 3) % 3 AS INT) AS phase, \"end\" - start AS coding FROM features", "features"),
+)
+def exon_phase(spark, sf):
+    f = V.features(spark, sf).select(
+        "fid",
+        F.struct(
+            "start", "end", F.lit(None).cast("long").alias("cds_start"), F.lit(None).cast("long").alias("cds_end"),
+            F.lit(False).alias("utr"), (F.col("fid") % 3).cast("int").alias("reading_frame"),
+        ).alias("e"),
+    )
+    return f.select("fid", A.exon_phase(F.col("e")).cast("int").alias("phase"), A.coding_length(F.col("e")).alias("coding"))
+
+
 def transcripts(spark, sf):
     return A.assemble_transcripts(parse_gff(gff_lines(spark, sf)))
 
