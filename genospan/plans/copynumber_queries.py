@@ -81,9 +81,18 @@ def baf_levels(spark, sf):
     return C.baf_levels(C.baf_likelihood(snps(spark, sf), BIN))
 
 
-@query("baf_tracks")
+@query(
+    "baf_tracks",
+    with_views(
+        f"""WITH {_SNPS}, {_LL}, t AS (SELECT chr, start, arg_max(ix, (round(ll, 9), -ix)) AS ix FROM ll GROUP BY 1, 2),
+            b AS (SELECT chr, start, greatest(ix / 100, 1 - ix / 100) AS baf FROM t)
+            SELECT chr, start, 'baf1' AS track, round(-baf, 6) AS value FROM b UNION ALL SELECT chr, start, 'baf2', round(baf - 1, 6) FROM b WHERE baf <> 0.5""",
+        "features",
+    ),
+)
 def baf_tracks(spark, sf):
-    return C.baf_tracks(C.baf_levels(C.baf_likelihood(snps(spark, sf), BIN)))
+    tracks = C.baf_tracks(C.baf_levels(C.baf_likelihood(snps(spark, sf), BIN)))
+    return tracks.withColumn("value", F.round("value", 6))
 
 
 @query(

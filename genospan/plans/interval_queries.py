@@ -252,7 +252,14 @@ def genome_length(spark, sf):
     return G.genome_length(V.chromosomes(spark, sf))
 
 
-@query("wg_chromosomes")
+_WG_WALK = """WITH c AS (SELECT *, row_number() OVER (ORDER BY chr) - 1 AS ord FROM chrom_sizes),
+    w AS (SELECT ord, chr, length, CAST(length AS DOUBLE) AS mean, 1 AS n, TRUE AS kept FROM c WHERE ord = 0
+      UNION ALL SELECT c.ord, c.chr, c.length, CASE WHEN c.length < w.mean / 100 THEN w.mean ELSE (w.n * w.mean + c.length) / (w.n + 1) END,
+        CASE WHEN c.length < w.mean / 100 THEN w.n ELSE w.n + 1 END, c.length >= w.mean / 100 FROM w JOIN c ON c.ord = w.ord + 1)
+    SELECT ord, chr, length FROM w WHERE kept"""
+
+
+@query("wg_chromosomes", with_views(_WG_WALK, "chrom_sizes").replace("WITH ", "WITH RECURSIVE ", 1))
 def wg_chromosomes(spark, sf):
     return G.wg_chromosomes(V.chromosomes(spark, sf))
 
