@@ -12,6 +12,8 @@ from genospan.llm.minhash import near_duplicates
 from genospan.llm.mixing import repetition_plan
 from genospan.llm.packing import pack_documents
 from genospan.llm.substrings import remove_repeats
+from genospan.llm.topk import top_inner_products
+from genospan.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,6 +65,11 @@ FROM rated
 """
 
 
+@query("op2_weak_toxicity")
+def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_source_mixing", MIXING_SQL)
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = repetition_plan(table(spark, sf_dir, "documents"))
@@ -91,3 +98,23 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_circulant_minhash")
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+TOP_SQL = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM ok q JOIN ok c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+@query("op10_norm_sorted_topk", TOP_SQL)
+def op10_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
