@@ -5,7 +5,7 @@ words (written with a star).  Besides the given lists, terms are mined from a
 bounded sample of labelled rows.  Every document votes; the label model estimates by
 expectation maximisation how often each voter fires on toxic and on clean documents, and how far
 voters agree beyond that, so that voters who repeat each other share their weight.
-A logistic regression on the terms is trained on the posterior labels of the sample.
+A logistic regression on the terms and voters is trained on the posterior labels of the sample.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genospan.llm.runtime import cut, int64_column
+from genospan.llm.runtime import cut
 from genospan.session import ship_by_value
 
 ship_by_value(__name__)
@@ -32,9 +32,9 @@ THRESHOLD = 0.3
 MINED_VOTERS = 16
 MOST_TERMS = 4_096
 LEAST_TOXIC = 4
-LEAST_LOG_ODDS = 1.5
+LEAST_LOG_ODDS = 1.5  # of the lower end of a term's 95 % interval
 GIVEN_LABEL_ODDS = math.log(0.98 / 0.02)
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 KNOWN_WORDS = 400_000
 
 # Given lists, common words of insult in four languages.
@@ -121,8 +121,8 @@ def mined_terms(sample: DataFrame, text: str, label: str) -> list[str]:
     clean = {names[r["term"]]: r["n"] for r in counted.collect()}
 
     def log_odds(t: str) -> float:
-        a, b = (candidates[t] + 0.5) / (n_toxic + 1), (clean.get(t, 0) + 0.5) / (n_clean + 1)
-        return math.log(a / b)
+        a, b = candidates[t] + 0.5, clean.get(t, 0) + 0.5
+        return math.log(a / (n_toxic + 1)) - math.log(b / (n_clean + 1)) - 1.96 * math.sqrt(1 / a + 1 / b)
 
     good = [(t, log_odds(t)) for t in names if log_odds(t) >= LEAST_LOG_ODDS]
     good.sort(key=lambda x: (-candidates[x[0]] * x[1], x[0]))
@@ -135,38 +135,51 @@ def voter_names(mined: list[str]) -> tuple[list[str], dict[str, list[int]]]:
     A mined term goes to a voter by its rank and kind, so that a word and its own beginnings vote
     in different voters; the label model finds out that they repeat each other.
     """
-    names = [*LEXICONS, *PATTERNS, *(f"mined_{k}" for k in range(MINED_VOTERS)), "any_term"]
+    names = [*LEXICONS, *PATTERNS, *(f"mined_{k}" for k in range(MINED_VOTERS)), "no_term"]
     at = {n: i for i, n in enumerate(names)}
     holders: dict[str, list[int]] = {}
     for name, terms in LEXICONS.items():
         for t in terms:
             holders.setdefault(t, []).append(at[name])
     for rank, t in enumerate(mined):
-        kind = min(len(t), 7) % 4 if t.endswith("*") else 0
+        kind = len(t) % 4 if t.endswith("*") else 0
         holders.setdefault(t, []).append(at[f"mined_{4 * kind + rank % 4}"])
     return names, holders
 
 
-def _vote(terms: list[str], masks: list[int], any_bit: int, pattern_bits: list[tuple[str, int]], keep_terms: bool):
-    patterns = [(re.compile(p), bit) for p, bit in pattern_bits]
+class Voters:
+    """The terms and the voters of a text; ``masks`` holds the voters of each term as bits."""
 
+    def __init__(self, terms: list[str], masks: list[int], none_bit: int, patterns: list[tuple[str, int]]) -> None:
+        self.finder, self.masks, self.none_bit = Terms(terms), masks, none_bit
+        self.patterns = [(re.compile(p), bit) for p, bit in patterns]
+
+    def of(self, text: str) -> tuple[set[int], int]:
+        hits, mask = self.finder.of(text), 0
+        for i in hits:
+            mask |= self.masks[i]
+        if not hits:
+            mask |= self.none_bit
+        for pattern, bit in self.patterns:
+            if pattern.search(text):
+                mask |= bit
+        return hits, mask
+
+
+def _fired(mask: int) -> list[int]:
+    return [k for k in range(mask.bit_length()) if mask >> k & 1]
+
+
+def _vote(voters: tuple, names: list[str], keep_terms: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Terms(terms)
+        panel, terms = Voters(*voters), voters[0]
         for batch in batches:
             votes, found = [], []
             for text in _texts(batch.column(1)):
-                hits = finder.of(text)
-                mask = 0
-                for i in hits:
-                    mask |= masks[i]
-                if hits:
-                    mask |= any_bit
-                for pattern, bit in patterns:
-                    if pattern.search(text):
-                        mask |= bit
+                hits, mask = panel.of(text)
                 votes.append(mask)
                 if keep_terms:
-                    found.append([terms[i] for i in sorted(hits)])
+                    found.append([*(terms[i] for i in sorted(hits)), *(f"voter {names[k]}" for k in _fired(mask))])
             columns = [batch.column(0).cast(pa.int64()), pa.array(votes, pa.int64())]
             if keep_terms:
                 columns.append(pa.array(found, pa.list_(pa.string())))
@@ -184,13 +197,15 @@ class LabelModel:
         self.share = np.ones(voters)
 
     def log_odds(self, votes: Column, label: Column) -> Column:
-        """Log odds of toxic: prior, discounted evidence of each voter, and the given label where there is one."""
+        """Log odds of toxic: prior, discounted evidence of the voters that fire, and the given label where there is one.
+
+        A voter that does not fire abstains; that no term was found is a vote of its own.
+        """
         out = F.lit(math.log(self.prior / (1 - self.prior)))
         for k in range(self.fires.shape[1]):
             clean, toxic = self.fires[:, k]
-            on, off = math.log(toxic / clean), math.log((1 - toxic) / (1 - clean))
             fired = F.shiftright(votes, k).bitwiseAND(F.lit(1)) == 1
-            out = out + F.when(fired, F.lit(self.share[k] * on)).otherwise(F.lit(self.share[k] * off))
+            out = out + F.when(fired, F.lit(self.share[k] * math.log(toxic / clean))).otherwise(0.0)
         return out + F.when(label == 1, GIVEN_LABEL_ODDS).when(label == 0, -GIVEN_LABEL_ODDS).otherwise(0.0)
 
     def posterior(self, votes: Column, label: Column) -> Column:
@@ -255,7 +270,7 @@ def score_toxicity(
     sample: int = SAMPLE,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Per document: ``doc_id``, ``held_out``, ``score``, ``predicted``, ``votes``.
+    """Per document: ``doc_id``, ``held_out``, ``score``, ``predicted``.
 
     Terms are mined and the classifier is fitted on at most ``sample`` labelled rows that are
     not held out; the label model covers all documents.  A null text counts as empty and gets the
@@ -274,10 +289,10 @@ def score_toxicity(
     terms = sorted(holders)
     masks = [sum(1 << v for v in set(holders[t])) for t in terms]
     pattern_bits = [(p, bit[n]) for n, p in PATTERNS.items()]
-    vote = lambda keep: _vote(terms, masks, bit["any_term"], pattern_bits, keep)
+    panel = (terms, masks, bit["no_term"], pattern_bits)
 
-    everyone = ids.mapInArrow(vote(False), "id long, votes long")
-    voted_sample = cut(learnt.select("id", "text", "label").join(F.broadcast(chosen.select("id")), "id", "left_semi").select("id", "text").mapInArrow(vote(True), "id long, votes long, terms array<string>"))
+    everyone = ids.mapInArrow(_vote(panel, names, False), "id long, votes long")
+    voted_sample = cut(learnt.select("id", "text", "label").join(F.broadcast(chosen.select("id")), "id", "left_semi").select("id", "text").mapInArrow(_vote(panel, names, True), "id long, votes long, terms array<string>"))
     labelled = voted_sample.join(chosen, "id").select("votes", "label", "terms")
     counted = everyone.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).select("votes", F.lit(None).cast("int").alias("label"), "n")
     given = labelled.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -291,18 +306,19 @@ def score_toxicity(
         soft = labelled.withColumn("p", model.posterior(F.col("votes"), F.col("label")))
         halves = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - F.col("p")).alias("w"))))
         rows = soft.withColumn("half", halves).select("terms", "half.y", "half.w").where("w > 1e-6")
-        vectors = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="x", minTF=0.0).setBinary(True)
-        fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=60, regParam=1e-4).fit(vectors.transform(rows))
+        features = [*terms, *(f"voter {n}" for n in names)]
+        vectors = CountVectorizerModel.from_vocabulary(features, inputCol="terms", outputCol="x", minTF=0.0).setBinary(True)
+        fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=40, regParam=1e-4).fit(vectors.transform(rows))
         bias = float(fitted.intercept)
-        weights = {terms[i]: float(w) for i, w in enumerate(fitted.coefficients.toArray()) if w}
-    used = sorted(weights)
-    values = [weights[t] for t in used]
+        weights = dict(zip(features, fitted.coefficients.toArray().tolist(), strict=True))
+    by_term = [weights.get(t, 0.0) for t in terms]
+    by_voter = [weights.get(f"voter {n}", 0.0) for n in names]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Terms(used)
+        voters = Voters(*panel)
         for batch in batches:
-            _, valid = int64_column(batch.column(0))
-            z = np.array([bias + math.fsum(values[i] for i in finder.of(t)) for t in _texts(batch.column(1))], dtype=np.float64)
+            found = [voters.of(t) for t in _texts(batch.column(1))]
+            z = np.array([bias + math.fsum([*(by_term[i] for i in hits), *(by_voter[k] for k in _fired(mask))]) for hits, mask in found], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["id", "score"])
 
     scored = ids.mapInArrow(score, "id long, score double")
