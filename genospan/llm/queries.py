@@ -11,7 +11,10 @@ from genospan.llm.forest import near_vectors
 from genospan.llm.minhash import near_duplicates
 from genospan.llm.mixing import repetition_plan
 from genospan.llm.packing import pack_documents
+from genospan.llm.quality import score_quality
+from genospan.llm.separators import count_documents, token_stream
 from genospan.llm.substrings import remove_repeats
+from genospan.llm.surrogates import replace_entities
 from genospan.llm.topk import top_inner_products
 from genospan.llm.toxicity import score_toxicity
 
@@ -65,6 +68,12 @@ FROM rated
 """
 
 
+@query("op1_site_quality")
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source, the path its language inside the source."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op2_weak_toxicity")
 def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -76,6 +85,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op4_separator_scan")
+def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the token streams that the partitions of ``documents`` make."""
+    return count_documents(token_stream(table(spark, sf_dir, "documents")))
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
@@ -95,6 +110,12 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_surrogates")
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = replace_entities(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join("entities", ",").alias("kinds"))
+
+
 @query("op9_circulant_minhash")
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)

@@ -47,8 +47,9 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, so that joining pieces joins their ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials_as_text: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = specials_as_text
         self.pieces: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.pattern = self._run_pattern()
@@ -112,6 +113,9 @@ class _Remembered(dict):
         return self.known[piece]
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process for a vocabulary file."""
-    return worker_state(f"encoder_{path}", lambda: Encoder(path))
+def encoder(path: str, specials_as_text: bool = False) -> Encoder:
+    """The encoder of this worker process for a vocabulary file.
+
+    With ``specials_as_text`` the strings of special tokens in a text are ordinary text.
+    """
+    return worker_state(f"encoder_{path}_{specials_as_text}", lambda: Encoder(path, specials_as_text))

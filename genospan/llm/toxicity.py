@@ -270,14 +270,41 @@ def score_toxicity(
     sample: int = SAMPLE,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Per document: ``doc_id``, ``held_out``, ``score``, ``predicted``.
+    """Per document: ``doc_id``, ``held_out``, ``score``, ``predicted``; see ``with_toxicity``."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    score = _scorer(rows, labels, doc_id, label, sample)
+    scored = rows.mapInArrow(lambda it: score(it, False), "doc_id long, score double")
+    return scored.select(
+        "doc_id",
+        (~training_row(F.col("doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def with_toxicity(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", *, into: str = "toxicity", sample: int = SAMPLE
+) -> DataFrame:
+    """``docs`` with the column ``into``, a score from 0 to 1; a column of that name is replaced.
 
     Terms are mined and the classifier is fitted on at most ``sample`` labelled rows that are
     not held out; the label model covers all documents.  A null text counts as empty and gets the
     score of a text without terms; rows without an id are scored and never learnt from; with no toxic or no clean
     label every score is the share of toxic labels (0 without labels).
     """
-    ids = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    score = _scorer(ids, labels, doc_id, label, sample)
+    kept = [c for c in docs.columns if c != into]
+    others = F.struct(F.lit(1).alias("__one"), *[c for c in kept if c != text])
+    rows = docs.select(others.alias("rest"), F.col(text).alias("text"))
+    rest = rows.schema["rest"].dataType.simpleString()
+    scored = rows.mapInArrow(lambda it: score(it, True), f"rest {rest}, text string, score double")
+    return scored.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in kept], F.col("score").alias(into))
+
+
+def _scorer(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, sample: int):
+    """A function over batches of (anything, text) that scores the text, learnt from the documents and labels."""
+    ids = docs.select(F.col("doc_id").alias("id"), "text")
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & training_row(F.col(doc_id)))
     chosen = known.groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = cut(chosen.orderBy(F.xxhash64("id"), "id").limit(sample))
@@ -314,17 +341,12 @@ def score_toxicity(
     by_term = [weights.get(t, 0.0) for t in terms]
     by_voter = [weights.get(f"voter {n}", 0.0) for n in names]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
         voters = Voters(*panel)
         for batch in batches:
             found = [voters.of(t) for t in _texts(batch.column(1))]
             z = np.array([bias + math.fsum([*(by_term[i] for i in hits), *(by_voter[k] for k in _fired(mask))]) for hits, mask in found], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["id", "score"])
+            columns = batch.columns[: 2 if keep_text else 1]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*batch.schema.names[: len(columns)], "score"])
 
-    scored = ids.mapInArrow(score, "id long, score double")
-    return scored.select(
-        F.col("id").alias("doc_id"),
-        (~training_row(F.col("id"))).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
-    )
+    return score
