@@ -7,9 +7,10 @@ minimum of contiguous slices of one table.  Bands of coordinates propose pairs,
 signatures discard the hopeless ones, and full sets confirm the links.
 
 Equal sets are one class from the start.  Inside a band bucket members are first
-compared with one leader; only members that end in another component than
-most of their bucket are then compared with all others of it.  So a group of many near copies
-costs its size, not its square, and no link between different components is lost.
+compared with one leader.  Where a member then belongs to another component than others of
+its bucket, and some pair of them looks alike, it is compared with the members of
+that component until one is close enough.  So a group of many near copies costs about
+its size, not its square, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -73,29 +74,22 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _signatures(width: int, bands: int, rows: int):
-    coordinates = bands * rows
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
-    numbers = np.arange(bands, dtype=np.uint64)
+def _signatures(width: int, coordinates: int):
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, keys, sig = [], [], [], []
+            n, fp, sig = [], [], []
             for part in scan_words(batch.column(1), lower=True):
                 for s in shingle_sets(part, width):
                     n.append(len(s))
                     if not len(s):
-                        fp.append(None), keys.append(None), sig.append(None)
+                        fp.append(None), sig.append(None)
                         continue
-                    full = signature(s, coordinates)
-                    acc = mixed(numbers + np.uint64(1))
-                    for column in full.reshape(bands, rows).T:
-                        acc = mixed(acc * np.uint64(31) + column)
                     fp.append(_fingerprint(s))
-                    keys.append(acc.astype(np.int64))
-                    sig.append(full.astype(np.uint16).tobytes())
+                    sig.append(signature(s, coordinates).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())],
                 schema=schema,
             )
 
@@ -126,36 +120,62 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield batch.filter(pa.array((a == b).mean(axis=1) >= least)).select([0, 1])
 
 
-def _cross_pairs(least: float, keep: int | None):
-    """In each block of a bucket: outliers against members of other components, by signature."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.unique(np.array(column.to_pylist(), dtype=object), return_inverse=True)[1]
+
+
+def _contacts(least: float):
+    """In each block of a bucket: outliers, and the other components of which a member looks alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, ["band", "ob", "mb"]):
             side = block["outlier"].to_numpy()
             if side.all() or not side.any():
                 continue
-            sig = binary_rows(block["sig"], np.uint16)
-            fp = np.array(block["fp"].to_pylist(), dtype=object)
-            comp = np.unique(np.array(block["comp"].to_pylist(), dtype=object), return_inverse=True)[1]
+            sig, names = binary_rows(block["sig"], np.uint16), block["comp"].to_pylist()
+            fp, comp = block["fp"].to_pylist(), _codes(block["comp"])
+            members = np.flatnonzero(~side)
+            found: set[tuple[bytes, bytes]] = set()
+            for o in np.flatnonzero(side).tolist():
+                close = (sig[members] == sig[o]).mean(axis=1) >= least
+                near = members[close & (comp[members] != comp[o])]
+                found |= {(fp[o], names[m]) for m in near[np.unique(comp[near], return_index=True)[1]].tolist()}
+            if found:
+                columns = [pa.array(list(c), pa.binary()) for c in zip(*sorted(found), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "target"])
+
+    return run
+
+
+def _first_links(least: float, similarity: int):
+    """In each block of a component: for every outlier one member that is close enough, the likeliest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in runs(batches, ["target", "ob", "mb"]):
+            side = block["outlier"].to_numpy()
+            if side.all() or not side.any():
+                continue
+            sig, fp = binary_rows(block["sig"], np.uint16), block["fp"].to_pylist()
+            flat = block["shingles"].combine_chunks()
+            edge, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+            of = lambda k: values[edge[k] : edge[k + 1]]
             members = np.flatnonzero(~side)
             a, b = [], []
-            for o in np.flatnonzero(side):
+            for o in np.flatnonzero(side).tolist():
                 close = (sig[members] == sig[o]).mean(axis=1)
-                found = np.flatnonzero((close >= least) & (comp[members] != comp[o]))
-                if keep is not None and len(found) > keep:
-                    best: dict[int, int] = {}
-                    chosen = []
-                    for f in found[np.argsort(-close[found], kind="stable")].tolist():
-                        c = int(comp[members[f]])
-                        if best.get(c, 0) < keep:
-                            best[c] = best.get(c, 0) + 1
-                            chosen.append(f)
-                    found = np.array(chosen)
-                for m in members[found].tolist() if len(found) else ():
-                    a.append(min(fp[o], fp[m])), b.append(max(fp[o], fp[m]))
+                for k in np.argsort(-close, kind="stable").tolist():
+                    if close[k] < least:
+                        break
+                    x, y = of(o), of(int(members[k]))
+                    small, large = min(len(x), len(y)), max(len(x), len(y))
+                    if 100 * small < similarity * large:
+                        continue
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= similarity * (len(x) + len(y) - common):
+                        a.append(fp[o]), b.append(fp[int(members[k])])
+                        break
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -184,15 +204,12 @@ def near_duplicates(
     exact = similarity / 100
     least = max(0.0, exact - SLACK * float(np.sqrt(exact * (1 - exact) / coordinates)))
     ids = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = cut(
-        ids.mapInArrow(
-            _signatures(shingle_words, bands, band_width),
-            "id long, n long, fp binary, bands array<long>, sig binary",
-        )
-    )
+    signed = cut(ids.mapInArrow(_signatures(shingle_words, coordinates), "id long, n long, fp binary, sig binary"))
     nodes = signed.where("id is not null and n > 0")
-    classes = cut(nodes.groupBy("fp").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    placed = classes.select("fp", F.explode("bands").alias("band"))
+    classes = cut(nodes.groupBy("fp").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("k")
+    slice_ = F.substring("sig", F.col("k") * 2 * band_width + 1, F.lit(2 * band_width))
+    placed = classes.select("fp", "sig", numbers).select("fp", F.xxhash64("k", slice_).alias("band"))
     shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("leader")).where("size > 1")
     members = cut(placed.join(shared, "band"))
 
@@ -221,16 +238,10 @@ def near_duplicates(
 
     links = cut(confirmed(tested))
     component = cut(connected_components(links, "a", "b"))
-    for keep in (2, None):
-        more = _remaining(members, component, sigs, least, keep)
-        more = cut(more.join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if keep is None:
-                break
-            continue
-        found = cut(confirmed(more))
-        tested, links = tested.union(more), links.union(found)
-        component = cut(connected_components(links, "a", "b"))
+    contacts = cut(_open_contacts(members, component, sigs, least))
+    if not contacts.isEmpty():
+        links = links.union(_exact_contacts(contacts, members, component, sigs, sets, least, similarity))
+        component = cut(connected_components(cut(links), "a", "b"))
 
     named = classes.select("fp", "rep").join(component.withColumnsRenamed({"node": "fp"}), "fp", "left")
     named = named.withColumn("component", F.coalesce("component", "fp"))
@@ -246,25 +257,53 @@ def near_duplicates(
     )
 
 
-def _remaining(members: DataFrame, component: DataFrame, sigs: DataFrame, least: float, keep: int | None) -> DataFrame:
-    """Alike pairs of different components that share a bucket and were not both compared with its leader.
+def _blocks(outliers: DataFrame, others: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Outliers and others of each key dealt to blocks of bounded size, so that every outlier meets every other once.
+
+    ``sizes`` has one row a key: ``n_out`` outliers and ``n_all`` others.
+    """
+    n_ob = F.ceil(F.col("n_out") / OUTLIER_BLOCK).cast("int")
+    n_mb = F.ceil(F.col("n_all") / MEMBER_BLOCK).cast("int")
+    own_ob = F.pmod(F.xxhash64("fp"), n_ob).cast("int")
+    own_mb = F.pmod(F.xxhash64("fp", F.lit(1)), n_mb).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rest = [c for c in outliers.columns if c != key]
+    left = outliers.join(sizes, key).select(key, own_ob.alias("ob"), every(n_mb).alias("mb"), F.lit(True).alias("outlier"), *rest)
+    right = others.join(sizes, key).select(key, every(n_ob).alias("ob"), own_mb.alias("mb"), F.lit(False).alias("outlier"), *rest)
+    return left.union(right).repartition(key, "ob", "mb").sortWithinPartitions(key, "ob", "mb")
+
+
+def _open_contacts(members: DataFrame, component: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """(fp, target): classes that share a bucket and look alike with a member of another component.
 
     Buckets of two were settled by their leader.  In larger ones every member
-    outside the largest component meets all members, in blocks of bounded size.
+    outside the largest component meets all members.
     """
     of = component.withColumnsRenamed({"node": "fp", "component": "comp"})
     placed = members.where("size > 2").select("band", "fp").join(of, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     parts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = parts.groupBy("band").agg(
-        F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_comp")
-    ).where("n_comp > 1")
-    rows = placed.join(split, "band").join(sigs, "fp")
-    n_ob = F.ceil((F.col("n_all") - F.col("n_main")) / OUTLIER_BLOCK).cast("int")
-    n_mb = F.ceil(F.col("n_all") / MEMBER_BLOCK).cast("int")
-    own_ob = F.pmod(F.xxhash64("fp"), n_ob).cast("int")
-    own_mb = F.pmod(F.xxhash64("fp", F.lit(1)), n_mb).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    outliers = rows.where("comp <> main").select("band", own_ob.alias("ob"), every(n_mb).alias("mb"), F.lit(True).alias("outlier"), "fp", "comp", "sig")
-    others = rows.select("band", every(n_ob).alias("ob"), own_mb.alias("mb"), F.lit(False).alias("outlier"), "fp", "comp", "sig")
-    blocks = outliers.union(others).repartition("band", "ob", "mb").sortWithinPartitions("band", "ob", "mb")
-    return blocks.mapInArrow(_cross_pairs(least, keep), "a binary, b binary").distinct()
+        F.max(F.struct("n", "comp"))["comp"].alias("main"),
+        (F.sum("n") - F.max("n")).alias("n_out"),
+        F.sum("n").alias("n_all"),
+        F.count(F.lit(1)).alias("n_comp"),
+    )
+    split = cut(split.where("n_comp > 1").drop("n_comp"))
+    rows = placed.join(split.select("band", "main"), "band").join(sigs, "fp")
+    fields = ["band", "fp", "comp", "sig"]
+    blocks = _blocks(rows.where("comp <> main").select(*fields), rows.select(*fields), split.drop("main"), "band")
+    return blocks.mapInArrow(_contacts(least), "fp binary, target binary").distinct()
+
+
+def _exact_contacts(
+    contacts: DataFrame, members: DataFrame, component: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, similarity: int
+) -> DataFrame:
+    """Links of contacts: each outlier against the members of its target component, on full sets."""
+    of = component.withColumnsRenamed({"node": "fp", "component": "target"})
+    own = members.select("fp").distinct().join(of, "fp", "left").withColumn("target", F.coalesce("target", "fp"))
+    targets = contacts.groupBy("target").agg(F.count(F.lit(1)).alias("n_out"))
+    inside = own.join(targets, "target").drop("n_out")
+    sizes = cut(targets.join(inside.groupBy("target").agg(F.count(F.lit(1)).alias("n_all")), "target"))
+    full = lambda rows: rows.join(sigs, "fp").join(sets, "fp").select("target", "fp", "sig", "shingles")
+    blocks = _blocks(full(contacts), full(inside), sizes, "target")
+    return blocks.mapInArrow(_first_links(least, similarity), "a binary, b binary")

@@ -5,7 +5,7 @@ Any two positions can be moved forward by the same number of words, less than
 the period, so that both become anchors.  Two equal windows of ``window`` words
 therefore share an equal anchor hash of ``window - period + 1`` words at the same distance from
 their starts.  Anchor hashes that occur in two documents mark candidate
-windows; these are extended to their full width by a 128-bit hash, and the
+windows; these are extended to their full width by a hash of 96 bits, and the
 smallest document of each decides.
 
 Documents are dealt to groups by the hash of their id; a group reports every hash once,
@@ -135,7 +135,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _first_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket, tell every group that has a later document the first document of a window."""
     for rows in runs(batches, ["bucket"]):
-        keys = [_joined(rows[n], np.uint64) for n in ("h1", "h2")]
+        keys = [_joined(rows["h1"], np.uint64), _joined(rows["h2"], np.uint32)]
         first, last = _joined(rows["first"], np.int64), _joined(rows["last"], np.int64)
         order, at = _equal_runs(keys)
         low = np.repeat(np.minimum.reduceat(first[order], at), np.diff(np.append(at, len(order))))
@@ -144,6 +144,11 @@ def _first_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield _answers(_senders(rows)[pick], [*(k[pick] for k in keys), low[told]], ["h1", "h2", "first"])
 
 
+def _second_half(words: np.ndarray, window: int) -> np.ndarray:
+    """32 more bits that tell windows apart."""
+    return (window_hashes(words, window, seed=SECOND_SEED) >> np.uint64(32)).astype(np.uint32)
+
+
 def _member(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Place of each value in the sorted keys, -1 where it is absent."""
     if not len(sorted_keys):
@@ -173,10 +178,10 @@ def _report_windows(window: int, period: int, cover: Sequence[int], buckets: int
             start = np.flatnonzero(candidate)
             if not len(start):
                 continue
-            for into, seed in zip(keys, ({}, {"seed": SECOND_SEED}), strict=True):
-                into.append(window_hashes(part.hashes, window, **seed)[start])
+            keys[0].append(window_hashes(part.hashes, window)[start])
+            keys[1].append(_second_half(part.hashes, window)[start])
             docs.append(_per_word(part, own)[start])
-        both = [np.concatenate([*x, np.zeros(0, np.uint64)]) for x in keys]
+        both = [np.concatenate([*x, np.zeros(0, t)]) for x, t in zip(keys, (np.uint64, np.uint32), strict=True)]
         both, first, last = _smallest_and_largest(both, np.concatenate([*docs, np.zeros(0, np.int64)]))
         group = rows["g"][0].as_py() if rows.num_rows else 0
         return _bucketed(both[0], [*both, first, last], group, buckets, schema)
@@ -186,7 +191,7 @@ def _report_windows(window: int, period: int, cover: Sequence[int], buckets: int
 
 def _without_repeats(window: int, schema: pa.Schema):
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        h1, h2, low = (_joined(told[n], t) for n, t in (("h1", np.uint64), ("h2", np.uint64), ("first", np.int64)))
+        h1, h2, low = (_joined(told[n], t) for n, t in (("h1", np.uint64), ("h2", np.uint32), ("first", np.int64)))
         order = np.lexsort((h2, h1))
         h1, h2, low = h1[order], h2[order], low[order]
         ids, valid = int64_column(rows["id"])
@@ -200,7 +205,7 @@ def _without_repeats(window: int, schema: pa.Schema):
             if n > 0 and len(h1):
                 first_half = window_hashes(part.hashes, window)
                 start = np.flatnonzero((_member(h1, first_half) >= 0) & (_room(part)[:n] >= window) & ok[:n])
-                second = window_hashes(part.hashes, window, seed=SECOND_SEED)[start]
+                second = _second_half(part.hashes, window)[start]
                 lo = np.searchsorted(h1, first_half[start], side="left")
                 hi = np.searchsorted(h1, first_half[start], side="right")
                 repeated = np.zeros(len(start), dtype=bool)
