@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genospan.llm.components import connected_components
@@ -288,10 +288,35 @@ def _open_contacts(members: DataFrame, component: DataFrame, sigs: DataFrame, le
         F.sum("n").alias("n_all"),
         F.count(F.lit(1)).alias("n_comp"),
     )
-    split = cut(split.where("n_comp > 1").drop("n_comp"))
-    rows = placed.join(split.select("band", "main"), "band").join(sigs, "fp")
-    fields = ["band", "fp", "comp", "sig"]
-    blocks = _blocks(rows.where("comp <> main").select(*fields), rows.select(*fields), split.drop("main"), "band")
+    split = split.where("n_comp > 1").drop("n_comp")
+    # Signatures meet a class once, not once a bucket; a class lies in one bucket a band at most.
+    rows = placed.join(split, "band").groupBy("fp", "comp").agg(F.collect_list(F.struct("band", "main", "n_out", "n_all")).alias("places"))
+    rows = cut(rows.join(sigs, "fp"))
+
+    def own(n: Column, size: int, *salt: Column) -> Column:
+        return F.pmod(F.xxhash64("fp", *salt), F.ceil(n / size).cast("int")).cast("int")
+
+    def each(n: Column, size: int) -> Column:
+        return F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)
+
+    def outlier_blocks(p: Column) -> Column:
+        ob = own(p["n_out"], OUTLIER_BLOCK)
+        return F.transform(each(p["n_all"], MEMBER_BLOCK), lambda mb: F.struct(p["band"].alias("band"), ob.alias("ob"), mb.alias("mb")))
+
+    def member_blocks(p: Column) -> Column:
+        mb = own(p["n_all"], MEMBER_BLOCK, F.lit(1))
+        return F.transform(each(p["n_out"], OUTLIER_BLOCK), lambda ob: F.struct(p["band"].alias("band"), ob.alias("ob"), mb.alias("mb")))
+
+    outside = F.filter("places", lambda p: p["main"] != F.col("comp"))
+    sides = [(True, F.flatten(F.transform(outside, outlier_blocks))), (False, F.flatten(F.transform("places", member_blocks)))]
+    dealt = [
+        rows.select("fp", "comp", "sig", F.explode(at).alias("at")).select(
+            "at.band", "at.ob", "at.mb", F.lit(outlier).alias("outlier"), "fp", "comp", "sig"
+        )
+        for outlier, at in sides
+    ]
+    key = ["band", "ob", "mb"]
+    blocks = dealt[0].union(dealt[1]).repartition(*key).sortWithinPartitions(*key)
     return blocks.mapInArrow(_contacts(least), "fp binary, target binary").distinct()
 
 
