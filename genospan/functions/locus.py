@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 POINT_MARGIN = 20
 
-# The notations that are recognised.
-HGVS_PATTERN = (
-    r"^[A-Za-z0-9_.]+(?:\([^)]+\))?:"
-    r"(?:g\.\d+.*|c\.[-*]?\d+.*|n\.-?\d+.*|p\.[A-Za-z*]*\d+.*)$"
-)
-
 
 def parse_locus(text: Column) -> Column:
     """Struct ``(chr, start, end)`` of ``chr:start-end``, a tab-separated triple or ``chr:pos``.
@@ -79,42 +73,54 @@ def search_key(text: Column) -> Column:
 
 
 def hgvs_valid(text: Column) -> Column:
-    return F.coalesce(text.rlike(HGVS_PATTERN), F.lit(False))
+    """True where ``hgvs_parse`` can read the text."""
+    return hgvs_parse(text).isNotNull()
 
 
-def hgvs_parse(text: Column) -> Column:
-    """Parts of a notation: accession, type, two positions with their offsets, and UTR side.
+def _hgvs_position(token: Column) -> Column:
+    """Struct ``(side, number, offset)`` of one position: a sign or star, digits, and a distance into an intron."""
+    side = F.when(token.startswith("*"), "*").when(token.startswith("-"), "-").otherwise("")
+    digits = F.split(F.ltrim(token, F.lit("*-")), "(?=[+-])", 2)
+    return F.struct(
+        side.alias("side"), F.get(digits, 0).try_cast("long").alias("number"), F.get(digits, 1).try_cast("long").alias("offset")
+    )
+
 
-    ``utr`` is ``5`` for ``c.-N``, ``3`` for ``c.*N``.  For genomic, non-coding and
-    UTR forms a single offset applies to both ends (``offset2`` equals
-    ``offset1``); for coding positions each end has its own.
+def hgvs_parse(text: Column) -> Column:
+    """Parts of a notation: accession, type, two positions with their offsets, and UTR side; NULL if it cannot be read.
+
+    A notation is a reference sequence, with a gene in brackets if need be, a colon, the
+    coordinate type and a description.  The description of ``g``, ``c`` and ``n`` begins with
+    one position or two joined by ``_``; each has its own offset, and a single
+    position is both ends.  ``utr`` is ``5`` for ``c.-N``, ``3`` for ``c.*N``.  Where the second
+    end is unknown or lies on another side, the first position is both ends.
+    Protein notation (``p``) needs a residue number and has no positions here.
     """
-    acc = F.regexp_replace(F.regexp_extract(text, r"^(.*?):[gcnp]\.", 1), r"\([^)]*\)$", "")
-    kind = F.regexp_extract(text, r":([gcnp])\.", 1)
-    body = F.regexp_extract(text, r":[gcnp]\.(.*)$", 1)
-    num = lambda pattern, i: F.regexp_extract(body, pattern, i).try_cast("long")
-    g = r"^\(?(\d+)(?:_(\d+|\?))?"
-    n = r"^(-?\d+)(?:_(-?\d+))?([+-]\d+)?"
-    u5 = r"^-(\d+)(?:_-(\d+))?([+-]\d+)?"
-    u3 = r"^\*(\d+)(?:_\*(\d+))?([+-]\d+)?"
-    cds = r"^(\d+)(?:_(\d+))?"
-    offsets = r"^(\d+)([+-]\d+)?(?:_(\d+)([+-]\d+)?)?"
-    utr = F.when((kind == "c") & body.rlike(u5), "5").when((kind == "c") & body.rlike(u3), "3")
-
-    def choose(i: int) -> Column:
-        return (
-            F.when(kind == "g", num(g, i)).when(kind == "n", num(n, i)).when(utr == "5", num(u5, i)).when(utr == "3", num(u3, i)).otherwise(num(cds, i))
-        )
-
-    one_offset = F.when(kind == "n", num(n, 3)).when(utr == "5", num(u5, 3)).when(utr == "3", num(u3, 3))
-    shared = (kind == "n") | utr.isNotNull()
-    first, second = choose(1), choose(2)
-    off1 = F.when(shared, one_offset).when(kind == "c", num(offsets, 2))
-    off2 = F.when(shared, one_offset).when(kind == "c", F.when(second.isNull(), num(offsets, 2)).otherwise(num(offsets, 4)))
+    head, tail = F.substring_index(text, ":", 1), F.get(F.split(text, ":", 2), 1)
+    accession = F.substring_index(head, "(", 1)
+    named = (F.length(accession) > 0) & (F.translate(accession, " \t/,;", "") == accession)
+    gene = F.substring(head, F.length(accession) + 1, F.length(head))
+    gene_ok = (gene == "") | (gene.endswith(")") & (F.length(gene) > 2))
+    kind = F.substring_index(tail, ".", 1)
+    body = F.ltrim(F.substring(tail, 3, F.length(tail)), F.lit("("))
+    ends = F.split(F.regexp_extract(body, "^[0-9_?*+-]*", 0), "_")
+    first, second = _hgvs_position(F.get(ends, 0)), _hgvs_position(F.get(ends, 1))
+    side_ok = (first["side"] == "") | (kind == "c") | ((kind == "n") & (first["side"] == "-"))
+    residue = F.translate(F.substring_index(body, "_", 1), "0123456789", "") != F.substring_index(body, "_", 1)
+    readable = F.when(kind.isin("g", "c", "n"), first["number"].isNotNull() & side_ok).when(kind == "p", residue)
+    single = second["number"].isNull() | (second["side"] != first["side"])
+    signed = lambda p: F.when((kind == "n") & (p["side"] == "-"), -p["number"]).otherwise(p["number"])
+    placed = lambda value: F.when(kind != "p", value)
+    pos1, off1 = signed(first), F.coalesce(first["offset"], F.lit(0))
     return F.when(
-        hgvs_valid(text),
+        named & gene_ok & readable,
         F.struct(
-            acc.alias("accession"), kind.alias("type"), utr.alias("utr"), first.alias("pos1"), F.coalesce(second, first).alias("pos2"),
-            F.coalesce(off1, F.lit(0)).alias("offset1"), F.coalesce(off2, F.lit(0)).alias("offset2"),
+            accession.alias("accession"),
+            kind.alias("type"),
+            F.when((kind == "c") & (first["side"] == "-"), "5").when((kind == "c") & (first["side"] == "*"), "3").alias("utr"),
+            placed(pos1).alias("pos1"),
+            placed(F.when(single, pos1).otherwise(signed(second))).alias("pos2"),
+            F.when(kind.isin("g", "p"), 0).otherwise(off1).cast("long").alias("offset1"),
+            F.when(kind.isin("g", "p"), 0).when(single, off1).otherwise(F.coalesce(second["offset"], F.lit(0))).cast("long").alias("offset2"),
         ),
     )

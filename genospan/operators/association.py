@@ -14,7 +14,6 @@ from genospan.scale import order_statistics
 MIN_AXIS = 10.0
 DIAGONAL = 5
 PERCENTILE = 80
-MAX_CONTACTS = 50_000
 MIN_CONTACTS = 1_000
 
 
@@ -67,19 +66,22 @@ def off_diagonal(contacts: DataFrame, distance: int = DIAGONAL) -> DataFrame:
     return contacts.where(F.abs(F.col("bin1") - F.col("bin2")) > distance)
 
 
-def contact_percentiles(contacts: DataFrame, by: Sequence[str] = (), percentile: float = PERCENTILE, keep: int = MAX_CONTACTS) -> DataFrame:
+def contact_percentiles(contacts: DataFrame, by: Sequence[str] = (), percentile: float = PERCENTILE, keep: int | None = None, min_values: int = MIN_CONTACTS) -> DataFrame:
     """Threshold and score bounds per group from the values off the diagonal.
 
-    The threshold lies at position ``max(floor(n * p / 100), n - keep)``; the bounds
-    are the 5 % and 95 % positions of what is above it.  With fewer than 1,000
-    values the threshold is 0 and there are no bounds.
+    The threshold lies at position ``floor(n * p / 100)``, or at ``n - keep`` if that
+    is higher and the caller asks for at most ``keep`` contacts; the bounds
+    are the 5 % and 95 % positions of what is above it.  With fewer than
+    ``min_values`` values the threshold is 0 and there are no bounds; no value is dropped by it.
     """
     n = F.col("n").cast("double")
-    k = F.greatest(F.floor(n * (percentile / 100)), F.col("n") - keep, F.lit(0))
+    k = F.floor(n * (percentile / 100))
+    if keep is not None:
+        k = F.greatest(k, F.col("n") - keep)
     i = k + F.floor((F.col("n") - k) * F.lit(5 / 100))
     j = k + F.floor((F.col("n") - k) * F.lit(95 / 100))
     stats = order_statistics(contacts, "value", {"t": k, "lo": i, "hi": j}, by)
-    enough = F.col("n") >= MIN_CONTACTS
+    enough = F.col("n") >= min_values
     return stats.select(
         *by,
         F.when(enough, F.col("t")).otherwise(F.lit(0.0)).alias("threshold"),

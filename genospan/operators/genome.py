@@ -153,8 +153,8 @@ def alias_table_from_records(records: DataFrame, chromosomes: DataFrame | None =
         name,
         F.upper(name),
         F.lower(name),
-        F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1_000_000)),
-        F.when(name.startswith("chr"), F.substring(name, 4, 1_000_000)).otherwise(F.concat(F.lit("chr"), name)),
+        F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, F.length(name))),
+        F.when(name.startswith("chr"), F.substring(name, 4, F.length(name))).otherwise(F.concat(F.lit("chr"), name)),
     )
     pairs = canonical.select(name, F.explode(F.array_distinct(F.concat("names", variants))).alias("alias"))
     return pairs.groupBy("alias").agg(F.min("canonical").alias("canonical"))

@@ -74,14 +74,15 @@ def pack_rows(
     by: Sequence[str] = ("chr",),
     *,
     tie: Sequence[str],
-    max_rows: int | None = 1000,
+    max_rows: int | None = None,
     gap: float = 0,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``row``: the lowest row whose last feature ends at or before this start.
 
     Features are taken by start, then by ``tie`` (which must make the order
-    total).  Once ``max_rows`` rows are occupied the rest go to row ``max_rows``.
+    total).  There are as many rows as needed; with ``max_rows`` all that find no room
+    in so many rows share one more.
     """
     by, tie = list(by), list(tie)
     spark = features.sparkSession

@@ -15,12 +15,10 @@ from genospan.scale import hashed_order, top_k_per_group
 
 MAX_WHOLE_GENOME = 10_000
 SAMPLING_WINDOW = 100
-SAMPLING_DEPTH = 500
-MAX_SAMPLING_DEPTH = 10_000
 
 
 def downsample_reads(
-    reads: DataFrame, depth: int = SAMPLING_DEPTH, window: int = SAMPLING_WINDOW, *, paired: bool = False, seed: int = 0
+    reads: DataFrame, depth: int, window: int = SAMPLING_WINDOW, *, paired: bool = False, seed: int = 0
 ) -> DataFrame:
     """At most ``depth`` read names per window of a fixed grid (half of it when paired).
 
@@ -29,7 +27,6 @@ def downsample_reads(
     are treated as one.  Only names and starts are ranked; the reads themselves
     are filtered by a semi join.
     """
-    depth = min(depth, MAX_SAMPLING_DEPTH)
     if paired:
         depth = max(1, depth // 2)
     bucket = F.floor(F.col("start") / window).cast("long")
@@ -39,9 +36,8 @@ def downsample_reads(
     return reads.join(kept.select("read_name"), "read_name", "left_semi")
 
 
-def downsample_stats(reads: DataFrame, depth: int = SAMPLING_DEPTH, window: int = SAMPLING_WINDOW, *, paired: bool = False) -> DataFrame:
+def downsample_stats(reads: DataFrame, depth: int, window: int = SAMPLING_WINDOW, *, paired: bool = False) -> DataFrame:
     """Windows in which read names were dropped, with the number dropped."""
-    depth = min(depth, MAX_SAMPLING_DEPTH)
     if paired:
         depth = max(1, depth // 2)
     bucket = F.floor(F.col("start") / window).cast("long")

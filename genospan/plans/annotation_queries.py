@@ -174,9 +174,17 @@ def hgvs_terms(spark, sf):
     return c.select(k.alias("k"), term.alias("term"))
 
 
-@query("hgvs_valid", "SELECT c_custkey AS k, c_custkey % 6 <> 5 OR TRUE AS valid FROM customer")
+@query("hgvs_valid", "SELECT c_custkey AS k, c_custkey % 7 <> 3 AND c_custkey % 11 <> 5 AND c_custkey % 13 <> 7 AS valid FROM customer")
 def hgvs_valid(spark, sf):
-    return hgvs_terms(spark, sf).select("k", L.hgvs_valid(F.col("term")).alias("valid"))
+    """Every 7th term lacks its colon, every 11th has an unknown type, every 13th no number."""
+    term, k = F.col("term"), F.col("k")
+    broken = (
+        F.when(k % 7 == 3, F.replace(term, F.lit(":"), F.lit("-")))
+        .when(k % 11 == 5, F.regexp_replace(term, ":[a-z][.]", ":x."))
+        .when(k % 13 == 7, F.concat(F.substring_index(term, ":", 1), F.lit(":c.del")))
+        .otherwise(term)
+    )
+    return hgvs_terms(spark, sf).select("k", L.hgvs_valid(broken).alias("valid"))
 
 
 @query(

@@ -77,7 +77,7 @@ _CONTACTS = """ct AS (SELECT chr, least(b1, b2) AS bin1, greatest(b1, b2) AS bin
     nv AS (SELECT chr, bin, CASE WHEN bin % 11 = 0 THEN 0.0 ELSE (bin % 4 + 1) / 2.0 END::DOUBLE AS nv FROM (SELECT chr, bin1 AS bin FROM ct UNION SELECT chr, bin2 FROM ct) b),
     vl AS (SELECT ct.*, counts / (a.nv * b.nv) AS value FROM ct JOIN nv a ON a.chr = ct.chr AND a.bin = bin1 JOIN nv b ON b.chr = ct.chr AND b.bin = bin2 WHERE a.nv * b.nv <> 0),
     rk AS (SELECT chr, value, row_number() OVER (PARTITION BY chr ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY chr) AS n FROM vl WHERE abs(bin1 - bin2) > 5),
-    kk AS (SELECT DISTINCT chr, n, greatest(CAST(floor(n * 0.8) AS BIGINT), n - 50000, 0) AS k FROM rk),
+    kk AS (SELECT DISTINCT chr, n, CAST(floor(n * 0.8) AS BIGINT) AS k FROM rk),
     th AS (SELECT kk.chr, CASE WHEN kk.n >= 1000 THEN max(CASE WHEN i = k THEN value END) ELSE 0.0 END AS threshold,
              CASE WHEN kk.n >= 1000 THEN max(CASE WHEN i = k + CAST(floor((kk.n - k) * 0.05) AS BIGINT) THEN value END) END AS low,
              CASE WHEN kk.n >= 1000 THEN max(CASE WHEN i = k + CAST(floor((kk.n - k) * 0.95) AS BIGINT) THEN value END) END AS high

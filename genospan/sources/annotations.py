@@ -20,7 +20,6 @@ from genospan.sources.lines import (
     read_lines,
 )
 
-MAX_BLOCKS = 1000
 # Names of the nine columns that follow the first nine of a bedMethyl row.
 BEDMETHYL_COLUMNS = [
     "coverage", "percent_methylated", "n_mod", "n_canonical", "n_other_mod", "n_delete", "n_fail", "n_diff", "n_nocall",
@@ -80,8 +79,7 @@ def parse_bed(lines: DataFrame, max_columns: int = 12, keep_fields: bool = False
 
     ``.`` as a name gives the empty name; a name in ``k=v;`` form also fills
     ``attributes``.  The default score is 1000.  A field that cannot be read ends
-    the row: what comes after it stays NULL.  Exons need matching counts of at
-    most 1000.
+    the row: what comes after it stays NULL.  Exons need matching counts.
     """
     t = content(lines).select(blank_fields().alias("t"))
     n = F.size("t")
@@ -95,7 +93,7 @@ def parse_bed(lines: DataFrame, max_columns: int = 12, keep_fields: bool = False
     end_ok = start_ok & (~has(7) | cds_end.isNotNull())
     sizes, offsets = numbers(field(10)), numbers(field(11))
     blocks_ok = (
-        end_ok & has(11) & (n > 11) & (long_field(9) <= MAX_BLOCKS)
+        end_ok & has(11) & (n > 11)
         & (F.size(sizes) == F.size(offsets)) & (F.size(sizes) == long_field(9))
     )
     looks_like_attributes = raw_name.rlike("^[^;]+;") & raw_name.rlike("^[^=]+=")

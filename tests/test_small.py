@@ -303,3 +303,18 @@ def test_pair_and_sort(spark):
     assert [(r["read_name"], r["start"], r["end"]) for r in p] == [("p", 100, 310)]
     order = [r["read_name"] for r in O.sort_reads_at(reads, "c", 106, "BASE", ref="G").collect()]
     assert order[0] == "q" and len(order) == 3
+
+
+def test_hgvs_ends_and_unreadable_terms(spark):
+    terms = ["NM_1:c.10+2_12-3del", "NM_1:n.5_9+2del", "NM_1:c.10_*5del", "NC_1:g.(4_9)del", "NM_1:x.4", "NM_1:c.del", ":c.4", "NM_1():c.4", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(terms)], "k int, t string").select("k", L.hgvs_parse(F.col("t")).alias("h"), L.hgvs_valid(F.col("t")).alias("ok")).orderBy("k").collect()
+    ends = [r["h"] and (r["h"]["pos1"], r["h"]["pos2"], r["h"]["offset1"], r["h"]["offset2"]) for r in got]
+    assert ends[:4] == [(10, 12, 2, -3), (5, 9, 0, 2), (10, 10, 0, 0), (4, 9, 0, 0)]
+    assert [r["ok"] for r in got] == [True] * 4 + [False] * 5
+
+
+def test_bed_rows_keep_many_blocks(spark):
+    n = 1200
+    row = "\t".join(["chr1", "0", str(n * 10), "a", "0", "+", "0", str(n * 10), "0", str(n), "5," * n, ",".join(str(10 * k) for k in range(n))])
+    got = AN.parse_bed(spark.createDataFrame([(row,)], "value string")).select(F.size("exons").alias("n")).first()
+    assert got["n"] == n
