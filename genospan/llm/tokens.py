@@ -10,9 +10,10 @@ gets whole texts.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
+from collections.abc import Sequence
 
-import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
@@ -44,6 +45,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def packed(ids: Sequence[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, so that joining pieces joins their ids."""
 
@@ -70,49 +75,35 @@ class Encoder:
         ids = self.runs.get(run)
         if ids is None:
             found = self.tokenizer.model.tokenize(run.encode().decode("latin1").translate(self.letters))
-            ids = np.array([t.id for t in found], dtype="<u4").tobytes()
+            ids = packed([t.id for t in found])
             if len(self.runs) < REMEMBERED_RUNS and len(run) <= LONGEST_REMEMBERED:
                 self.runs[run] = ids
         return ids
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if _SPECIAL.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not piece.isalnum() and (_SPECIAL.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text))):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self._run, self.pattern.findall(text.lower())))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, those of unknown pieces found once per ``TEXTS_AT_ONCE`` texts."""
         if self.pattern is None:
             found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+            return [packed(e.ids) for e in found]
         out = []
         for lo in range(0, len(texts), TEXTS_AT_ONCE):
             split = [t.split() for t in texts[lo : lo + TEXTS_AT_ONCE]]
-            ids = _Remembered(self.pieces)
-            for pieces in split:
-                for p in set(pieces).difference(self.pieces, ids):
-                    made = self._piece(p)
-                    if len(self.pieces) < REMEMBERED_PIECES and len(p) <= LONGEST_REMEMBERED:
-                        self.pieces[p] = made
-                    else:
-                        ids[p] = made
-            look = ids.__getitem__ if ids else self.pieces.__getitem__
-            out += [b"".join(map(look, pieces)) for pieces in split]
+            # Known pieces come along, so that each word of a text is one look into one dictionary.
+            ids = {p: self.pieces.get(p) for p in set().union(*split)}
+            for p in [p for p, known in ids.items() if known is None]:
+                made = ids[p] = self._piece(p)
+                if len(self.pieces) < REMEMBERED_PIECES and len(p) <= LONGEST_REMEMBERED:
+                    self.pieces[p] = made
+            out += [b"".join(map(ids.__getitem__, pieces)) for pieces in split]
         return out
 
 
-class _Remembered(dict):
-    """Pieces of this call only, and behind them the remembered ones."""
-
-    def __init__(self, known: dict[bytes, bytes]) -> None:
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, piece: bytes) -> bytes:
-        return self.known[piece]
-
-
 def encoder(path: str, specials_as_text: bool = False) -> Encoder:
     """The encoder of this worker process for a vocabulary file.
 
