@@ -270,6 +270,34 @@ def test_near_vectors(spark):
     assert got[1005]["n_links"] == 0 and got[None]["kept"]
 
 
+@pytest.mark.parametrize("sample", [400, 20_000])
+def test_near_vectors_of_a_dense_group(spark, sample):
+    """Distinct near copies, many times a leaf, beside other rows; counts against brute force."""
+    rng = np.random.default_rng(8)
+    d = 24
+    centre = rng.standard_normal(d)
+    group = centre / np.linalg.norm(centre) + 0.24 / math.sqrt(d) * rng.standard_normal((2000, d))
+    v = np.concatenate([group, rng.standard_normal((2000, d)), group[:40] * 2])
+    rows = [(i, x.tolist(), int(i % 10 == 0)) for i, x in enumerate(v)]
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(rows, V_SCHEMA).repartition(3), leaf=32, sample=sample).collect()}
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    labels = np.array([y for *_, y in rows])
+    linked = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None, :])
+    want = linked.sum(axis=1) - 1
+    found = np.array([got[i]["n_links"] for i in range(len(v))])
+    assert 0.2 < linked[:2000, :2000].mean() < 0.8
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
+    lone = [i for i in range(2000, 4000) if not want[i]]
+    assert all(got[i]["component_id"] == i for i in lone)
+    assert len({got[i]["component_id"] for i in range(2000) if want[i] > 20}) == 2
+
+
+def test_near_vectors_of_several_lengths(spark):
+    rows = [(i, [1.0, 2.0, 0.01 * i], 0) for i in range(20)] + [(100 + i, [3.0, 0.01 * i], 0) for i in range(5)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, V_SCHEMA)).collect()}
+    assert got == {i: (19, 0) for i in range(20)} | {100 + i: (4, 100) for i in range(5)}
+
+
 def test_near_vectors_of_an_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], V_SCHEMA)).count() == 0
 
