@@ -15,7 +15,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import string
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +30,7 @@ from genospan.session import ship_by_value
 ship_by_value(__name__)
 
 KEY = b"replace this key"
+WIDE_FROM = 4  # the attempt from which secrets and mail names are drawn from more than their own form
 MOST_REDRAWN_SENT = 50_000  # redrawn entities that are sent along with the tasks; more are joined
 
 # Titles with gender, and given names by script and gender.
@@ -131,6 +135,13 @@ class Stream:
         return out
 
 
+@lru_cache(maxsize=1 << 12)
+def _kin(c: str) -> str:
+    """Letters or digits of the same case near ``c`` in its script."""
+    low = ord(c) & ~63
+    return "".join(chr(k) for k in range(max(low, 128), low + 64) if unicodedata.category(chr(k)) == unicodedata.category(c))
+
+
 def _alike(text: str, draw: Stream) -> str:
     """Each letter and digit by one of its class; hexadecimal strings stay hexadecimal."""
     if re.fullmatch(r"(?=.*[a-f])[0-9a-f]{8,}|(?=.*[A-F])[0-9A-F]{8,}", text):
@@ -144,6 +155,8 @@ def _alike(text: str, draw: Stream) -> str:
             out.append(chr(65 + draw.below(26)))
         elif c.isascii() and c.islower():
             out.append(chr(97 + draw.below(26)))
+        elif c.isalnum():
+            out.append(_kin(c)[draw.below(len(_kin(c)))])
         else:
             out.append(c)
     return "".join(out)
@@ -154,7 +167,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     draw = Stream(key, kind, canonical, attempt)
     if kind == "email":
         local, domain = canonical.rsplit("@", 1)
-        return f"{_alike(local, draw)}@{_alike(domain.rsplit('.', 1)[0], Stream(key, 'domain', domain, 0))}.example"
+        more = "".join(string.ascii_lowercase[draw.below(26)] for _ in range(attempt // WIDE_FROM))
+        return f"{_alike(local, draw)}{more}@{_alike(domain.rsplit('.', 1)[0], Stream(key, 'domain', domain, 0))}.example"
     if kind == "ip":
         return f"{240 + draw.below(15)}.{draw.below(256)}.{draw.below(256)}.{1 + draw.below(254)}"
     if kind == "ssn":
@@ -171,7 +185,12 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     if kind == "secret":
         lead = re.match(r"AKIA|gh[pousr]_|sk-", canonical)
         fixed = lead[0] if lead else ""
-        return fixed + _alike(canonical[len(fixed) :], draw)
+        made = fixed + _alike(canonical[len(fixed) :], draw)
+        # A form with few or no letters and digits has too few others: then any letters and digits, more with each attempt.
+        if made == canonical or attempt >= WIDE_FROM:
+            drawn = string.ascii_letters + string.digits
+            made = fixed + "".join(drawn[draw.below(len(drawn))] for _ in range(len(canonical) - len(fixed) + attempt // WIDE_FROM))
+        return made
     gender, person = canonical.split(" ", 1)
     script = _script(person)
     parts = re.split(r"([\s'-])", person)

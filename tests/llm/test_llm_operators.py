@@ -453,6 +453,22 @@ def test_surrogates(spark):
     assert made[0][1] == ("email", "email", "phone", "phone")
 
 
+def test_surrogates_of_values_without_ascii_letters(spark):
+    """Values that keep their form in every draw, or have only a few forms, all in the table: the redraw ends."""
+    values = ["********", "------", "пароль", "Привет", "密码密码密码", "!@#$%^&*"] + [f"$$$$$${i}" for i in range(10)]
+    for v in values[:6]:
+        assert surrogates.surrogate(surrogates.KEY, "secret", v) != v
+    crowd = {surrogates.surrogate(surrogates.KEY, "secret", values[-1], a) for a in range(40)}
+    assert len(crowd) > 20
+    mails = {surrogates.surrogate(surrogates.KEY, "email", "a@b.org", a) for a in range(80)}
+    assert len(mails) > 40
+    rows = [(i, f"password: {v} end", "en", "s", 0, 1, 2) for i, v in enumerate(values)]
+    made = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(frame(spark, rows)).collect()}
+    assert all(v not in made[i] for i, v in enumerate(values))
+    assert len(set(made.values())) == len(values)
+    assert any("\u0400" <= c <= "\u04ff" for c in made[2])
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """Surrogates that collide, or hit a real entity, are drawn again; both ways to send them agree."""
     ips = [f"10.0.0.{i}" for i in range(1, 60)] + ["240.0.0.1"]
