@@ -17,6 +17,7 @@ import hmac
 import re
 import string
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -37,6 +38,7 @@ MOST_REDRAWN_SENT = 50_000  # redrawn entities that are sent along with the task
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f",
     "Mademoiselle": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
+    "Dr": "n", "Prof": "n", "Professor": "n",
 }
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Leon", "Marco", "Oscar"],
@@ -46,6 +48,7 @@ GIVEN = {
     ("greek", "m"): ["Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"],
     ("greek", "f"): ["Άννα", "Ελένη", "Ειρήνη", "Κατερίνα", "Μαρία", "Σοφία"],
 }
+GIVEN |= {(script, "n"): GIVEN[script, "m"] + GIVEN[script, "f"] for script in ("latin", "cyrillic", "greek")}
 SYLLABLES = {
     "latin": ["ba", "den", "fel", "gar", "hol", "ken", "lam", "mor", "nor", "ped", "ros", "sten", "tal", "ver", "win", "zan"],
     "cyrillic": ["ба", "ве", "гор", "дан", "ков", "лен", "мар", "нов", "пет", "рос", "сал", "тов"],
@@ -56,7 +59,7 @@ _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 _PATTERN = re.compile(
     r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-    |(?P<secret>(?<=["'=:\s])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9]))
+    |(?P<secret>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9]))
     |(?P<keyed>(?i:\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b["']?\s{0,3}[=:]\s{0,3}["']?)(?P<value>[^\s"']{6,}))
     |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){3,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
@@ -69,8 +72,8 @@ _PATTERN = re.compile(
     """,
     re.VERBOSE,
 )
-# Cheap signs that a text may hold an entity at all.
-_SIGN = re.compile(r"@|AKIA|gh[pousr]_|sk-|\d[\d .()/-]{6,}\d|[=:]|(?:" + _TITLE + r")\b")
+# Cheap signs that a text may hold an entity at all; the shortest run of digits is an address like 1.1.1.1.
+_SIGN = re.compile(r"@|AKIA|gh[pousr]_|sk-|\d[\d .()/-]{5,}\d|[A-Z]{2}\d{2}\ ?[A-Z0-9]{4}|[=:]|(?:" + _TITLE + r")\b")
 
 
 def luhn(digits: str) -> bool:
@@ -92,6 +95,52 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of every entity, from left to right."""
     if not _SIGN.search(text):
         return
+    found = list(_patterned(text))
+    yield from _mentions(text, found) if any(e[2] == "name" for e in found) else found
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` and all other mentions, whole or by surname, of the persons in it; a person has one canonical form in a text.
+
+    Where persons share a surname, it stands for the first of the title's gender, without a title for the first of all.
+    """
+    whole: dict[str, dict[str, str]] = {}
+    surname: dict[str, dict[str, str]] = {}
+    spelled = set()
+    for start, end, kind, canonical in found:
+        if kind != "name":
+            continue
+        gender, person = canonical.split(" ", 1)
+        whole.setdefault(person, {}).setdefault(gender, canonical)
+        words = text[start:end].split()
+        for form in (words, [w.upper() for w in words], [w.title() for w in words]):
+            spelled |= {tuple(form), (form[-1],)}
+        if len(words) > 1:
+            surname.setdefault(person.split()[-1], {}).setdefault(gender, canonical)
+
+    def resolved(person: str, gender: str) -> str:
+        own = surname.get(person) or whole[person]
+        if gender in own and gender != "n":
+            return own[gender]
+        known = next((c for g, c in own.items() if g != "n"), None)
+        if gender == "n":
+            return known or own["n"]
+        return own.get("n") or whole[person][gender]
+
+    out = [(s, e, k, resolved(c.split(" ", 1)[1], c[0]) if k == "name" else c) for s, e, k, c in found]
+    starts = [e[0] for e in out]
+    forms = sorted((r"\s+".join(map(re.escape, words)) for words in spelled if len(words) > 1 or len(words[0]) > 1), key=len, reverse=True)
+    for m in re.finditer(rf"(?<!\w)(?:{'|'.join(forms)})(?!\w)", text) if forms else ():
+        k = bisect_right(starts, m.start()) - 1
+        if (k >= 0 and out[k][1] > m.start()) or (k + 1 < len(starts) and starts[k + 1] < m.end()):
+            continue
+        person = " ".join(m[0].split()).title()
+        own = surname.get(person) or whole[person]
+        out.append((*m.span(), "name", resolved(person, next(iter(own)) if person in surname or "n" not in own else "n")))
+    return sorted(out)
+
+
+def _patterned(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in _PATTERN.finditer(text):
         kind = m.lastgroup
         for name in ("email", "secret", "keyed", "iban", "ssn", "ip", "card", "phone", "name"):
@@ -207,6 +256,8 @@ def _dressed(original: str, kind: str, made: str) -> str:
         return "".join(next(letters, "") if c.isalnum() else c for c in original)
     if kind == "name":
         made = made.split(" ", 1)[1]
+        if not re.search(r"[\s'-]", original):
+            made = made.rsplit(" ", 1)[-1]
         return made.upper() if original.isupper() and len(original) > 1 else made
     if kind == "email" and original.isupper():
         return made.upper()

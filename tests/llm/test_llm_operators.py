@@ -469,6 +469,30 @@ def test_surrogates_of_values_without_ascii_letters(spark):
     assert any("\u0400" <= c <= "\u04ff" for c in made[2])
 
 
+def test_surrogates_leave_no_mention(spark):
+    key = "ghp_" + "a1B2" * 9
+    texts = [
+        "Ask 8.8.8.8 or 1.1.1.1 today", "Ask: 8.8.8.8", f"{key} first", f"see ({key}) or `{key}`", "pay MT84MALT011000012345MTLCAST001S", "pay GB33BUKBABCDABCDABCDAB now",
+        "Mrs Anna Weber came. Anna Weber left; Weber, and Webers stay.", "Mr Smith saw Mr John Smith. SMITH was not Smithson; John Smith was.",
+        "Dr. Eva Novak and Mrs Eva Novak; Novak", "Mr Paul Gray and Mrs Rita Gray: Mr Gray, Mrs Gray", "The brown fox met Mr Brown; a brown dog, Brown's.",
+    ]
+    rows = [(i, t, "en", "s", 0, 1, 2) for i, t in enumerate(texts)]
+    made = {r["doc_id"]: (r["text"], r["entities"]) for r in surrogates.replace_entities(frame(spark, rows)).collect()}
+    assert made[0][1] == ["ip", "ip"] and made[0][0].split()[1] == made[1][0].split()[1] != "8.8.8.8"
+    assert key not in made[2][0] + made[3][0] and made[3][1] == ["secret", "secret"]
+    assert made[4][1] == made[5][1] == ["iban"]
+    _, given, last, _, *rest = made[6][0].split()
+    last = last.rstrip(".")
+    assert made[6][0] == f"Mrs {given} {last} came. {given} {last} left; {last}, and Webers stay." and (given, last) != ("Anna", "Weber")
+    w = made[7][0].replace(".", "").split()
+    assert w[1] == w[5] and made[7][0].endswith(f"not Smithson; {w[4]} {w[5]} was.") and w[6] == w[5].upper() != "SMITH"
+    w = made[8][0].split()
+    assert w[1:3] == [x.strip(";") for x in w[5:7]] and w[7] == w[2]
+    w = made[9][0].replace(",", "").replace(":", "").split()
+    assert w[8] == w[2] and w[10] == w[6] and w[2] != w[6]
+    assert "Brown" not in made[10][0] and made[10][0].count("brown") == 2
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """Surrogates that collide, or hit a real entity, are drawn again; both ways to send them agree."""
     ips = [f"10.0.0.{i}" for i in range(1, 60)] + ["240.0.0.1"]
