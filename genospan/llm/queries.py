@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genospan.llm.cascade import quality_cascade
 from genospan.llm.forest import near_vectors
 from genospan.llm.minhash import near_duplicates
 from genospan.llm.mixing import repetition_plan
@@ -139,3 +140,38 @@ WHERE rank <= 5
 @query("op10_norm_sorted_topk", TOP_SQL)
 def op10_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+CASCADE_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM texts)
+), repeated AS (
+  SELECT doc_id, unnest([i, i + 1, i + 2]) AS place
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM places) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM repeated GROUP BY doc_id
+), counted AS (
+  SELECT t.doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(c.n, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN covered c USING (doc_id)
+), featured AS (
+  SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words
+            OR 2 * n_dup_lines > len(lines)) AS kept
+FROM featured
+"""
+CASCADE_FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+@query("op13_quality_cascade", CASCADE_SQL)
+def op13_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_cascade(table(spark, sf_dir, "documents"), features=CASCADE_FEATURES)
+    return judged.select("doc_id", *CASCADE_FEATURES, "base_failed", "kept")
