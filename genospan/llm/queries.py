@@ -13,6 +13,7 @@ from genospan.llm.minhash import near_duplicates
 from genospan.llm.mixing import repetition_plan
 from genospan.llm.packing import pack_documents
 from genospan.llm.quality import score_quality
+from genospan.llm.ranking import rank_documents
 from genospan.llm.separators import count_documents, token_stream
 from genospan.llm.substrings import remove_repeats
 from genospan.llm.surrogates import replace_entities
@@ -175,3 +176,35 @@ CASCADE_FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repe
 def op13_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade(table(spark, sf_dir, "documents"), features=CASCADE_FEATURES)
     return judged.select("doc_id", *CASCADE_FEATURES, "base_failed", "kept")
+
+
+RANKING_SQL = r"""
+WITH found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents WHERE text IS NOT NULL
+), counted AS (
+  SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL
+), lengths AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM lengths
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM counted, totals GROUP BY term, nn
+), measured AS (
+  SELECT doc_id, 50 + (50 * n * nn) // ll AS m FROM lengths, totals
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weighed USING (term) JOIN measured USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query("op12_impact_ranking", RANKING_SQL)
+def op12_impact_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

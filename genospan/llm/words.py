@@ -6,7 +6,7 @@ Texts are scanned whole, a bounded number of bytes at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,8 +111,17 @@ class Words:
     hashes: np.ndarray
 
 
-def scan_words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Words]:
-    """The words of every document, in chunks of whole documents of about ``SCAN_BYTES``."""
+def _not_space(part: np.ndarray) -> np.ndarray:
+    return ~_SPACE[part]
+
+
+def scan_words(
+    column: pa.Array | pa.ChunkedArray, lower: bool = False, inside: Callable[[np.ndarray], np.ndarray] = _not_space
+) -> Iterator[Words]:
+    """The words of every document, in chunks of whole documents of about ``SCAN_BYTES``.
+
+    ``inside`` says of each byte whether it lies in a word.
+    """
     data, off = text_bytes(column)
     n, lo = len(off) - 1, 0
     while lo < n:
@@ -120,7 +129,7 @@ def scan_words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Itera
         part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         if lower:
             part = _LOWER[part]
-        word = ~_SPACE[part]
+        word = inside(part)
         before, after = np.zeros(len(part), bool), np.zeros(len(part), bool)
         before[1:], after[:-1] = word[:-1], word[1:]
         inner = o[(o > 0) & (o < len(part))]
