@@ -15,6 +15,7 @@ from genospan.llm.packing import pack_documents
 from genospan.llm.quality import score_quality
 from genospan.llm.ranking import rank_documents
 from genospan.llm.separators import count_documents, token_stream
+from genospan.llm.spelling import spelling_forms
 from genospan.llm.substrings import remove_repeats
 from genospan.llm.surrogates import replace_entities
 from genospan.llm.topk import top_inner_products
@@ -208,3 +209,8 @@ FROM scored WHERE score > 0 QUALIFY rank <= 50
 @query("op12_impact_ranking", RANKING_SQL)
 def op12_impact_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_spelling_forms")
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))

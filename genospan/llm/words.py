@@ -116,11 +116,11 @@ def _not_space(part: np.ndarray) -> np.ndarray:
 
 
 def scan_words(
-    column: pa.Array | pa.ChunkedArray, lower: bool = False, inside: Callable[[np.ndarray], np.ndarray] = _not_space
+    column: pa.Array | pa.ChunkedArray, lower: bool = False, inside: Callable[[np.ndarray], np.ndarray] = _not_space, hashed: bool = True
 ) -> Iterator[Words]:
     """The words of every document, in chunks of whole documents of about ``SCAN_BYTES``.
 
-    ``inside`` says of each byte whether it lies in a word.
+    ``inside`` says of each byte whether it lies in a word; without ``hashed`` the words carry no hashes.
     """
     data, off = text_bytes(column)
     n, lo = len(off) - 1, 0
@@ -136,5 +136,6 @@ def scan_words(
         before[inner] = False
         after[inner - 1] = False
         starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-        yield Words(lo, part, starts, ends, np.searchsorted(starts, o), word_hashes(part, starts, ends))
+        hashes = word_hashes(part, starts, ends) if hashed else np.zeros(0, _U64)
+        yield Words(lo, part, starts, ends, np.searchsorted(starts, o), hashes)
         lo = hi
