@@ -19,13 +19,12 @@ import string
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genospan.llm.runtime import cut
+from genospan.llm.runtime import cut, worker_state
 from genospan.session import ship_by_value
 
 ship_by_value(__name__)
@@ -184,11 +183,13 @@ class Stream:
         return out
 
 
-@lru_cache(maxsize=1 << 12)
 def _kin(c: str) -> str:
-    """Letters or digits of the same case near ``c`` in its script."""
-    low = ord(c) & ~63
-    return "".join(chr(k) for k in range(max(low, 128), low + 64) if unicodedata.category(chr(k)) == unicodedata.category(c))
+    """Letters or digits of the same case near ``c`` in its script; kept for each block of 64 and category."""
+    low, kind = ord(c) & ~63, unicodedata.category(c)
+    known = worker_state("kin", dict)
+    if (low, kind) not in known:
+        known[low, kind] = "".join(chr(k) for k in range(max(low, 128), low + 64) if unicodedata.category(chr(k)) == kind)
+    return known[low, kind]
 
 
 def _alike(text: str, draw: Stream) -> str:

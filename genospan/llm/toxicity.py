@@ -29,13 +29,15 @@ ship_by_value(__name__)
 
 SAMPLE = 40_000
 THRESHOLD = 0.3
+UNLABELLED_WEIGHT = 0.1  # of a row without a label in the classifier's fit; one with a label weighs 1
 MINED_VOTERS = 16
 MOST_TERMS = 4_096
 LEAST_TOXIC = 4
 LEAST_LOG_ODDS = 1.5  # of the lower end of a term's 95 % interval
 GIVEN_LABEL_ODDS = math.log(0.98 / 0.02)
 PREFIXES = (3, 4, 5, 6, 7, 8)
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 60_000  # words without any term that a worker remembers
+SLICE_ROWS = 256
 
 # Given lists, common words of insult in four languages.
 LEXICONS = {
@@ -82,8 +84,8 @@ class Terms:
 
 
 def _texts(column: pa.Array) -> Iterator[str]:
-    for lo in range(0, len(column), 256):
-        for t in column.slice(lo, 256).to_pylist():
+    for lo in range(0, len(column), SLICE_ROWS):
+        for t in column.slice(lo, SLICE_ROWS).to_pylist():
             yield t or ""
 
 
@@ -95,38 +97,25 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
 
-def mined_terms(sample: DataFrame, text: str, label: str) -> list[str]:
-    """Terms of toxic sample rows that are rare in clean ones, at most ``MOST_TERMS``, best first."""
+def mined_terms(sample: DataFrame, text: str, label: str, most_terms: int) -> list[str]:
+    """Terms of toxic sample rows that are rare in clean ones, at most ``most_terms``, best first.
+
+    Every term with enough toxic rows is judged by the lower end of its log odds' 95 % interval; the bound takes the best.
+    """
     sizes = {r[0]: r["count"] for r in sample.groupBy(label).count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return []
-    toxic = sample.where(F.col(label) == 1).select(text).mapInArrow(_count_terms, "term string, n long")
-    often = toxic.groupBy("term").agg(F.sum("n").alias("toxic")).where(F.col("toxic") >= LEAST_TOXIC)
-    # Twice as many candidates as are kept at the most, by document count: a bounded list.
-    candidates = {r["term"]: r["toxic"] for r in often.orderBy(F.col("toxic").desc(), "term").limit(8 * MOST_TERMS).collect()}
-    names = sorted(candidates)
-
-    def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(names)
-        for batch in batches:
-            seen = np.zeros(len(names), dtype=np.int64)
-            for t in _texts(batch.column(0)):
-                for i in terms.of(t):
-                    seen[i] += 1
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "n"])
 
-    counted = sample.where(F.col(label) == 0).select(text).mapInArrow(clean_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    clean = {names[r["term"]]: r["n"] for r in counted.collect()}
+    def counted(value: int, name: str) -> DataFrame:
+        counts = sample.where(F.col(label) == value).select(text).mapInArrow(_count_terms, "term string, n long")
+        return counts.groupBy("term").agg(F.sum("n").alias(name))
 
-    def log_odds(t: str) -> float:
-        a, b = candidates[t] + 0.5, clean.get(t, 0) + 0.5
-        return math.log(a / (n_toxic + 1)) - math.log(b / (n_clean + 1)) - 1.96 * math.sqrt(1 / a + 1 / b)
-
-    good = [(t, log_odds(t)) for t in names if log_odds(t) >= LEAST_LOG_ODDS]
-    good.sort(key=lambda x: (-candidates[x[0]] * x[1], x[0]))
-    return [t for t, _ in good[:MOST_TERMS]]
+    both = counted(1, "toxic").where(F.col("toxic") >= LEAST_TOXIC).join(counted(0, "clean"), "term", "left")
+    a, b = F.col("toxic") + 0.5, F.coalesce("clean", F.lit(0)) + 0.5
+    odds = F.log(a / (n_toxic + 1)) - F.log(b / (n_clean + 1)) - 1.96 * F.sqrt(1 / a + 1 / b)
+    good = both.select("term", "toxic", odds.alias("odds")).where(F.col("odds") >= LEAST_LOG_ODDS)
+    return [r["term"] for r in good.orderBy(F.desc(F.col("toxic") * F.col("odds")), "term").limit(most_terms).select("term").collect()]
 
 
 def voter_names(mined: list[str]) -> tuple[list[str], dict[str, list[int]]]:
@@ -170,20 +159,33 @@ def _fired(mask: int) -> list[int]:
     return [k for k in range(mask.bit_length()) if mask >> k & 1]
 
 
-def _vote(voters: tuple, names: list[str], keep_terms: bool):
+def _vote(voters: tuple):
+    """Adds to each row of (rest, text) its votes and the numbers of its terms, a slice of rows at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        panel, terms = Voters(*voters), voters[0]
-        for batch in batches:
-            votes, found = [], []
-            for text in _texts(batch.column(1)):
-                hits, mask = panel.of(text)
-                votes.append(mask)
-                if keep_terms:
-                    found.append([*(terms[i] for i in sorted(hits)), *(f"voter {names[k]}" for k in _fired(mask))])
-            columns = [batch.column(0).cast(pa.int64()), pa.array(votes, pa.int64())]
-            if keep_terms:
-                columns.append(pa.array(found, pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "votes", "terms"][: len(columns)])
+        panel = Voters(*voters)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(lo, SLICE_ROWS)
+                votes, found = [], []
+                for text in _texts(batch.column(batch.num_columns - 1)):
+                    hits, mask = panel.of(text)
+                    votes.append(mask)
+                    found.append(np.array(sorted(hits), np.int32))
+                columns = [*batch.columns, pa.array(votes, pa.int64()), pa.array(found, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "votes", "terms"])
+
+    return run
+
+
+def _vote_alone(voters: tuple):
+    """``_vote`` without the text."""
+    vote = _vote(voters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in vote(batches):
+            at = batch.num_columns - 3
+            yield pa.RecordBatch.from_arrays([c for k, c in enumerate(batch.columns) if k != at], names=[n for k, n in enumerate(batch.schema.names) if k != at])
 
     return run
 
@@ -268,12 +270,16 @@ def score_toxicity(
     label: str = "toxic",
     *,
     sample: int = SAMPLE,
+    most_terms: int = MOST_TERMS,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``score``, ``predicted``; see ``with_toxicity``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    score = _scorer(rows, labels, doc_id, label, sample)
-    scored = rows.mapInArrow(lambda it: score(it, False), "doc_id long, score double")
+    learnt = _learnt_rows(rows, labels, doc_id, label, sample)
+    panel, names = _panel(learnt, most_terms)
+    voted = cut(rows.mapInArrow(_vote_alone(panel), "doc_id long, votes long, terms array<int>"))
+    unlabelled = _unlabelled(voted, F.col("doc_id"), learnt, sample)
+    scored = voted.mapInArrow(_classifier(voted, learnt, unlabelled, panel, names), "doc_id long, score double")
     return scored.select(
         "doc_id",
         (~training_row(F.col("doc_id"))).alias("held_out"),
@@ -283,70 +289,94 @@ def score_toxicity(
 
 
 def with_toxicity(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", *, into: str = "toxicity", sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", *, into: str = "toxicity", sample: int = SAMPLE, most_terms: int = MOST_TERMS
 ) -> DataFrame:
     """``docs`` with the column ``into``, a score from 0 to 1; a column of that name is replaced.
 
     Terms are mined and the classifier is fitted on at most ``sample`` labelled rows that are
-    not held out; the label model covers all documents.  A null text counts as empty and gets the
+    not held out and as many without a label; at most ``most_terms`` terms are mined; the label model covers all documents.  A null text counts as empty and gets the
     score of a text without terms; rows without an id are scored and never learnt from; with no toxic or no clean
     label every score is the share of toxic labels (0 without labels).
     """
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    score = _scorer(ids, labels, doc_id, label, sample)
+    learnt = _learnt_rows(ids, labels, doc_id, label, sample)
+    panel, names = _panel(learnt, most_terms)
     kept = [c for c in docs.columns if c != into]
     others = F.struct(F.lit(1).alias("__one"), *[c for c in kept if c != text])
     rows = docs.select(others.alias("rest"), F.col(text).alias("text"))
     rest = rows.schema["rest"].dataType.simpleString()
-    scored = rows.mapInArrow(lambda it: score(it, True), f"rest {rest}, text string, score double")
+    # The rows are written with their votes, so that no text is read twice for its terms.
+    voted = cut(rows.mapInArrow(_vote(panel), f"rest {rest}, text string, votes long, terms array<int>"))
+    unlabelled = _unlabelled(voted, F.col("rest")[doc_id] if doc_id != text else F.col("text"), learnt, sample)
+    scored = voted.mapInArrow(_classifier(voted, learnt, unlabelled, panel, names), f"rest {rest}, text string, score double")
     return scored.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in kept], F.col("score").alias(into))
 
 
-def _scorer(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, sample: int):
-    """A function over batches of (anything, text) that scores the text, learnt from the documents and labels."""
+def _learnt_rows(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, sample: int) -> DataFrame:
+    """(id, label, text) of at most ``sample`` labelled documents that are not held out."""
     ids = docs.select(F.col("doc_id").alias("id"), "text")
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & training_row(F.col(doc_id)))
     chosen = known.groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = cut(chosen.orderBy(F.xxhash64("id"), "id").limit(sample))
     # At most ``sample`` pairs of numbers: small enough for every executor.
-    learnt = cut(ids.join(F.broadcast(chosen), "id").select("id", "label", "text"))
-    mined = mined_terms(learnt, "text", "label")
-    names, holders = voter_names(mined)
+    return cut(ids.join(F.broadcast(chosen), "id").select("id", "label", "text"))
+
+
+def _panel(learnt: DataFrame, most_terms: int) -> tuple[tuple, list[str]]:
+    """The voters (terms, their voters as bits, the bit for no term, patterns) and their names."""
+    names, holders = voter_names(mined_terms(learnt, "text", "label", most_terms))
     bit = {n: 1 << i for i, n in enumerate(names)}
     terms = sorted(holders)
     masks = [sum(1 << v for v in set(holders[t])) for t in terms]
-    pattern_bits = [(p, bit[n]) for n, p in PATTERNS.items()]
-    panel = (terms, masks, bit["no_term"], pattern_bits)
-
-    everyone = ids.mapInArrow(_vote(panel, names, False), "id long, votes long")
-    voted_sample = cut(learnt.select("id", "text", "label").join(F.broadcast(chosen.select("id")), "id", "left_semi").select("id", "text").mapInArrow(_vote(panel, names, True), "id long, votes long, terms array<string>"))
-    labelled = voted_sample.join(chosen, "id").select("votes", "label", "terms")
-    counted = everyone.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).select("votes", F.lit(None).cast("int").alias("label"), "n")
-    given = labelled.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n"))
+    return (terms, masks, bit["no_term"], [(p, bit[n]) for n, p in PATTERNS.items()]), names
+
+
+def _unlabelled(voted: DataFrame, doc_id: Column, learnt: DataFrame, sample: int) -> DataFrame:
+    """(votes, terms) of at most ``sample`` documents that are not held out and have no label that was learnt from."""
+    free = voted.select(doc_id.cast("long").alias("id"), "votes", "terms").where(F.col("id").isNotNull() & training_row(F.col("id")))
+    return cut(free.join(learnt.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(sample).select("votes", "terms"))
+
+
+def _classifier(voted: DataFrame, learnt: DataFrame, unlabelled: DataFrame, panel: tuple, names: list[str]):
+    """A function over batches of (anything, votes, terms) that gives (anything, score); learnt from the votes of all rows and the labels."""
+    terms = panel[0]
+    sample = cut(learnt.select("label", "text").mapInArrow(_vote_alone(panel), "label int, votes long, terms array<int>"))
+    counted = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).select("votes", F.lit(None).cast("int").alias("label"), "n")
+    given = sample.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n"))
     patterns = cut(counted.union(given.select("votes", "label", "n")))
     sizes = {r["label"]: r["s"] for r in given.groupBy("label").agg(F.sum("n").alias("s")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         flat = 1.0 if sizes.get(1) else 0.0
-        weights, bias = {}, math.log((flat + 1e-6) / (1 - flat + 1e-6))
+        weights, bias = np.zeros(len(terms) + len(names)), math.log((flat + 1e-6) / (1 - flat + 1e-6))
     else:
         model = LabelModel(len(names)).fit(patterns)
-        soft = labelled.withColumn("p", model.posterior(F.col("votes"), F.col("label")))
-        halves = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - F.col("p")).alias("w"))))
-        rows = soft.withColumn("half", halves).select("terms", "half.y", "half.w").where("w > 1e-6")
-        features = [*terms, *(f"voter {n}" for n in names)]
-        vectors = CountVectorizerModel.from_vocabulary(features, inputCol="terms", outputCol="x", minTF=0.0).setBinary(True)
-        fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=40, regParam=1e-4).fit(vectors.transform(rows))
-        bias = float(fitted.intercept)
-        weights = dict(zip(features, fitted.coefficients.toArray().tolist(), strict=True))
-    by_term = [weights.get(t, 0.0) for t in terms]
-    by_voter = [weights.get(f"voter {n}", 0.0) for n in names]
-
-    def score(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-        voters = Voters(*panel)
+        # Rows without a label count by their posterior alone.
+        taken = sample.select("label", "votes", "terms").union(unlabelled.select(F.lit(None).cast("int"), "votes", "terms"))
+        soft = taken.withColumn("p", model.posterior(F.col("votes"), F.col("label")))
+        trust = F.when(F.col("label").isNull(), F.lit(UNLABELLED_WEIGHT)).otherwise(F.lit(1.0))
+        sides = [F.struct(F.lit(y).alias("y"), (trust * p).alias("w")) for y, p in ((1.0, F.col("p")), (0.0, 1 - F.col("p")))]
+        halves = F.explode(F.array(*sides))
+        rows = soft.withColumn("half", halves).select("votes", "terms", "half.y", "half.w").where("w > 1e-6")
+        # A row's features: the numbers of its terms, then of the voters that fire.
+        fired = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.getbit(F.col("votes"), k) == 1)
+        on = F.concat(F.col("terms"), F.transform(fired, lambda k: k + len(terms)))
+        numbered = rows.select("y", "w", F.transform(on, lambda k: k.cast("string")).alias("on"))
+        features = [str(k) for k in range(len(terms) + len(names))]
+        vectors = CountVectorizerModel.from_vocabulary(features, inputCol="on", outputCol="x", minTF=0.0).setBinary(True).transform(numbered)
+        fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=40, regParam=1e-4).fit(vectors)
+        bias, weights = float(fitted.intercept), fitted.coefficients.toArray()
+    by_term, by_voter = weights[: len(terms)], weights[len(terms) :]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [voters.of(t) for t in _texts(batch.column(1))]
-            z = np.array([bias + math.fsum([*(by_term[i] for i in hits), *(by_voter[k] for k in _fired(mask))]) for hits, mask in found], dtype=np.float64)
-            columns = batch.columns[: 2 if keep_text else 1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*batch.schema.names[: len(columns)], "score"])
+            at = batch.num_columns - 2
+            votes = batch.column(at).to_numpy(zero_copy_only=False)
+            found = batch.column(at + 1)
+            edge = found.offsets.to_numpy().astype(np.int64)
+            held, z = edge[1:] > edge[:-1], np.full(batch.num_rows, bias)
+            z[held] += np.add.reduceat(by_term[found.values.to_numpy()[: edge[-1]]], edge[:-1][held]) if held.any() else 0.0
+            for k, w in enumerate(by_voter.tolist()):
+                z = z + np.where(votes >> k & 1, w, 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*batch.schema.names[:at], "score"])
 
     return score
