@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from genospan.llm.runtime import int64_column
 from genospan.llm.tokens import END_ID, encoder, vocabulary_path
-from genospan.llm.words import text_bytes
 from genospan.session import ship_by_value
 
 ship_by_value(__name__)
@@ -211,16 +210,14 @@ def pack_documents(
         encode = encoder(vocabulary).encode
         for batch in batches:
             ids, valid = int64_column(batch.column(0))
-            data, off = text_bytes(batch.column(1))
-            raw = data.tobytes()
-            for lo in range(0, len(ids), 256):
-                hi = min(lo + 256, len(ids))
-                coded = encode([raw[a:b] for a, b in zip(off[lo:hi].tolist(), off[lo + 1 : hi + 1].tolist(), strict=True)])
-                for k, tokens in enumerate(coded, lo):
-                    n = len(tokens) // 4
-                    packer.add(Piece(int(ids[k]) if valid[k] else None, 0, tokens + end, n, n + 1))
-                if len(packer.rows) >= 2000:
-                    yield packer.take()
+            k = 0
+            for tokens, edge in encode(batch.column(1)):
+                raw = tokens.astype("<u4").tobytes()
+                for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    packer.add(Piece(int(ids[k]) if valid[k] else None, 0, raw[4 * lo : 4 * hi] + end, hi - lo, hi - lo + 1))
+                    k += 1
+                    if len(packer.rows) >= 2000:
+                        yield packer.take()
         packer.finish()
         yield packer.take()
 

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from genospan.llm.runtime import cut
 from genospan.llm.tokens import encoder, vocabulary_path
-from genospan.llm.words import text_bytes
 from genospan.session import ship_by_value
 
 ship_by_value(__name__)
@@ -68,13 +67,13 @@ def token_stream(docs: DataFrame, text: str = "text", *, path: str | None = None
                 block += 1
 
         for batch in batches:
-            data, off = text_bytes(batch.column(0))
-            raw = data.tobytes()
-            for lo in range(0, batch.num_rows, 256):
-                edges = off[lo : min(lo + 256, batch.num_rows) + 1].tolist()
-                for ids in encode([raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]):
-                    held += ids
+            for tokens, edge in encode(batch.column(0)):
+                raw = tokens.astype("<u4").tobytes()
+                for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    held += raw[4 * lo : 4 * hi]
                     held += end
+                    if len(held) >= 16 * size:
+                        yield from flush(size)
                 yield from flush(size)
         yield from flush(1)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genospan.llm.runtime import cut, int64_column
-from genospan.llm.words import scan_words
+from genospan.llm.words import gathered, scan_words
 from genospan.session import ship_by_value
 
 ship_by_value(__name__)
@@ -79,7 +79,7 @@ def _count(least_letters: int, drop_every: int):
         for batch in batches:
             ids, named = int64_column(batch.column(0))
             cut_short: Counter[str] = Counter()
-            whole: list[pa.Array] = []
+            whole: list[pa.LargeBinaryArray] = []
             for part in scan_words(batch.column(1), lower=True, inside=in_run, hashed=False):
                 docs = len(part.ptr) - 1
                 own, known = ids[part.first : part.first + docs], named[part.first : part.first + docs]
@@ -95,11 +95,9 @@ def _count(least_letters: int, drop_every: int):
                 size = part.ends - part.starts
                 leads = np.concatenate([[0], np.cumsum(part.data == _LEAD)])
                 keep = ~drop & (size - (leads[part.ends] - leads[part.starts]) >= least_letters)
-                inside = part.data[np.repeat(part.starts[keep] - np.cumsum(size[keep]) + size[keep], size[keep]) + np.arange(size[keep].sum())]
-                offsets = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
-                whole.append(pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(inside)))
-            counts = pc.value_counts(pa.chunked_array(whole, pa.string()))
-            words, n = counts.field("values"), counts.field("counts")
+                whole.append(gathered(part.data, part.starts[keep], part.ends[keep]))
+            counts = pc.value_counts(pa.chunked_array(whole, pa.large_binary()))
+            words, n = counts.field("values").cast(pa.large_string()).cast(pa.string()), counts.field("counts")
             yield pa.RecordBatch.from_arrays([words, n.cast(pa.int64())], names=["word", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(list(cut_short), pa.string()), pa.array(list(cut_short.values()), pa.int64())], names=["word", "n"])
 

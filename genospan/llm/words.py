@@ -116,16 +116,20 @@ def _not_space(part: np.ndarray) -> np.ndarray:
 
 
 def scan_words(
-    column: pa.Array | pa.ChunkedArray, lower: bool = False, inside: Callable[[np.ndarray], np.ndarray] = _not_space, hashed: bool = True
+    column: pa.Array | pa.ChunkedArray,
+    lower: bool = False,
+    inside: Callable[[np.ndarray], np.ndarray] = _not_space,
+    hashed: bool = True,
+    at_once: int = SCAN_BYTES,
 ) -> Iterator[Words]:
-    """The words of every document, in chunks of whole documents of about ``SCAN_BYTES``.
+    """The words of every document, in chunks of whole documents of about ``at_once`` bytes.
 
     ``inside`` says of each byte whether it lies in a word; without ``hashed`` the words carry no hashes.
     """
     data, off = text_bytes(column)
     n, lo = len(off) - 1, 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SCAN_BYTES, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + at_once, side="right")) - 1)
         part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         if lower:
             part = _LOWER[part]
@@ -139,3 +143,16 @@ def scan_words(
         hashes = word_hashes(part, starts, ends) if hashed else np.zeros(0, _U64)
         yield Words(lo, part, starts, ends, np.searchsorted(starts, o), hashes)
         lo = hi
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``start .. start + size`` of every pair, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes between the borders as one Arrow column."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[spread(starts, sizes)])])
