@@ -7,10 +7,10 @@ minimum of contiguous slices of one table.  Bands of coordinates propose pairs,
 signatures discard the hopeless ones, and full sets confirm the links.
 
 Equal sets are one class from the start.  Inside a band bucket members are first
-compared with one leader.  Where a member then belongs to another component than others of
-its bucket, and some pair of them looks alike, it is compared with the members of
-that component until one is close enough.  So a group of many near copies costs about
-its size, not its square, and no link between different components is lost.
+compared with one leader.  Where members of a bucket then still belong to several components, those outside the largest
+meet all members, in blocks of bounded size: signatures say which rows of a block look alike across components,
+full sets of these rows confirm the links inside the block, and only links that join two of its components leave it.
+So a block hands on fewer rows than it has, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ RING = 1 << 20
 BANDS, BAND_WIDTH = 32, 5
 SIMILARITY = 80  # per cent
 SLACK = 5.0  # standard deviations that a signature may fall short of the similarity
-OUTLIER_BLOCK, MEMBER_BLOCK = 256, 2048
+OUTLIER_BLOCK, MEMBER_BLOCK = 256, 2048  # rows of a block at most
+OUTLIER_SHINGLES, MEMBER_SHINGLES = 1 << 18, 1 << 20  # and shingles of all its rows, on average
 
 
 def ring_windows(coordinates: int) -> np.ndarray:
@@ -79,34 +80,28 @@ def _signatures(width: int, coordinates: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, sig = [], [], []
+            ids = batch.column(0).cast(pa.int64())
             for part in scan_words(batch.column(1), lower=True):
+                n, fp, sig = [], [], []
                 for s in shingle_sets(part, width):
                     n.append(len(s))
-                    if not len(s):
-                        fp.append(None), sig.append(None)
-                        continue
-                    fp.append(_fingerprint(s))
-                    sig.append(signature(s, coordinates).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())],
-                schema=schema,
-            )
+                    fp.append(_fingerprint(s) if len(s) else None)
+                    sig.append(signature(s, coordinates).astype(np.uint16).tobytes() if len(s) else None)
+                own = ids.slice(part.first, len(n))
+                yield pa.RecordBatch.from_arrays([own, pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], schema=schema)
 
     return run
 
 
 def _sets(width: int):
-    schema = pa.schema([("fp", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    """(fp, shingles): the sorted shingle hashes of each text as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, sets = [], []
             for part in scan_words(batch.column(0), lower=True):
-                for s in shingle_sets(part, width):
-                    fp.append(_fingerprint(s))
-                    sets.append(s.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+                sets = list(shingle_sets(part, width))
+                columns = [pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "shingles"])
 
     return run
 
@@ -120,62 +115,99 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield batch.filter(pa.array((a == b).mean(axis=1) >= least)).select([0, 1])
 
 
+def _close(similarity: int):
+    """Pairs (a, b, xa, xb) whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= similarity * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return run
+
+
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return np.unique(np.array(column.to_pylist(), dtype=object), return_inverse=True)[1]
 
 
-def _contacts(least: float):
-    """In each block of a bucket: outliers, and the other components of which a member looks alike."""
+def _lookalikes(least: float, band_width: int):
+    """In each block of a bucket: the rows that look like a row of the other side in another component.
+
+    A pair that shares several buckets is left to the first band of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, ["band", "ob", "mb"]):
             side = block["outlier"].to_numpy()
             if side.all() or not side.any():
                 continue
-            sig, names = binary_rows(block["sig"], np.uint16), block["comp"].to_pylist()
-            fp, comp = block["fp"].to_pylist(), _codes(block["comp"])
-            members = np.flatnonzero(~side)
-            found: set[tuple[bytes, bytes]] = set()
-            for o in np.flatnonzero(side).tolist():
-                close = (sig[members] == sig[o]).mean(axis=1) >= least
-                near = members[close & (comp[members] != comp[o])]
-                found |= {(fp[o], names[m]) for m in near[np.unique(comp[near], return_index=True)[1]].tolist()}
-            if found:
-                columns = [pa.array(list(c), pa.binary()) for c in zip(*sorted(found), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "target"])
+            sig, comp, own_band = binary_rows(block["sig"], np.uint16), _codes(block["comp"]), block["k"][0].as_py()
+            members, outliers = np.flatnonzero(~side), np.flatnonzero(side)
+            wanted = np.zeros(len(side), bool)
+            for o in outliers.tolist():
+                other = members[comp[members] != comp[o]]
+                same = sig[other] == sig[o]
+                earlier = same[:, : own_band * band_width].reshape(len(other), own_band, band_width).all(axis=2).any(axis=1)
+                near = other[(same.mean(axis=1) >= least) & ~earlier]
+                wanted[near] = True
+                wanted[o] |= len(near) > 0
+            if wanted.any():
+                yield from block.filter(pa.array(wanted)).select(["band", "ob", "mb", "outlier", "fp", "comp"]).to_batches()
 
     return run
 
 
-def _first_links(least: float, similarity: int):
-    """In each block of a component: for every outlier one member that is close enough, the likeliest first."""
+class Forest:
+    """Union-find over numbers from 0."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _spanning_links(similarity: int):
+    """In each block: confirmed links between outliers and members that join two components of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs(batches, ["target", "ob", "mb"]):
+        for block in runs(batches, ["band", "ob", "mb"]):
             side = block["outlier"].to_numpy()
             if side.all() or not side.any():
                 continue
-            sig, fp = binary_rows(block["sig"], np.uint16), block["fp"].to_pylist()
-            flat = block["shingles"].combine_chunks()
-            edge, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-            of = lambda k: values[edge[k] : edge[k + 1]]
+            fp, comp = block["fp"].to_pylist(), _codes(block["comp"])
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["shingles"].combine_chunks()]
+            size = np.array([len(x) for x in sets])
+            # Shingles as small numbers, so that one table marks an outlier's and a sum counts each member's share.
+            number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            edge = np.concatenate([[0], np.cumsum(size)])
             members = np.flatnonzero(~side)
+            inside = np.concatenate([number[edge[m] : edge[m + 1]] for m in members.tolist()])
+            at = np.concatenate([[0], np.cumsum(size[members])])[:-1]
+            mark, forest = np.zeros(int(number.max()) + 1, np.int32), Forest(int(comp.max()) + 1)
             a, b = [], []
             for o in np.flatnonzero(side).tolist():
-                close = (sig[members] == sig[o]).mean(axis=1)
-                for k in np.argsort(-close, kind="stable").tolist():
-                    if close[k] < least:
-                        break
-                    x, y = of(o), of(int(members[k]))
-                    small, large = min(len(x), len(y)), max(len(x), len(y))
-                    if 100 * small < similarity * large:
-                        continue
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= similarity * (len(x) + len(y) - common):
-                        a.append(fp[o]), b.append(fp[int(members[k])])
-                        break
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                own = number[edge[o] : edge[o + 1]]
+                mark[own] = 1
+                common = np.add.reduceat(mark[inside], at)
+                mark[own] = 0
+                linked = members[100 * common >= similarity * (size[members] + size[o] - common)]
+                for m in linked.tolist():
+                    if forest.join(int(comp[o]), int(comp[m])):
+                        a.append(fp[o]), b.append(fp[m])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -206,42 +238,39 @@ def near_duplicates(
     ids = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = cut(ids.mapInArrow(_signatures(shingle_words, coordinates), "id long, n long, fp binary, sig binary"))
     nodes = signed.where("id is not null and n > 0")
-    classes = cut(nodes.groupBy("fp").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
+    classes = cut(nodes.groupBy("fp").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.max("n").alias("n")))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("k")
     slice_ = F.substring("sig", F.col("k") * 2 * band_width + 1, F.lit(2 * band_width))
-    placed = classes.select("fp", "sig", numbers).select("fp", F.xxhash64("k", slice_).alias("band"))
+    placed = classes.select("fp", "sig", "n", numbers).select("fp", "n", "k", F.xxhash64("k", slice_).alias("band"))
     shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("leader")).where("size > 1")
     members = cut(placed.join(shared, "band"))
 
     sigs = classes.select("fp", "sig")
     star = members.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct()
 
-    def with_signatures(pairs: DataFrame) -> DataFrame:
-        half = pairs.join(sigs.withColumnsRenamed({"fp": "a", "sig": "sa"}), "a")
-        both = half.join(sigs.withColumnsRenamed({"fp": "b", "sig": "sb"}), "b")
-        return both.select("a", "b", "sa", "sb")
-
-    tested = cut(with_signatures(star).mapInArrow(lambda it: _alike(it, least), "a binary, b binary"))
+    def paired(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+        half = pairs.join(held.select(F.col("fp").alias("a"), F.col(column).alias("xa")), "a")
+        return half.join(held.select(F.col("fp").alias("b"), F.col(column).alias("xb")), "b").select("a", "b", "xa", "xb")
 
-    # Full sets of the classes that share a bucket: read once, used by every confirmation.
-    wanted = members.select("fp").distinct().join(classes.select("fp", "rep"), "fp")
-    texts = ids.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(shingle_words), "fp binary, shingles array<long>")
-    sets = cut(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    tested = cut(paired(star, sigs, "sig").mapInArrow(lambda it: _alike(it, least), "a binary, b binary"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        half = pairs.join(sets.withColumnsRenamed({"fp": "a", "shingles": "xa"}), "a")
-        both = half.join(sets.withColumnsRenamed({"fp": "b", "shingles": "xb"}), "b")
-        common = F.size(F.array_intersect("xa", "xb"))
-        union = F.size("xa") + F.size("xb") - common
-        return both.where(100 * common >= similarity * union).select("a", "b")
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        """(fp, shingles) of the classes ``wanted``, from one text of each."""
+        reps = wanted.distinct().join(classes.select("fp", "rep"), "fp").select(F.col("rep").alias("id")).distinct()
+        texts = ids.join(reps, "id", "left_semi").select("text")
+        sets = texts.mapInArrow(_sets(shingle_words), "fp binary, shingles binary")
+        return sets.groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
-    links = cut(confirmed(tested))
+    sets = cut(full_sets(tested.select(F.explode(F.array("a", "b")).alias("fp"))))
+    links = cut(paired(tested, sets, "shingles").mapInArrow(_close(similarity), "a binary, b binary"))
     component = cut(connected_components(links, "a", "b"))
-    contacts = cut(_open_contacts(members, component, sigs, least))
+    contacts = cut(_open_contacts(members, component, sigs, least, band_width))
     if not contacts.isEmpty():
-        links = links.union(_exact_contacts(contacts, members, component, sigs, sets, least, similarity))
-        component = cut(connected_components(cut(links), "a", "b"))
+        more = full_sets(contacts.select("fp"))
+        key = ["band", "ob", "mb"]
+        blocks = contacts.join(more, "fp").repartition(*key).sortWithinPartitions(*key)
+        joined = blocks.mapInArrow(_spanning_links(similarity), "a binary, b binary")
+        component = cut(connected_components(cut(links.union(joined)), "a", "b"))
 
     named = classes.select("fp", "rep").join(component.withColumnsRenamed({"node": "fp"}), "fp", "left")
     named = named.withColumn("component", F.coalesce("component", "fp"))
@@ -257,78 +286,52 @@ def near_duplicates(
     )
 
 
-def _blocks(outliers: DataFrame, others: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """Outliers and others of each key dealt to blocks of bounded size, so that every outlier meets every other once.
-
-    ``sizes`` has one row a key: ``n_out`` outliers and ``n_all`` others.
-    """
-    n_ob = F.ceil(F.col("n_out") / OUTLIER_BLOCK).cast("int")
-    n_mb = F.ceil(F.col("n_all") / MEMBER_BLOCK).cast("int")
-    own_ob = F.pmod(F.xxhash64("fp"), n_ob).cast("int")
-    own_mb = F.pmod(F.xxhash64("fp", F.lit(1)), n_mb).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    rest = [c for c in outliers.columns if c != key]
-    left = outliers.join(sizes, key).select(key, own_ob.alias("ob"), every(n_mb).alias("mb"), F.lit(True).alias("outlier"), *rest)
-    right = others.join(sizes, key).select(key, every(n_ob).alias("ob"), own_mb.alias("mb"), F.lit(False).alias("outlier"), *rest)
-    return left.union(right).repartition(key, "ob", "mb").sortWithinPartitions(key, "ob", "mb")
-
-
-def _open_contacts(members: DataFrame, component: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """(fp, target): classes that share a bucket and look alike with a member of another component.
+def _open_contacts(members: DataFrame, component: DataFrame, sigs: DataFrame, least: float, band_width: int) -> DataFrame:
+    """(band, ob, mb, outlier, fp, comp): rows of blocks that look alike with a row of another component.
 
     Buckets of two were settled by their leader.  In larger ones every member
     outside the largest component meets all members.
     """
     of = component.withColumnsRenamed({"node": "fp", "component": "comp"})
-    placed = members.where("size > 2").select("band", "fp").join(of, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    parts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    placed = members.where("size > 2").select("band", "k", "fp", "n").join(of, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    parts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     split = parts.groupBy("band").agg(
-        F.max(F.struct("n", "comp"))["comp"].alias("main"),
-        (F.sum("n") - F.max("n")).alias("n_out"),
-        F.sum("n").alias("n_all"),
+        F.max(F.struct("rows", "comp"))["comp"].alias("main"),
+        (F.sum("rows") - F.max("rows")).alias("out_rows"),
+        (F.sum("shingles") - F.max(F.struct("rows", "comp", "shingles"))["shingles"]).alias("out_shingles"),
+        F.sum("rows").alias("all_rows"),
+        F.sum("shingles").alias("all_shingles"),
         F.count(F.lit(1)).alias("n_comp"),
     )
-    split = split.where("n_comp > 1").drop("n_comp")
+    blocks_of = lambda side, rows, shingles: F.greatest(
+        F.ceil(F.col(f"{side}_rows") / rows), F.ceil(F.col(f"{side}_shingles") / shingles)
+    ).cast("int")
+    split = split.where("n_comp > 1").select(
+        "band", "main", blocks_of("out", OUTLIER_BLOCK, OUTLIER_SHINGLES).alias("n_ob"), blocks_of("all", MEMBER_BLOCK, MEMBER_SHINGLES).alias("n_mb")
+    )
     # Signatures meet a class once, not once a bucket; a class lies in one bucket a band at most.
-    rows = placed.join(split, "band").groupBy("fp", "comp").agg(F.collect_list(F.struct("band", "main", "n_out", "n_all")).alias("places"))
+    rows = placed.join(split, "band").groupBy("fp", "comp").agg(F.collect_list(F.struct("band", "k", "main", "n_ob", "n_mb")).alias("places"))
     rows = cut(rows.join(sigs, "fp"))
 
-    def own(n: Column, size: int, *salt: Column) -> Column:
-        return F.pmod(F.xxhash64("fp", *salt), F.ceil(n / size).cast("int")).cast("int")
-
-    def each(n: Column, size: int) -> Column:
-        return F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)
+    def own(n: Column, *salt: Column) -> Column:
+        return F.pmod(F.xxhash64("fp", *salt), n).cast("int")
 
-    def outlier_blocks(p: Column) -> Column:
-        ob = own(p["n_out"], OUTLIER_BLOCK)
-        return F.transform(each(p["n_all"], MEMBER_BLOCK), lambda mb: F.struct(p["band"].alias("band"), ob.alias("ob"), mb.alias("mb")))
+    def every(n: Column) -> Column:
+        return F.sequence(F.lit(0), n - 1)
 
-    def member_blocks(p: Column) -> Column:
-        mb = own(p["n_all"], MEMBER_BLOCK, F.lit(1))
-        return F.transform(each(p["n_out"], OUTLIER_BLOCK), lambda ob: F.struct(p["band"].alias("band"), ob.alias("ob"), mb.alias("mb")))
+    def at(p: Column, ob: Column, mb: Column) -> Column:
+        return F.struct(p["band"].alias("band"), p["k"].alias("k"), ob.alias("ob"), mb.alias("mb"))
 
     outside = F.filter("places", lambda p: p["main"] != F.col("comp"))
-    sides = [(True, F.flatten(F.transform(outside, outlier_blocks))), (False, F.flatten(F.transform("places", member_blocks)))]
+    outlier_blocks = F.transform(outside, lambda p: F.transform(every(p["n_mb"]), lambda mb: at(p, own(p["n_ob"]), mb)))
+    member_blocks = F.transform("places", lambda p: F.transform(every(p["n_ob"]), lambda ob: at(p, ob, own(p["n_mb"], F.lit(1)))))
     dealt = [
-        rows.select("fp", "comp", "sig", F.explode(at).alias("at")).select(
-            "at.band", "at.ob", "at.mb", F.lit(outlier).alias("outlier"), "fp", "comp", "sig"
+        rows.select("fp", "comp", "sig", F.explode(F.flatten(where)).alias("at")).select(
+            "at.band", "at.ob", "at.mb", "at.k", F.lit(outlier).alias("outlier"), "fp", "comp", "sig"
         )
-        for outlier, at in sides
+        for outlier, where in ((True, outlier_blocks), (False, member_blocks))
     ]
     key = ["band", "ob", "mb"]
     blocks = dealt[0].union(dealt[1]).repartition(*key).sortWithinPartitions(*key)
-    return blocks.mapInArrow(_contacts(least), "fp binary, target binary").distinct()
-
-
-def _exact_contacts(
-    contacts: DataFrame, members: DataFrame, component: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, similarity: int
-) -> DataFrame:
-    """Links of contacts: each outlier against the members of its target component, on full sets."""
-    of = component.withColumnsRenamed({"node": "fp", "component": "target"})
-    own = members.select("fp").distinct().join(of, "fp", "left").withColumn("target", F.coalesce("target", "fp"))
-    targets = contacts.groupBy("target").agg(F.count(F.lit(1)).alias("n_out"))
-    inside = own.join(targets, "target").drop("n_out")
-    sizes = cut(targets.join(inside.groupBy("target").agg(F.count(F.lit(1)).alias("n_all")), "target"))
-    full = lambda rows: rows.join(sigs, "fp").join(sets, "fp").select("target", "fp", "sig", "shingles")
-    blocks = _blocks(full(contacts), full(inside), sizes, "target")
-    return blocks.mapInArrow(_first_links(least, similarity), "a binary, b binary")
+    schema = "band long, ob int, mb int, outlier boolean, fp binary, comp binary"
+    return blocks.mapInArrow(_lookalikes(least, band_width), schema)
