@@ -7,9 +7,9 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Nucleotide codes and their partners; other characters stay as they are.
+# Nucleotide codes and their partners (W and S pair with themselves); other characters stay as they are.
 IUPAC = "ACGTYRWSKMDHBV"
-IUPAC_COMPLEMENT = "TGCARYSWMKHDVB"
+IUPAC_COMPLEMENT = "TGCARYWSMKHDVB"
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:

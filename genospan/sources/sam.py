@@ -22,12 +22,11 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     t = lines.where(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("t"))
     # TAG:TYPE:VALUE; a value may itself contain colons.
     extra = F.slice(F.col("t"), 12, F.greatest(F.size("t") - 11, F.lit(0)))
-    tags = F.map_from_entries(
-        F.transform(
-            F.filter(extra, lambda x: x.rlike("^[^:]+:[^:]*:")),
-            lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)), F.regexp_replace(x, "^[^:]+:[^:]*:", "")),
-        )
-    )
+    name = lambda x: F.split_part(x, F.lit(":"), F.lit(1))
+    proper = F.filter(extra, lambda x: x.rlike("^[^:]+:[^:]*:"))
+    # Of a repeated tag the last stays.
+    last = F.filter(proper, lambda x, i: ~F.exists(F.slice(proper, i + 2, F.size(proper)), lambda y: name(y) == name(x)))
+    tags = F.map_from_entries(F.transform(last, lambda x: F.struct(name(x), F.regexp_replace(x, "^[^:]+:[^:]*:", ""))))
     rows = t.select(
         field(0).alias("read_name"),
         long_field(1).cast("int").alias("flags"),

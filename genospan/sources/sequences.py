@@ -86,7 +86,7 @@ def genbank_features(records: DataFrame) -> DataFrame:
     kind = F.regexp_extract(text, r"^\s{5}(\S+)", 1)
     rest = F.regexp_replace(text, r"^\s{5}\S+\s+", "")
     location = F.regexp_replace(F.regexp_extract(rest, r"(?s)^(.*?)(?:\n\s+/|$)", 1), r"\s+", "")
-    quals = F.regexp_extract_all(rest, F.lit(r'(?s)\n\s+/(\w+=(?:"(?:[^"]|"")*"|[^\n]*))'), F.lit(1))
+    quals = F.regexp_extract_all(rest, F.lit(r'(?s)\n\s+/(\w+=(?:"[^"]*+(?:""[^"]*+)*+"|[^\n]*))'), F.lit(1))
     entries = F.transform(
         quals,
         lambda q: F.struct(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genospan.sources.lines import (
+    Header,
     as_double,
     as_long,
     blank_fields,
@@ -15,8 +16,11 @@ from genospan.sources.lines import (
     dot_null,
     double_field,
     field,
+    join_by_file,
+    listed_header,
     long_field,
-    read_lines,
+    named_fields,
+    with_file_headers,
 )
 
 # 0-based columns of the three sample-interval formats.
@@ -31,21 +35,23 @@ POSITION_NAMES = ("bp", "pos", "position", "chr_pos")
 P_NAMES = ("p", "pval", "pvalue", "p-value", "p.value")
 SNP_NAMES = ("rsid", "variant", "snp")
 PHENOTYPE_NAMES = ("phenotype", "gene", "gene_id", "molecular_trait_id")
+# Header names of a two-anchor table with donut statistics.
+DONUT_NAMES = ("fdrDonut", "fdr_donut")
 SMALLEST_DOUBLE = 4.9e-324
 SMALLEST_EXPONENT = -323
 
 
-def first_line(lines: DataFrame, skip_comments: bool = True) -> str:
-    """The header line; a limit of one row reaches the driver."""
-    v = lines.select("value")
-    if skip_comments:
-        v = v.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    return v.first()["value"]
+def content_line() -> Column:
+    """The header of tables is their first line that is neither empty nor a comment."""
+    return ~F.col("value").startswith("#") & (F.col("value") != "")
 
 
 def read_segments(spark: SparkSession, path, kind: str = "seg") -> DataFrame:
-    lines = read_lines(spark, path)
-    return parse_segments(lines, first_line(lines).split("\t"), kind)
+    """Sample intervals of any number of files, each read by its own header."""
+    lines, header = with_file_headers(spark, path, content_line())
+    return _segments(lines, header, kind).withColumn("attributes", F.when(header.size > 5, F.col("attributes"))).select(
+        "sample", "chr", "start", "end", "value", "attributes"
+    )
 
 
 def parse_segments(lines: DataFrame, header: Sequence[str], kind: str = "seg") -> DataFrame:
@@ -54,31 +60,36 @@ def parse_segments(lines: DataFrame, header: Sequence[str], kind: str = "seg") -
     Columns that are not sample or coordinates are kept in ``attributes`` when the
     header has more than five columns.
     """
-    at = dict(SEGMENT_LAYOUT[kind])
+    rows = _segments(lines, listed_header(header), kind)
+    names = ["sample", "chr", "start", "end", "value"]
+    return rows.select(*names, "attributes") if len(header) > 5 else rows.select(*names)
+
+
+def _segments(lines: DataFrame, header: Header, kind: str) -> DataFrame:
+    at = {k: None if i is None else F.lit(i) for k, i in SEGMENT_LAYOUT[kind].items()}
     if at["value"] is None:
-        at["value"] = len(header) - 1
-    head = F.lit("\t".join(header))
-    t = lines.where((F.col("value") != head) & ~F.col("value").startswith("#")).select(F.split("value", "\t").alias("t"))
+        at["value"] = header.size - 1
+    t = lines.where((F.col("value") != header.line) & ~F.col("value").startswith("#")).withColumn("t", F.split("value", "\t"))
     value = double_field(at["value"]) if kind == "seg" else field(at["value"])
-    cols = [
-        field(at["sample"]).alias("sample"),
-        field(at["chr"]).alias("chr"),
-        (long_field(at["start"]) - 1).alias("start"),
-        long_field(at["end"]).alias("end"),
-        value.alias("value"),
-    ]
-    if len(header) > 5:
-        fixed = {at[k] for k in ("sample", "chr", "start", "end")}
-        entries = [F.lit(x) if j == 0 else x for i, h in enumerate(header) if i not in fixed for j, x in enumerate((h, field(i)))]
-        cols.append(F.create_map(*entries).alias("attributes"))
-    return t.where(F.size("t") > at["value"]).select(*cols)
+    attributes = named_fields(header, [at[k] for k in ("sample", "chr", "start", "end")])
+    cols = {
+        "sample": field(at["sample"]),
+        "chr": field(at["chr"]),
+        "start": long_field(at["start"]) - 1,
+        "end": long_field(at["end"]),
+        "value": value,
+        "attributes": attributes,
+    }
+    return t.where(F.size("t") > at["value"]).withColumns(cols)
 
 
 def read_bedpe(spark: SparkSession, path) -> DataFrame:
-    lines = read_lines(spark, path)
-    head = lines.where(F.col("value").startswith("#") | F.col("value").rlike("(?i)^chr(omosome)?1\t")).first()
-    columns = head["value"].lstrip("#").split("\t") if head else None
-    return parse_bedpe(lines, columns)
+    """Two-anchor features of any number of files, each read by its own header, if it has one."""
+    heading = F.col("value").startswith("#") | F.col("value").rlike("(?i)^chr(omosome)?1\t")
+    lines, header = with_file_headers(spark, path, heading)
+    rows = _pairs(lines, header)
+    named = rows.select("file", *_PAIR_COLUMNS, "extras")
+    return interchrom_duplicates(name_as_score(named, ["file"]).drop("file"))
 
 
 def parse_bedpe(lines: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -88,36 +99,44 @@ def parse_bedpe(lines: DataFrame, columns: Sequence[str] | None = None) -> DataF
     are coordinates and the rest are extras.  Where no score column is present and
     every name is a number, the names are the scores.
     """
-    hiccups = bool(columns) and bool({"fdrDonut", "fdr_donut"} & set(columns))
-    std = 6 if hiccups else 10
-    t = content(lines).select(F.split(F.trim("value"), r"\t" if hiccups else r"\s+").alias("t")).where(F.size("t") >= 6)
-    none = F.lit(None).cast("string")
-    named = (lambda i: none) if hiccups else (lambda i: dot_null(field(i)))
-    cols = [
-        field(0).alias("chr1"), long_field(1).alias("start1"), long_field(2).alias("end1"),
-        field(3).alias("chr2"), long_field(4).alias("start2"), long_field(5).alias("end2"),
-        named(6).alias("name"), as_double(named(7)).alias("score"), named(8).alias("strand1"), named(9).alias("strand2"),
-    ]
-    if columns and len(columns) > std:
-        entries = [x for i in range(std, len(columns)) for x in (F.lit(columns[i]), field(i))]
-        cols.append(F.when(F.size("t") == len(columns), F.create_map(*entries)).alias("extras"))
-    rows = t.select(*cols).where("start1 is not null and end1 is not null and start2 is not null and end2 is not null")
-    return interchrom_duplicates(name_as_score(rows))
-
-
-def name_as_score(rows: DataFrame) -> DataFrame:
-    """Move numeric names to the score when no row has a score (a decision over the whole file)."""
+    header = listed_header(columns or [""])
+    std = 6 if set(DONUT_NAMES) & set(columns or ()) else 10
+    more = ["extras"] if columns and len(columns) > std else []
+    return interchrom_duplicates(name_as_score(_pairs(lines, header).select(*_PAIR_COLUMNS, *more)))
+
+
+_PAIR_COLUMNS = ["chr1", "start1", "end1", "chr2", "start2", "end2", "name", "score", "strand1", "strand2"]
+
+
+def _pairs(lines: DataFrame, header: Header) -> DataFrame:
+    # A file without a header has no donut columns and no extras.
+    hiccups = F.coalesce(F.arrays_overlap(header.names, F.array(*map(F.lit, DONUT_NAMES))), F.lit(False))
+    std = F.when(hiccups, F.lit(6)).otherwise(F.lit(10))
+    text = F.trim("value")
+    t = content(lines).withColumn("t", F.when(hiccups, F.split(text, r"\t")).otherwise(F.split(text, r"\s+"))).where(F.size("t") >= 6)
+    named = lambda i: F.when(~hiccups, dot_null(field(i)))
+    extras = F.slice(F.transform(header.names, lambda n, i: F.struct(n, field(i))), std + 1, F.greatest(header.size - std, F.lit(0)))
+    cols = {
+        "chr1": field(0), "start1": long_field(1), "end1": long_field(2),
+        "chr2": field(3), "start2": long_field(4), "end2": long_field(5),
+        "name": named(6), "score": as_double(named(7)), "strand1": named(8), "strand2": named(9),
+        "extras": F.when((header.size > std) & (F.size("t") == header.size), F.map_from_entries(extras)),
+    }
+    return t.withColumns(cols).where("start1 is not null and end1 is not null and start2 is not null and end2 is not null")
+
+
+def name_as_score(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Move numeric names to the score where no row of a file has a score (a decision over the whole file)."""
     number = F.col("name").try_cast("double")
-    verdict = rows.agg(
-        (F.count("score") == 0).alias("no_score"), F.coalesce(F.bool_and(number.isNotNull() | F.col("name").isNull()), F.lit(False)).alias("numeric"),
-        F.count("name").alias("names"),
-    ).select(F.struct("no_score", "numeric", "names"))
-    # A one-row verdict as a scalar subquery; the rows themselves are not moved.
-    judged = rows.withColumn("__v", verdict.scalar())
-    use = F.col("__v.no_score") & F.col("__v.numeric") & (F.col("__v.names") > 0)
-    return judged.withColumns(
-        {"score": F.when(use, number).otherwise(F.col("score")), "name": F.when(~use, F.col("name"))}
-    ).drop("__v")
+    numeric = F.coalesce(F.bool_and(number.isNotNull() | F.col("name").isNull()), F.lit(False))
+    verdict = ((F.count("score") == 0) & numeric & (F.count("name") > 0)).alias("__use")
+    # The rows themselves are not moved: the verdict is one row, or one a file.
+    if by:
+        judged = join_by_file(rows, rows.groupBy(*by).agg(verdict))
+    else:
+        judged = rows.withColumn("__use", rows.agg(verdict).scalar())
+    use = F.col("__use")
+    return judged.withColumns({"score": F.when(use, number).otherwise(F.col("score")), "name": F.when(~use, F.col("name"))}).drop("__use")
 
 
 def interchrom_duplicates(rows: DataFrame) -> DataFrame:
@@ -172,33 +191,43 @@ def parse_longrange(lines: DataFrame) -> DataFrame:
     )
 
 
-def column_at(header: Sequence[str], names: Sequence[str]) -> int | None:
-    hits = [i for i, h in enumerate(header) if h.strip().lower() in names]
-    return hits[-1] if hits else None
-
-
 def p_value(text: Column) -> Column:
     """A p value; exponents below the double range give the smallest double."""
     exponent = F.regexp_extract(text, r"[eE]([+-]?\d+)\s*$", 1).try_cast("int")
     return F.when(exponent < SMALLEST_EXPONENT, F.lit(SMALLEST_DOUBLE)).otherwise(as_double(text))
 
 
-def _association(lines: DataFrame, header: Sequence[str], keep: dict[str, Column], value: str, at: dict[str, int]) -> DataFrame:
-    head = F.lit("\t".join(header))
-    t = lines.where((F.col("value") != head) & ~F.col("value").startswith("#")).select(F.split("value", "\t").alias("t"))
+def _association(lines: DataFrame, header: Header, keep: dict[str, Column], value: str) -> DataFrame:
+    at = header.at
+    t = lines.where((F.col("value") != header.line) & ~F.col("value").startswith("#")).withColumn("t", F.split("value", "\t"))
     pos = field(at["pos"])
-    good = (F.size("t") == len(header)) & (pos != "") & ~pos.contains(";") & ~pos.rlike(".x")
+    good = (F.size("t") == header.size) & (pos != "") & ~pos.contains(";") & ~pos.rlike(".x")
     start = as_long(pos) - 1
-    rest = [x for i, h in enumerate(header) for x in (F.lit(h), field(i))]
     return t.where(good).select(
         field(at["chr"]).alias("chr"), start.alias("start"), (start + 1).alias("end"), p_value(field(at["p"])).alias(value),
-        *[c.alias(n) for n, c in keep.items()], F.create_map(*rest).alias("attributes"),
+        *[c.alias(n) for n, c in keep.items()], named_fields(header).alias("attributes"),
     )
 
 
+def _gwas_columns(columns: dict[str, int] | None) -> dict:
+    if columns:
+        return {"chr": ((), columns["chromosome"] - 1), "pos": ((), columns["position"] - 1), "p": ((), columns["value"] - 1)}
+    return {"chr": (CHROM_NAMES[:3], 1), "pos": (POSITION_NAMES, 2), "p": (P_NAMES, 3)}
+
+
+QTL_COLUMNS = {
+    "chr": (CHROM_NAMES, None),
+    "pos": (POSITION_NAMES, None),
+    "p": (P_NAMES, None),
+    "snp": (SNP_NAMES, None),
+    "phenotype": (PHENOTYPE_NAMES, None),
+}
+
+
 def read_gwas(spark: SparkSession, path, columns: dict[str, int] | None = None) -> DataFrame:
-    lines = read_lines(spark, path)
-    return parse_gwas(lines, first_line(lines).split("\t"), columns)
+    """Association rows of any number of files, each read by its own header."""
+    lines, header = with_file_headers(spark, path, content_line(), _gwas_columns(columns))
+    return _association(lines, header, {}, "value")
 
 
 def parse_gwas(lines: DataFrame, header: Sequence[str], columns: dict[str, int] | None = None) -> DataFrame:
@@ -206,23 +235,20 @@ def parse_gwas(lines: DataFrame, header: Sequence[str], columns: dict[str, int]
 
     Rows with several positions, interactions (``x``) or no position are skipped.
     """
-    if columns:
-        at = {"chr": columns["chromosome"] - 1, "pos": columns["position"] - 1, "p": columns["value"] - 1}
-    else:
-        find = lambda names, default: default if column_at(header, names) is None else column_at(header, names)
-        at = {"chr": find(CHROM_NAMES[:3], 1), "pos": find(POSITION_NAMES, 2), "p": find(P_NAMES, 3)}
-    return _association(lines, header, {}, "value", at)
+    return _association(lines, listed_header(header, _gwas_columns(columns)), {}, "value")
+
+
+def _qtl(lines: DataFrame, header: Header) -> DataFrame:
+    return _association(lines, header, {"snp": field(header.at["snp"]), "phenotype": field(header.at["phenotype"])}, "p_value")
 
 
 def read_qtl(spark: SparkSession, path) -> DataFrame:
-    lines = read_lines(spark, path)
-    return parse_qtl(lines, first_line(lines).split("\t"))
+    """QTL rows of any number of files, each read by its own header."""
+    return _qtl(*with_file_headers(spark, path, content_line(), QTL_COLUMNS))
 
 
 def parse_qtl(lines: DataFrame, header: Sequence[str]) -> DataFrame:
-    at = {"chr": column_at(header, CHROM_NAMES), "pos": column_at(header, POSITION_NAMES), "p": column_at(header, P_NAMES)}
-    keep = {"snp": field(column_at(header, SNP_NAMES)), "phenotype": field(column_at(header, PHENOTYPE_NAMES))}
-    return _association(lines, header, keep, "p_value", at)
+    return _qtl(lines, listed_header(header, QTL_COLUMNS))
 
 
 def parse_gtex_gwas(lines: DataFrame) -> DataFrame:
@@ -234,9 +260,11 @@ def parse_gtex_gwas(lines: DataFrame) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path) -> DataFrame:
-    lines = read_lines(spark, path)
-    head = lines.where(F.col("value").rlike("(?i)^#?chr(om)?\t")).first()
-    return parse_matrix(lines, head["value"].split("\t")[3:] if head else None)
+    """Interval rows of any number of files; ``samples`` names the values by each file's own header (null without one)."""
+    lines, header = with_file_headers(spark, path, F.col("value").rlike("(?i)^#?chr(om)?\t"))
+    samples = F.when(header.line.isNotNull(), F.slice(header.names, 4, F.greatest(header.size - 3, F.lit(0))))
+    rows = _matrix(lines.withColumn("samples", samples), F.coalesce(F.size("t") == F.size("samples") + 3, F.lit(True)))
+    return rows.select("chr", "start", "end", "values", "samples")
 
 
 def parse_matrix(lines: DataFrame, samples: Sequence[str] | None = None) -> DataFrame:
@@ -244,17 +272,21 @@ def parse_matrix(lines: DataFrame, samples: Sequence[str] | None = None) -> Data
 
     Without sample names every row with at least one value is kept.
     """
-    t = content(lines).select(F.split(F.trim("value"), r"\s+").alias("t")).where((F.size("t") > 3) & long_field(1).isNotNull())
-    if samples is not None:
-        t = t.where(F.size("t") == len(samples) + 3)
+    good = F.lit(True) if samples is None else F.size("t") == len(samples) + 3
+    return _matrix(lines, good).select("chr", "start", "end", "values")
+
+
+def _matrix(lines: DataFrame, good: Column) -> DataFrame:
+    t = content(lines).withColumn("t", F.split(F.trim("value"), r"\s+")).where((F.size("t") > 3) & long_field(1).isNotNull() & good)
     values = F.transform(F.slice("t", 4, F.size("t")), as_double)
-    return t.select(field(0).alias("chr"), long_field(1).alias("start"), long_field(2).alias("end"), values.alias("values"))
+    return t.withColumns({"chr": field(0), "start": long_field(1), "end": long_field(2), "values": values})
 
 
-def melt_matrix(matrix: DataFrame, samples: Sequence[str]) -> DataFrame:
-    """One row per interval and sample; names follow the header order."""
-    names = F.array(*[F.lit(s) for s in samples])
-    return matrix.select("chr", "start", "end", F.posexplode("values").alias("i", "value")).select(
+def melt_matrix(matrix: DataFrame, samples: Sequence[str] | None = None) -> DataFrame:
+    """One row per interval and sample; names follow the header order, by default that of each row's own file."""
+    names = F.col("samples") if samples is None else F.array(*[F.lit(s) for s in samples])
+    kept = ["chr", "start", "end", *(["samples"] if samples is None else [])]
+    return matrix.select(*kept, F.posexplode("values").alias("i", "value")).select(
         "chr", "start", "end", F.get(names, F.col("i")).alias("sample"), "value"
     )
 
@@ -341,17 +373,23 @@ def parse_cytobands(lines: DataFrame) -> DataFrame:
 
 # Column lists of well-known table dumps.
 FORMATS: dict[str, list[str]] = {
-    "gwascatalog": (
-        "bin chr start end name pubMedID author pubDate journal title trait initSample replSample region genes "
-        "riskAllele riskAlFreq pValue pValueDesc orOrBeta ci95 platform cnv"
-    ).split(),
-    "wgrna": "bin chr start end name score strand thickStart thickEnd type".split(),
-    "cpgislandext": "bin chr start end name length cpgNum gcNum perCpg perGc obsExp".split(),
-    "clinVarMain": (
-        "chr1 start end name score strand thickStart thickEnd reserved blockCount blockSizes chromStarts origName "
-        "clinSign reviewStatus type geneId molConseq snpId nsvId rcvAcc testedInGtr phenotypeList phenotype origin "
-        "assembly cytogenetic hgvsCod hgvsProt numSubmit lastEval guidelines otherIds"
-    ).split(),
+    "gwascatalog": [
+        "bin", "chr", "start", "end", "name", "pubMedID", "author", "pubDate", "journal", "title", "trait",
+        "initSample", "replSample", "region", "genes", "riskAllele", "riskAlFreq", "pValue", "pValueDesc", "orOrBeta",
+        "ci95", "platform", "cnv",
+    ],
+    "wgrna": [
+        "bin", "chr", "start", "end", "name", "score", "strand", "thickStart", "thickEnd", "type",
+    ],
+    "cpgislandext": [
+        "bin", "chr", "start", "end", "name", "length", "cpgNum", "gcNum", "perCpg", "perGc", "obsExp",
+    ],
+    "clinVarMain": [
+        "chr1", "start", "end", "name", "score", "strand", "thickStart", "thickEnd", "reserved", "blockCount",
+        "blockSizes", "chromStarts", "origName", "clinSign", "reviewStatus", "type", "geneId", "molConseq", "snpId",
+        "nsvId", "rcvAcc", "testedInGtr", "phenotypeList", "phenotype", "origin", "assembly", "cytogenetic",
+        "hgvsCod", "hgvsProt", "numSubmit", "lastEval", "guidelines", "otherIds",
+    ],
 }
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genospan.sources.lines import as_long, field, long_field, read_lines
+from genospan.sources.lines import as_long, field, long_field, read_lines, with_file_headers
 
 META_LINE = re.compile(r"^##(INFO|FILTER|FORMAT)=<(.*)>\s*$")
 META_PAIR = re.compile(r'(\w+)=("[^"]*"|[^,]*)')
@@ -37,7 +37,11 @@ def read_vcf_header(spark: SparkSession, path) -> dict:
 
 
 def read_vcf(spark: SparkSession, path) -> DataFrame:
-    return parse_vcf(read_lines(spark, path), read_vcf_header(spark, path)["samples"])
+    """Variant rows of any number of files, each with the samples of its own ``#CHROM`` line; a file without one has none."""
+    lines, header = with_file_headers(spark, path, F.col("value").startswith("#CHROM"))
+    samples = F.slice(header.names, 10, F.greatest(header.size - 9, F.lit(0)))
+    named = lines.withColumn("samples", F.coalesce(samples, F.array().cast("array<string>")))
+    return _variants(named, F.col("samples"), F.size("samples"), True)
 
 
 def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
@@ -46,10 +50,14 @@ def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
     ``info`` is a map (flags have a NULL value), ``calls`` an array with sample,
     genotype alleles and the other FORMAT fields.
     """
-    expected = 8 + (len(samples) + 1 if samples else 0)
+    return _variants(lines, F.array(*[F.lit(s) for s in samples]), F.lit(len(samples)), bool(samples))
+
+
+def _variants(lines: DataFrame, names: Column, n: Column, with_calls: bool) -> DataFrame:
+    expected = F.lit(8) + F.when(n > 0, n + 1).otherwise(F.lit(0))
     t = (
         lines.where((F.col("value") != "") & ~F.col("value").startswith("#"))
-        .select(F.split(F.trim("value"), "\t").alias("t"))
+        .withColumn("t", F.split(F.trim("value"), "\t"))
         .where(F.size("t") == expected)
     )
     info = F.when((field(7) != ".") & (field(7) != ""), F.str_to_map(_unique_keys(field(7)), F.lit(";"), F.lit("=")))
@@ -63,8 +71,7 @@ def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
         field(6).alias("filter"),
         info.alias("info"),
     ]
-    if samples:
-        names = F.array(*[F.lit(s) for s in samples])
+    if with_calls:
         keys = F.split(field(8), ":")
 
         def call(token, i):
@@ -80,7 +87,7 @@ def parse_vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
                 F.map_from_entries(F.filter(pairs, lambda p: p["k"] != "GT")).alias("fields"),
             )
 
-        cols.append(F.transform(F.slice("t", 10, len(samples)), call).alias("calls"))
+        cols.append(F.transform(F.slice("t", 10, n), call).alias("calls"))
     return t.select(*cols)
 
 
