@@ -137,10 +137,11 @@ def score_histogram(bins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The last class is open and stays uncounted.
     """
     by = list(by)
-    rows = bins.where(F.col("score") > 0).withColumn("__one", F.lit(1))
-    tops = rows.groupBy("__one", *by).agg(F.max("score").alias("top"))
+    rows = bins.where(F.col("score") > 0)
+    tops = rows.groupBy(*by).agg(F.max("score").alias("top"))
     width = F.greatest(F.floor(F.col("top") / 1000), F.lit(1))
-    placed = rows.join(tops, ["__one", *by]).withColumn("width", width).withColumn("k", F.floor(F.col("score") / F.col("width")))
+    met = rows.join(tops, by) if by else rows.withColumn("top", tops.scalar())
+    placed = met.withColumn("width", width).withColumn("k", F.floor(F.col("score") / F.col("width")))
     return (
         placed.groupBy(*by, "width", F.floor(F.col("top") / F.col("width")).alias("last"), "k")
         .agg(F.count(F.lit(1)).cast("double").alias("y"), F.sum("score").alias("s"))

@@ -251,7 +251,7 @@ def paired_end_stats(
     def share(*kinds: str) -> Column:
         return F.sum(F.when(kind.isin(*kinds), 1).otherwise(0)) / F.count(F.lit(1))
 
-    counts = proper.groupBy(F.lit(0).alias("__all"), *by).agg(
+    counts = proper.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         share("FF", "RR").alias("ff"),
         share("FR").alias("fr"),
@@ -259,16 +259,21 @@ def paired_end_stats(
     )
     n = F.col("n").cast("double")
     limits = order_statistics(
-        proper.withColumn("__all", F.lit(0)),
+        proper,
         "size",
         {
             "min_tlen": F.floor(n * (low / 100)) if low else F.lit(-1),
             "max_tlen": F.floor(n * (high / 100)),
         },
-        ["__all", *by],
-    ).drop("n")
+        by,
+    )
     library = F.when(F.col("ff") > 0.9, "ff").when(F.col("fr") > 0.9, "fr").when(F.col("rf") > 0.9, "rf")
-    return counts.join(limits, ["__all", *by]).select(
+    if by:
+        met = counts.join(limits, by)
+    else:
+        one = limits.select(F.struct("min_tlen", "max_tlen")).scalar()
+        met = counts.where("n_pairs > 0").withColumn("__l", one).select("*", "__l.*")
+    return met.select(
         *by,
         "n_pairs",
         library.alias("orientation"),

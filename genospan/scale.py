@@ -208,54 +208,59 @@ def top_k_per_group(
     return second.where(F.col("__rn") <= k).drop("__salt", "__rn")
 
 
-def order_statistics(
-    df: DataFrame,
-    value: str,
-    ranks: dict[str, Column],
-    by: Sequence[str] = (),
-    *,
-    blocks: int = 16,
-) -> DataFrame:
+# Steps of a radix selection: first by size, so many classes to a doubling; then thrice by place between the ends
+# of the class that holds the rank.  Two doubles inside a class of the last step are equal.
+CLASSES_PER_DOUBLING, CLASSES_BETWEEN, REFINEMENTS = 64, 1 << 17, 3
+# Groups whose searches are sent to every executor; with more the counts meet them by shuffle.
+MOST_SENT_GROUPS = 100_000
+
+
+def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """Exact order statistics: the value at 0-based sorted position ``rank``.
 
     ``ranks`` maps an output name to a rank expression over the column ``n``
     (row count of the group).  A rank outside ``0..n-1`` gives NULL.  One row per
-    group comes back, with the count ``n``.
+    group comes back, with the count ``n``; without ``by`` one row if there is any value.
 
-    Equal values are counted first (map-side combined).  The distinct values of a
-    group are then cut into 16 x ``blocks`` pieces at approximate quantiles, so the
-    running count is a blocked scan whose pieces are balanced whatever the
-    distribution looks like; the approximation only places the cuts.
+    Equal values are counted first (map-side combined) and written once.  Then a fixed number of grouped counts
+    narrows the class of values that holds each rank, like a radix selection does digit by digit: nothing is
+    sorted, and no group meets in one task.
     """
     by = list(by)
-    keys = ["__one", *by]
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.lit(0).alias("__one"), *by, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    step = 16
-    cuts = [i / (blocks * step) for i in range(1, blocks * step)]
-    shape = counts.groupBy(*keys).agg(
-        F.percentile_approx("__v", cuts, 10_000).alias("__q"), F.sum("__c").alias("n")
-    )
-    # Two short look-ups, among every 16th cut and then inside the stretch, find the block.
-    marks = F.filter("__q", lambda q, i: (i + 1) % step == 0)
-    marked = shape.withColumn("__m", marks)
-    below = lambda cut: cut <= F.col("__v")
-    placed = (
-        counts.join(marked, keys)
-        .withColumn("__k", F.size(F.filter("__m", below)))
-        .withColumn("__b", (F.col("__k") * step + F.size(F.filter(F.slice("__q", F.col("__k") * step + 1, F.lit(step - 1)), below))).cast("long"))
-        .drop("__q", "__m", "__k")
-    )
-    scanned = ordered_scan(placed, keys, ["__v"], F.col("__b"), __upto=("sum", F.col("__c")))
-    picks = []
-    for name, rank in ranks.items():
-        r = rank.cast("long")
-        hit = (F.col("__upto") > r) & (F.col("__upto") - F.col("__c") <= r) & (r >= 0)
-        picks.append(F.max(F.when(hit, F.col("__v"))).alias(name))
-    return scanned.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = cut_lineage(counts)
+    sizes = counts.groupBy(*by).agg(F.sum("__c").alias("n")).where("n is not null")
+    few = bool(by) and sizes.count() <= MOST_SENT_GROUPS
+    least, most = F.lit(float("-inf")), F.lit(float("nan"))
+    searches = [F.struct(F.lit(n).alias("name"), r.cast("long").alias("rank"), least.alias("lo"), most.alias("hi")) for n, r in ranks.items()]
+    sought = sizes.select(*by, F.array(*searches).alias("__s"))
+
+    def beside(rows: DataFrame, table: DataFrame) -> DataFrame:
+        """``rows`` with the one row that ``table`` has for their group."""
+        if not by:
+            return rows.withColumn("__s", table.select("__s").scalar())
+        return rows.join(F.broadcast(table) if few else table, by)
+
+    v = F.col("__v")
+    size = F.floor(F.log2(F.abs(v)) * CLASSES_PER_DOUBLING) + CLASSES_PER_DOUBLING * 2_000
+    by_size = F.when(F.isnan(v), F.lit(1 << 40)).when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.signum(v).cast("long") * (1 << 39))
+    by_size = by_size.otherwise(F.signum(v).cast("long") * size)
+    lo, hi = F.col("s.lo"), F.col("s.hi")
+    by_place = F.when(lo == hi, F.lit(0)).otherwise(F.floor((v - lo) / (hi - lo) * CLASSES_BETWEEN))
+    for step in range(1 + REFINEMENTS):
+        inside = F.filter("__s", lambda s: (s["lo"] <= v) & (v <= s["hi"]))
+        met = beside(counts, sought).select(*by, "__v", "__c", F.explode(inside).alias("s"))
+        classes = met.groupBy(*by, "s.name", "s.rank", (by_place if step else by_size).cast("long").alias("__k")).agg(
+            F.sum("__c").alias("__n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
+        )
+        upto = F.sum("__n").over(Window.partitionBy(*by, "name").orderBy("__k"))
+        placed = classes.withColumn("__rest", F.col("rank") - (upto - F.col("__n"))).where("0 <= __rest and __rest < __n")
+        found = F.struct("name", F.col("__rest").alias("rank"), "lo", "hi")
+        sought = placed.groupBy(*by).agg(F.collect_list(found).alias("__s"))  # one search a name
+    of = lambda name: F.get(F.filter("__s", lambda s: s["name"] == name), F.lit(0))["lo"].alias(name)
+    if not by:
+        return sizes.withColumn("__s", sought.select("__s").scalar()).select("n", *[of(name) for name in ranks])
+    return sizes.join(sought, by, "left").select(*by, "n", *[of(name) for name in ranks])
 
 
 def hashed_order(*cols: str, seed: int = 0) -> list[Column]:
