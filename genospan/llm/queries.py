@@ -17,7 +17,7 @@ from genospan.llm.ranking import rank_documents
 from genospan.llm.separators import count_documents, token_stream
 from genospan.llm.spelling import spelling_forms
 from genospan.llm.substrings import remove_repeats
-from genospan.llm.surrogates import replace_entities
+from genospan.llm.surrogates import EXAMPLE_KEY, replace_entities
 from genospan.llm.topk import top_inner_products
 from genospan.llm.toxicity import score_toxicity
 
@@ -115,7 +115,7 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_surrogates")
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = replace_entities(table(spark, sf_dir, "documents"))
+    made = replace_entities(table(spark, sf_dir, "documents"), key=EXAMPLE_KEY)
     return made.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join("entities", ",").alias("kinds"))
 
 

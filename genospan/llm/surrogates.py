@@ -3,9 +3,10 @@
 Entities are found by patterns and brought to a canonical form, so that two spellings
 of one entity share a surrogate.  The surrogate follows from a secret key and the canonical form alone and
 matches the kind: digits stay digits, separators and lengths stay, card numbers keep
-their check digit's validity, addresses stay addresses, names keep gender and script.  All distinct entities of
-the table are then checked: where two would get the same surrogate, or one that is itself an entity
-of the table, all but the smallest are drawn again with the next attempt number, until none collides.
+their check digits' validity, addresses stay addresses, names keep gender and script.  All distinct entities of
+the table are then checked in the form that is printed (of persons the surname, which may stand alone): where two would get
+the same surrogate, or one that is itself an entity of the table, all but the smallest are drawn again with
+the next attempt number, until none collides.
 
 Only the few entities that were drawn again need a table when texts are rewritten.
 """
@@ -29,7 +30,7 @@ from genospan.session import ship_by_value
 
 ship_by_value(__name__)
 
-KEY = b"replace this key"
+EXAMPLE_KEY = b"an example, not a secret"  # for the query and the pipeline; callers bring their own
 WIDE_FROM = 4  # the attempt from which secrets and mail names are drawn from more than their own form
 MOST_REDRAWN_SENT = 50_000  # redrawn entities that are sent along with the tasks; more are joined
 
@@ -84,6 +85,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_rest(moved: str) -> int:
+    """Remainder by 97 of an account number whose first four characters have been moved to its end; 1 if it is valid."""
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
 def _script(text: str) -> str:
     if re.search(r"[\u0400-\u04ff]", text):
         return "cyrillic"
@@ -231,7 +237,9 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         head = len(canonical) - 7 if len(canonical) > 9 else 2
         return canonical[: max(0, head - 3)] + "".join(str(draw.below(10)) for _ in canonical[max(0, head - 3) :])
     if kind == "iban":
-        return canonical[:2] + _alike(canonical[2:], draw)
+        body = _alike(canonical[4:], draw)
+        right = 98 - iban_rest(f"{body}{canonical[:2]}00")
+        return f"{canonical[:2]}{right if iban_rest(canonical[4:] + canonical[:4]) == 1 else 2 + (right + draw.below(96)) % 97:02d}{body}"
     if kind == "secret":
         lead = re.match(r"AKIA|gh[pousr]_|sk-", canonical)
         fixed = lead[0] if lead else ""
@@ -245,7 +253,7 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     script = _script(person)
     parts = re.split(r"([\s'-])", person)
     syllables = SYLLABLES[script]
-    made = "".join(syllables[draw.below(len(syllables))] for _ in range(3 + attempt // 2)).capitalize()
+    made = "".join(syllables[draw.below(len(syllables))] for _ in range(3 + attempt)).capitalize()
     given = GIVEN[script, gender][draw.below(len(GIVEN[script, gender]))]
     return f"{gender} {given}{parts[1]}{made}" if len(parts) > 1 else f"{gender} {made}"
 
@@ -265,6 +273,11 @@ def _dressed(original: str, kind: str, made: str) -> str:
     return made
 
 
+def printed(kind: str, canonical: str) -> str:
+    """What two entities of a kind must not share: the shortest form in which one is printed."""
+    return canonical.rsplit(" ", 1)[-1].lower() if kind == "name" else canonical
+
+
 def _rewritten(text: str, key: bytes, attempt_of: Callable[[str, str], int]) -> tuple[str, list[str]]:
     out, last, kinds = [], 0, []
     for start, end, kind, canonical in entities(text):
@@ -286,13 +299,14 @@ def entity_table(docs: DataFrame, text: str, key: bytes) -> DataFrame:
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            made = pa.array([surrogate(key, k, c, a) for k, c, a in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["kind", "canonical", "attempt", "made"])
+            made = [(printed(k, c), printed(k, surrogate(key, k, c, a))) for k, c, a in rows]
+            own, new = (pa.array([m[i] for m in made], pa.string()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own, new], names=["kind", "canonical", "attempt", "own", "made"])
 
-    schema = "kind string, canonical string, attempt int, made string"
+    schema = "kind string, canonical string, attempt int, own string, made string"
     distinct = docs.select(text).mapInArrow(find, "kind string, canonical string").distinct()
     known = cut(distinct.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema))
-    real = known.select("kind", F.col("canonical").alias("made")).withColumn("real", F.lit(True))
+    real = known.select("kind", F.col("own").alias("made")).distinct().withColumn("real", F.lit(True))
     while True:
         # An earlier attempt and then the smallest form has the right to a surrogate.
         first = known.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canonical"))["canonical"].alias("first"), F.count(F.lit(1)).alias("n"))
@@ -304,10 +318,10 @@ def entity_table(docs: DataFrame, text: str, key: bytes) -> DataFrame:
         again = (F.col("real") | (F.col("first") != F.col("canonical"))) & F.col("first").isNotNull()
         again = F.coalesce(again, F.lit(False))
         redrawn = met.where(again).select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"))
-        known = cut(met.where(~again).select("kind", "canonical", "attempt", "made").union(redrawn.mapInArrow(draw, schema)))
+        known = cut(met.where(~again).select("kind", "canonical", "attempt", "own", "made").union(redrawn.mapInArrow(draw, schema)))
 
 
-def replace_entities(docs: DataFrame, text: str = "text", *, key: bytes = KEY, most_sent: int = MOST_REDRAWN_SENT) -> DataFrame:
+def replace_entities(docs: DataFrame, text: str = "text", *, key: bytes, most_sent: int = MOST_REDRAWN_SENT) -> DataFrame:
     """``docs`` with rewritten ``text`` and the new column ``entities``, the kinds found in order.
 
     Null texts stay null with no entities, empty ones stay empty; other columns, nulls and

@@ -4,7 +4,11 @@ import collections
 import hashlib
 import itertools
 import math
+import os
+import pathlib
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,7 @@ from genospan.llm.tokens import Encoder, vocabulary_path
 from genospan.llm.topk import top_inner_products
 from genospan.llm.toxicity import score_toxicity, with_toxicity
 
+KEY = surrogates.EXAMPLE_KEY
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g long, size long"
 
 
@@ -436,7 +441,7 @@ def test_surrogates(spark):
     rows = [(i, t, "en", None, 0, 1, 2) for i, t in enumerate(PERSONAL)]
     rows += [rows[0], (None, PERSONAL[1], "en", "s", 0, 1, 2)]
     df = frame(spark, rows)
-    got = surrogates.replace_entities(df)
+    got = surrogates.replace_entities(df, key=KEY)
     assert got.columns == [*df.columns, "entities"]
     by = collections.defaultdict(set)
     for r in got.collect():
@@ -460,13 +465,13 @@ def test_surrogates_of_values_without_ascii_letters(spark):
     """Values that keep their form in every draw, or have only a few forms, all in the table: the redraw ends."""
     values = ["********", "------", "пароль", "Привет", "密码密码密码", "!@#$%^&*"] + [f"$$$$$${i}" for i in range(10)]
     for v in values[:6]:
-        assert surrogates.surrogate(surrogates.KEY, "secret", v) != v
-    crowd = {surrogates.surrogate(surrogates.KEY, "secret", values[-1], a) for a in range(40)}
+        assert surrogates.surrogate(KEY, "secret", v) != v
+    crowd = {surrogates.surrogate(KEY, "secret", values[-1], a) for a in range(40)}
     assert len(crowd) > 20
-    mails = {surrogates.surrogate(surrogates.KEY, "email", "a@b.org", a) for a in range(80)}
+    mails = {surrogates.surrogate(KEY, "email", "a@b.org", a) for a in range(80)}
     assert len(mails) > 40
     rows = [(i, f"password: {v} end", "en", "s", 0, 1, 2) for i, v in enumerate(values)]
-    made = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(frame(spark, rows)).collect()}
+    made = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(frame(spark, rows), key=KEY).collect()}
     assert all(v not in made[i] for i, v in enumerate(values))
     assert len(set(made.values())) == len(values)
     assert any("\u0400" <= c <= "\u04ff" for c in made[2])
@@ -480,7 +485,7 @@ def test_surrogates_leave_no_mention(spark):
         "Dr. Eva Novak and Mrs Eva Novak; Novak", "Mr Paul Gray and Mrs Rita Gray: Mr Gray, Mrs Gray", "The brown fox met Mr Brown; a brown dog, Brown's.",
     ]
     rows = [(i, t, "en", "s", 0, 1, 2) for i, t in enumerate(texts)]
-    made = {r["doc_id"]: (r["text"], r["entities"]) for r in surrogates.replace_entities(frame(spark, rows)).collect()}
+    made = {r["doc_id"]: (r["text"], r["entities"]) for r in surrogates.replace_entities(frame(spark, rows), key=KEY).collect()}
     assert made[0][1] == ["ip", "ip"] and made[0][0].split()[1] == made[1][0].split()[1] != "8.8.8.8"
     assert key not in made[2][0] + made[3][0] and made[3][1] == ["secret", "secret"]
     assert made[4][1] == made[5][1] == ["iban"]
@@ -504,8 +509,8 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "surrogate", narrow)
     rows = [(i, f"host {x} and {ips[i // 2]} end", "en", "s", 0, 1, 2) for i, x in enumerate(ips)]
     df = frame(spark, rows)
-    one = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df).collect()}
-    two = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, most_sent=0).collect()}
+    one = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, key=KEY).collect()}
+    two = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, key=KEY, most_sent=0).collect()}
     assert one == two
     mapped = {}
     for i, x in enumerate(ips):
@@ -527,6 +532,51 @@ def test_empty_tables(spark):
     assert mix_sources(docs).count() == 0
     assert pack_documents(docs).count() == 0
     assert count_documents(token_stream(docs)).count() == 0
-    assert surrogates.replace_entities(docs).count() == 0
+    assert surrogates.replace_entities(docs, key=KEY).count() == 0
     assert score_quality(docs, labels).count() == 0
     assert top_inner_products(spark.createDataFrame([], V_SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_persons_print_apart(spark):
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choices("abcdefghijklmnop", k=7)).capitalize() for _ in range(700)})
+    prefix = ("Mr", "Mrs", "Dr")
+    rows = [(i, f"{prefix[i % 3]} {n} came.", "en", "s", 0, 1, 2) for i, n in enumerate(names)]
+    rows.append((5000, "Mr Paul Jonham came. Then Jonham left.", "en", "s", 0, 1, 2))
+    rows.append((5001, "Mrs Anna Smison came. Then Smison left.", "en", "s", 0, 1, 2))
+    made = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(frame(spark, rows), key=KEY).collect()}
+    shown = [made[i].split()[1] for i in range(len(names))] + [made[i].split()[-2] for i in (5000, 5001)]
+    assert len(set(shown)) == len(shown) and not set(shown) & {*names, "Jonham", "Smison"}
+    assert made[5000].split()[2] == made[5000].split()[-2]
+
+
+def test_account_numbers_stay_valid():
+    for good in ("DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606"):
+        assert surrogates.iban_rest(good[4:] + good[:4]) == 1
+        bad = good[:-1] + ("1" if good[-1] != "1" else "2")
+        for value, valid in ((good, True), (bad, False)):
+            made = surrogates.surrogate(KEY, "iban", value)
+            assert made[:2] == value[:2] and len(made) == len(value) and made[2:4].isdigit()
+            assert (surrogates.iban_rest(made[4:] + made[:4]) == 1) is valid
+
+
+def test_workers_need_no_package(tmp_path):
+    """All queries and the pipeline, started outside the repository."""
+    root = pathlib.Path(__file__).resolve().parents[2]
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from genospan.session import build_session
+spark = build_session("local[4]", shuffle_partitions=4)
+spark.sparkContext.setCheckpointDir({str(tmp_path / "checkpoints")!r})
+import __spark_entry__ as entry
+for name, run in entry.queries().items():
+    if name == "pipeline" or name.startswith("op"):
+        assert run(spark, "/root/testdata/sf0.001").count() > 0, name
+docs = spark.createDataFrame([(1, "password: пароль123 Herr Müller", "ru", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+from genospan.llm.surrogates import replace_entities
+assert "пароль" not in replace_entities(docs, key=b"k").first()["text"]
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert run.returncode == 0, run.stderr[-3000:]
