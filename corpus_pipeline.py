@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from genospan.llm.minhash import near_duplicates
 from genospan.llm.mixing import mix_sources
 from genospan.llm.packing import pack_documents
-from genospan.llm.surrogates import replace_entities
+from genospan.llm.surrogates import EXAMPLE_KEY, replace_entities
 from genospan.llm.toxicity import THRESHOLD, with_toxicity
 from genospan.session import ensure_checkpoint_dir
 
@@ -34,13 +34,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     known, unknown = left.where("doc_id is not null"), left.where("doc_id is null")
-    once = known.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang")))
+    # Rows are told apart by a digest, so that no sort holds whole texts as its key.
+    digest = F.md5(F.to_json(F.struct("text", "source", "lang")).cast("binary"))
+    once = known.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(digest)))
     return once.where("__n = 1").select(*docs.columns).union(unknown)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data and secrets; ``n_chars`` follows the text."""
-    made = replace_entities(docs).drop("entities")
+    made = replace_entities(docs, key=EXAMPLE_KEY).drop("entities")
     if "n_chars" in made.columns:
         made = made.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return made.select(*docs.columns)
