@@ -270,12 +270,9 @@ def resolve_locus(spark, sf):
     return got.select("k", "chr", "start", "end")
 
 
-@query("search_key", "SELECT doc_id, md5(upper(replace(regexp_replace(text, '[^ -~]', '', 'g'), ' ', '+'))) AS key FROM documents")
+@query("search_key", "SELECT doc_id, md5(upper(replace(replace(text, 'ß', 'ss'), ' ', '+'))) AS key FROM documents")
 def search_key(spark, sf):
-    """Letters outside ASCII are left out: the two engines disagree on their upper case."""
-    d = V.table(spark, sf, "documents")
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    return d.select("doc_id", F.md5(L.search_key(plain).cast("binary")).alias("key"))
+    return V.table(spark, sf, "documents").select("doc_id", F.md5(L.search_key(F.col("text")).cast("binary")).alias("key"))
 
 
 @query(
@@ -289,24 +286,58 @@ def props_attribute(spark, sf):
     return e.where(k.cast("int") > 50).select("event_id", k.alias("k"))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def bases(spark, sf):
+    """One base per character of the whole text; N for all that stands for none."""
     d = V.spread(V.table(spark, sf, "documents"), "doc_id")
-    return d.select("doc_id", F.regexp_replace(F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "EIONRS", "ACGTGA"), "[^ACGT]", "").alias("seq"))
+    plain = F.translate("text", LETTERS, LETTERS.upper())
+    return d.select("doc_id", F.regexp_replace(F.translate(plain, "EIONRS", "ACGTGA"), "(?s)[^ACGT]", "N").alias("seq"))
 
 
-_SEQ = "sq AS (SELECT doc_id, regexp_replace(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'EIONRS', 'ACGTGA'), '[^ACGT]', '', 'g') AS seq FROM documents)"
+_SEQ = f"""sq AS (SELECT doc_id, regexp_replace(translate(translate(text, '{LETTERS}', '{LETTERS.upper()}'), 'EIONRS', 'ACGTGA'), '[^ACGT]', 'N', 'gs') AS seq FROM documents)"""
 
 
-@query("reverse_complement", f"WITH {_SEQ} SELECT doc_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc FROM sq")
+@query(
+    "reverse_complement",
+    "SELECT doc_id, md5(reverse(translate(text, 'ACGTYRWSKMDHBVacgtyrwskmdhbv', 'TGCARYWSMKHDVBtgcarywsmkhdvb'))) AS rc FROM documents",
+)
 def reverse_complement(spark, sf):
-    return bases(spark, sf).select("doc_id", F.md5(SEQ.reverse_complement(F.col("seq")).cast("binary")).alias("rc"))
-
-
-_CODONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SEQ.codon_table().items()) + "}"
+    """All letters of whole texts: the codes of several bases, lower case, and characters that have no partner."""
+    d = V.table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(SEQ.reverse_complement(F.col("text")).cast("binary")).alias("rc"))
+
+
+# Amino acids of the standard genetic code, written out apart from the code under test.
+CODON_OF = {
+    "A": ["GCT", "GCC", "GCA", "GCG"],
+    "R": ["CGT", "CGC", "CGA", "CGG", "AGA", "AGG"],
+    "N": ["AAT", "AAC"],
+    "D": ["GAT", "GAC"],
+    "C": ["TGT", "TGC"],
+    "Q": ["CAA", "CAG"],
+    "E": ["GAA", "GAG"],
+    "G": ["GGT", "GGC", "GGA", "GGG"],
+    "H": ["CAT", "CAC"],
+    "I": ["ATT", "ATC", "ATA"],
+    "L": ["TTA", "TTG", "CTT", "CTC", "CTA", "CTG"],
+    "K": ["AAA", "AAG"],
+    "M": ["ATG"],
+    "F": ["TTT", "TTC"],
+    "P": ["CCT", "CCC", "CCA", "CCG"],
+    "S": ["TCT", "TCC", "TCA", "TCG", "AGT", "AGC"],
+    "T": ["ACT", "ACC", "ACA", "ACG"],
+    "W": ["TGG"],
+    "Y": ["TAT", "TAC"],
+    "V": ["GTT", "GTC", "GTA", "GTG"],
+    "STOP": ["TAA", "TAG", "TGA"],
+}
+_CODONS = "MAP {" + ", ".join(f"'{c}': '{a}'" for a, codons in CODON_OF.items() for c in codons) + "}"
 
 
 def _frame_sql(f, read):
-    return f"md5(array_to_string(list_transform(range(0, greatest(0, (length(seq) - {f}) // 3)), lambda i: m[{read.format(c=f'substr(seq, CAST(i * 3 + {f} + 1 AS INT), 3)')}]), ''))"
+    return f"md5(coalesce(array_to_string(list_transform(range(0, greatest(0, (length(seq) - {f}) // 3)), lambda i: m[{read.format(c=f'substr(seq, CAST(i * 3 + {f} + 1 AS INT), 3)')}]), ''), ''))"
 
 
 @query(

@@ -22,10 +22,10 @@ def qtl_sql(body):
     return with_views(f"WITH {QTL_SQL} {body}", "features")
 
 
-@query("minus_log10", qtl_sql("SELECT fid, round(-log10(p_value), 6) AS v FROM q WHERE fid % 10 <> 0"))
+@query("minus_log10", qtl_sql("SELECT fid, round(-log10(p_value), 6) AS v FROM q"))
 def p_values(spark, sf):
     g = gwas(spark, sf).withColumn("fid", F.regexp_extract(F.col("attributes")["SNP"], r"(\d+)", 1).cast("long"))
-    return g.where(F.col("fid") % 10 != 0).select("fid", F.round(minus_log10(F.col("value")), 6).alias("v"))
+    return g.select("fid", F.round(minus_log10(F.col("value")), 6).alias("v"))
 
 
 @query("qtl_match", qtl_sql("""SELECT chr, start, snp, phenotype FROM q WHERE (upper(snp) = 'GENE3' OR upper(phenotype) = 'GENE3') AND -log10(p_value) > 1.5"""))

@@ -62,10 +62,10 @@ _LL = """ll AS (SELECT chr, start // 10000 * 10000 AS start, ix, sum(CASE WHEN i
 
 @query(
     "baf_likelihood",
-    with_views(f"WITH {_SNPS}, {_LL} SELECT chr, start, CAST(ix AS INT) AS ix, round(ll, 4) AS ll FROM ll WHERE ix BETWEEN 1 AND 98", "features"),
+    with_views(f"WITH {_SNPS}, {_LL} SELECT chr, start, CAST(ix AS INT) AS ix, round(ll, 4) AS ll FROM ll", "features"),
 )
 def baf_likelihood(spark, sf):
-    ll = C.baf_likelihood(snps(spark, sf), BIN).where(F.col("ix").between(1, 98))
+    ll = C.baf_likelihood(snps(spark, sf), BIN)
     return ll.select("chr", "start", "ix", F.round("ll", 4).alias("ll"))
 
 

@@ -298,10 +298,10 @@ def reference(spark, sf):
 @query(
     "mismatch_sites",
     sam_sql(
-        ", " + _REF_SQL + """, pq AS (SELECT chr, pos, sum(qv) AS qual, count(*) AS total FROM bs GROUP BY 1, 2),
-        rb AS (SELECT pq.*, substr(rseq, CAST(pos % 128 + 1 AS INT), 1) AS ref FROM pq JOIN rf ON rf.chr = pq.chr AND rf.chunk = pq.pos // 128),
-        mm AS (SELECT b.chr, b.pos, sum(b.qv) AS other FROM bs b JOIN rb ON rb.chr = b.chr AND rb.pos = b.pos WHERE b.base <> 'N' AND b.base <> rb.ref GROUP BY 1, 2)
-        SELECT rb.chr, rb.pos, ref, CAST(qual AS BIGINT) AS qual FROM rb LEFT JOIN mm USING (chr, pos) WHERE coalesce(other, 0) >= 0.2 * qual"""
+        ", " + _REF_SQL + """, jb AS (SELECT b.chr, b.pos, b.base, b.qv, substr(rseq, CAST(b.pos % 128 + 1 AS INT), 1) AS ref
+            FROM bs b JOIN rf ON rf.chr = b.chr AND rf.chunk = b.pos // 128)
+        SELECT chr, pos, ref, CAST(sum(qv) AS BIGINT) AS qual FROM jb GROUP BY chr, pos, ref
+        HAVING coalesce(sum(CASE WHEN base <> 'N' AND base <> ref THEN qv END), 0) >= 0.2 * sum(qv)"""
     ),
 )
 def mismatch_sites(spark, sf):

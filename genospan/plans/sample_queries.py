@@ -59,15 +59,22 @@ def group_counts(spark, sf):
     return S.group_counts(attributes(spark, sf), "nation")
 
 
-_SCORES = """sc AS (SELECT sample, CAST(CAST(sum((least("end", 260000) - greatest(start, 200000)) * cents) AS BIGINT) AS DOUBLE) / 60001 AS score
-    FROM features WHERE chr = 'NO' AND start <= 260000 AND "end" >= 200000 GROUP BY 1)"""
+def scores_sql(name, start, end):
+    return f"""{name} AS (SELECT sample, CAST(CAST(sum((least("end", {end}) - greatest(start, {start})) * cents) AS BIGINT) AS DOUBLE) / {end - start + 1} AS score
+    FROM features WHERE chr = 'NO' AND start <= {end} AND "end" >= {start} GROUP BY 1)"""
 
 
-def scores(spark, sf, kind="seg"):
+WIDE, NARROW = (200_000, 260_000), (230_000, 231_000)
+_SCORES = scores_sql("sc", *WIDE)
+
+
+def scores(spark, sf, kind="seg", place=WIDE):
     f = V.features(spark, sf).withColumn("value", F.col("cents"))
-    region = V.table(spark, sf, "region").select(
-        F.lit("NO").alias("chr"), F.lit(200_000).cast("long").alias("start"), F.lit(260_000).cast("long").alias("end"), F.lit(1).alias("region_id")
-    ).limit(1)
+    start, end = place
+    # One region, made of the whole table of regions.
+    region = V.table(spark, sf, "region").agg(
+        F.lit("NO").alias("chr"), F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), F.min("r_regionkey").alias("region_id")
+    )
     return I.region_scores(f, region, kind, layout=I.JoinLayout(512, 0, 1)).drop("region_id")
 
 
@@ -75,15 +82,15 @@ def all_samples(spark, sf):
     return V.samples(spark, sf).select("sample")
 
 
-@query("sample_filter", with_views(f"WITH {_SCORES} SELECT s.sample FROM samples s JOIN sc USING (sample) WHERE score > 1000000 AND score < 9000000", "samples", "features"))
+@query("sample_filter", with_views(f"WITH {_SCORES} SELECT s.sample FROM samples s JOIN sc USING (sample) WHERE score > 45000 AND score < 60000", "samples", "features"))
 def sample_filter(spark, sf):
     sc = scores(spark, sf)
-    return S.sample_filter(S.sample_filter(all_samples(spark, sf), sc, ">", 1_000_000), sc, "<", 9_000_000)
+    return S.sample_filter(S.sample_filter(all_samples(spark, sf), sc, ">", 45_000), sc, "<", 60_000)
 
 
-@query("sample_filter_mutations", with_views(f"WITH {_SCORES} SELECT s.sample FROM samples s WHERE s.sample NOT IN (SELECT sample FROM sc)", "samples", "features"))
+@query("sample_filter_mutations", with_views(f"WITH {scores_sql('sc', *NARROW)} SELECT s.sample FROM samples s WHERE s.sample NOT IN (SELECT sample FROM sc)", "samples", "features"))
 def sample_filter_mutations(spark, sf):
-    return S.sample_filter(all_samples(spark, sf), scores(spark, sf, "mut"), "NOT HAS")
+    return S.sample_filter(all_samples(spark, sf), scores(spark, sf, "mut", NARROW), "NOT HAS")
 
 
 @query("sort_samples_by_value", with_views(f"WITH {_SCORES} SELECT s.sample, round(score, 6) AS score FROM samples s LEFT JOIN sc USING (sample)", "samples", "features"))

@@ -40,21 +40,18 @@ VIEW_SQL = {
         FROM part""",
     "signal": """
         SELECT chr, start, @end, value FROM (
-            SELECT chr, start, least(lead(start) OVER (PARTITION BY chr ORDER BY start), start + 600) AS @end,
-                   CAST(cents AS DOUBLE) AS value,
-                   lead(start) OVER (PARTITION BY chr ORDER BY start) AS nxt
+            SELECT chr, start, coalesce(least(lead(start) OVER (PARTITION BY chr ORDER BY start), start + 600), start + 600) AS @end,
+                   CAST(cents AS DOUBLE) AS value
             FROM (SELECT event_type AS chr, SECONDS(ts) AS start, max(CAST(round(value * 100) AS BIGINT)) AS cents
-                  FROM events GROUP BY 1, 2) d) s
-        WHERE nxt IS NOT NULL""",
+                  FROM events GROUP BY 1, 2) d) s""",
     "pairs": """
         SELECT chr1, start1, start1 + 5 + pid % 7 AS end1, chr2, start2, start2 + 5 + o_custkey % 11 AS end2,
                cents / CAST(100 AS DOUBLE) AS score, pid
         FROM (SELECT o_custkey, o_orderkey AS pid, o_orderstatus AS chr1, DAYS(o_orderdate) * 10 AS start1,
                      CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
-                     lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS chr2,
-                     lead(DAYS(o_orderdate) * 10) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS start2
-              FROM orders) o
-        WHERE chr2 IS NOT NULL""",
+                     coalesce(lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderstatus) AS chr2,
+                     coalesce(lead(DAYS(o_orderdate) * 10) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), DAYS(o_orderdate) * 10 + 300) AS start2
+              FROM orders) o""",
     "samples": """
         SELECT s_suppkey AS sample, n_name AS nation, CAST(n_regionkey AS VARCHAR(10)) AS region,
                CASE WHEN s_suppkey % 10 = 3 THEN 'unknown'
@@ -171,9 +168,7 @@ def signal(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.max(F.round(F.col("value") * 100).cast("long")).alias("cents"))
     )
     scanned = ordered_scan(rows, ["chr"], ["start"], block_of("start"), nxt=("lead", F.col("start")))
-    return scanned.where(F.col("nxt").isNotNull()).select(
-        "chr", "start", F.least(F.col("nxt"), F.col("start") + 600).alias("end"), F.col("cents").cast("double").alias("value")
-    )
+    return scanned.select("chr", "start", F.least("nxt", F.col("start") + 600).alias("end"), F.col("cents").cast("double").alias("value"))
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
