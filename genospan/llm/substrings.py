@@ -30,8 +30,9 @@ ship_by_value(__name__)
 WINDOW = 13
 # A difference cover: every residue modulo the period is a difference of two members.
 PERIOD, COVER = 7, (0, 1, 3)
-DOCS_PER_GROUP = 1024
-BUCKETS_PER_PARTITION = 4
+GROUP_BYTES = 4 << 20  # text of a group of documents, on average
+BUCKET_BYTES = 32 << 20  # text whose anchors or windows make up a bucket, on average
+BUCKETS_PER_PARTITION = 4  # at least
 SECOND_SEED = 0xA0761D6478BD642F
 
 
@@ -241,7 +242,8 @@ def remove_repeats(
     window: int = WINDOW,
     period: int = PERIOD,
     cover: Sequence[int] = COVER,
-    docs_per_group: int = DOCS_PER_GROUP,
+    group_bytes: int = GROUP_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """Per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept_text``.
 
@@ -249,15 +251,17 @@ def remove_repeats(
     document with a smaller id; runs are judged on the input.  The words that stay are joined
     by one space.  Null and blank texts have no words and give an empty text; a row
     without an id keeps all its words and takes none from others; rows that repeat
-    an id count as one document.  Windows never span two rows.
+    an id count as one document.  Windows never span two rows.  Groups of documents and buckets of anchors are as
+    many as the measured size of all texts asks for, so that both stay bounded however large the table.
     """
     if window < period:
         raise ValueError("the window must be as long as the period at least")
     if {(a - b) % period for a in cover for b in cover} != set(range(period)):
         raise ValueError("the cover lacks a difference of the period")
     spark = docs.sparkSession
-    groups = max(1, -(-docs.count() // docs_per_group))
-    buckets = BUCKETS_PER_PARTITION * shuffle_partitions(spark)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long") + 8), F.lit(0))).first()[0]
+    groups = max(1, -(-size // group_bytes))
+    buckets = max(BUCKETS_PER_PARTITION * shuffle_partitions(spark), -(-size // bucket_bytes))
     own = F.col(doc_id).cast("long")
     # Rows without an id are spread by their text.
     spread = F.when(own.isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(own))

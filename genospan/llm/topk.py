@@ -2,8 +2,9 @@
 
 All vectors are rotated by the singular vectors of the table, so that leading
 coordinates carry most of every product.  The longest vectors of all give each
-query a first lower bound of its k-th score.  Then each block of vectors, by descending
-length, meets the queries: a query leaves a block when its length times
+query a first lower bound of its k-th score.  The table is cut into ranges of length, and those into blocks; a
+query is sent only to the ranges where its length times the longest vector's reaches its bound.  Inside a block
+vectors come by descending length: a query leaves it when its length times
 the next vector's length stays below its bound, and a pair is scored only when the leading
 coordinates' product plus the product of the remaining lengths reaches it.
 """
@@ -11,6 +12,7 @@ coordinates' product plus the product of the remaining lengths reaches it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from genospan.session import ship_by_value
 ship_by_value(__name__)
 
 BLOCK = 16_384
+MOST_BANDS = 64
 QUERIES_PER_PART = 65_536
 HEAD = 1_024
 CHUNK = 2_048
@@ -157,6 +160,45 @@ def top_inner_products(
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+@dataclass(frozen=True)
+class Bands:
+    """Ranges of squared length, the longest first, each cut into blocks of bounded size by hash."""
+
+    cuts: list[float]  # a row lies in the band that counts the cuts above its squared length
+    longest: list[float]  # the largest squared length of each band
+    sizes: list[int]  # blocks of each band
+
+    def block(self, square: Column, hashed: Column) -> Column:
+        band = F.size(F.filter(F.array(*map(F.lit, self.cuts)), lambda c: square < c)) if self.cuts else F.lit(0)
+        first, size = self._of(band)
+        return (first + F.pmod(hashed, size)).cast("int")
+
+    def blocks(self, band: Column) -> Column:
+        first, size = self._of(band)
+        return F.sequence(first, first + size - 1)
+
+    def _of(self, band: Column) -> tuple[Column, Column]:
+        first = [sum(self.sizes[:k]) for k in range(len(self.sizes))]
+        return F.get(F.array(*map(F.lit, first)), band), F.get(F.array(*map(F.lit, self.sizes)), band)
+
+    def reached(self, square: Column, floor: Column) -> Column:
+        """The bands that may hold a product of ``floor`` or more: none above the product of the lengths (Cauchy-Schwarz)."""
+        longest = F.array(*map(F.lit, self.longest))
+        bound = lambda k: F.sqrt(square) * F.sqrt(F.get(longest, k)) * (1 + 1e-9)
+        return F.filter(F.sequence(F.lit(0), F.lit(len(self.sizes) - 1)), lambda k: bound(k) >= floor)
+
+
+def length_bands(squares: DataFrame, n: int, block: int) -> Bands:
+    """At most ``MOST_BANDS`` bands with about equally many rows each; rows of one length stay in one band."""
+    want = min(MOST_BANDS, -(-n // block))
+    shares = [k / want for k in range(want - 1, 0, -1)]
+    cuts = sorted(set(squares.agg(F.percentile_approx("square", shares, 10_000)).first()[0]), reverse=True) if shares else []
+    band = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("square") < c)) if cuts else F.lit(0)
+    found = {r["band"]: r for r in squares.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("longest")).collect()}
+    longest = [found[k]["longest"] if k in found else 0.0 for k in range(len(cuts) + 1)]
+    return Bands(cuts, longest, [-(-found[k]["n"] // block) if k in found else 1 for k in range(len(cuts) + 1)])
+
+
 def _of_width(rows: DataFrame, width: int, n: int, n_queries: int, k: int, block: int, leading: int, head: int) -> DataFrame:
     rotation = _rotation(rows, width)
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -174,12 +216,14 @@ def _of_width(rows: DataFrame, width: int, n: int, n_queries: int, k: int, block
             lowest[which[nth == k - 1]] = scores[nth == k - 1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lowest)], names=["id", "vec", "floor"])
 
-    blocks, query_parts = -(-n // block), -(-n_queries // QUERIES_PER_PART)
+    query_parts = -(-n_queries // QUERIES_PER_PART)
+    bands = length_bands(rows.select(square.alias("square")), n, block)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    own_block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     own_part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_parts)).cast("int")
     asked = rows.where("asks").select("id", "vec").mapInArrow(with_floor, "id long, vec array<long>, floor long")
-    queries = asked.select(every(blocks).alias("block"), own_part.alias("part"), F.lit(1).alias("kind"), "id", "vec", "floor")
+    reached = F.flatten(F.transform(bands.reached(square, F.col("floor")), bands.blocks))
+    queries = asked.select(F.explode(reached).alias("block"), own_part.alias("part"), F.lit(1).alias("kind"), "id", "vec", "floor")
+    own_block = bands.block(square, F.xxhash64("id"))
     others = rows.select(own_block.alias("block"), every(query_parts).alias("part"), F.lit(0).alias("kind"), "id", "vec", F.lit(0).cast("long").alias("floor"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from genospan.llm.quality import host_of, path_of, score_quality
 from genospan.llm.separators import count_documents, read_token_file, token_stream
 from genospan.llm.substrings import remove_repeats
 from genospan.llm.tokens import Encoder, vocabulary_path
-from genospan.llm.topk import top_inner_products
+from genospan.llm.topk import length_bands, top_inner_products
 from genospan.llm.toxicity import score_toxicity, with_toxicity
 
 KEY = surrogates.EXAMPLE_KEY
@@ -129,7 +129,7 @@ def test_components(spark):
 
 def test_remove_repeats(spark):
     rows = corpus()
-    got = collections.Counter(tuple(r) for r in remove_repeats(frame(spark, rows), docs_per_group=7).collect())
+    got = collections.Counter(tuple(r) for r in remove_repeats(frame(spark, rows), group_bytes=2_000, bucket_bytes=300).collect())
     first = {}
     for i, t, *_ in rows:
         if i is not None:
@@ -537,6 +537,26 @@ def test_empty_tables(spark):
     assert top_inner_products(spark.createDataFrame([], V_SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_queries_skip_ranges_of_short_vectors(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(900, 8)) * np.repeat([1.0, 0.1, 0.01], 300)[:, None]
+    rows = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, score long").repartition(3)
+    # Heads smaller than a range, blocks smaller than a range.
+    got = sorted(tuple(r) for r in top_inner_products(rows, F.col("vec_id") % 50 == 0, block=40, head=30).collect())
+    v = np.floor(256 * vectors.astype(np.float32).astype(np.float64)).astype(np.int64)
+    want = []
+    for q in range(0, 900, 50):
+        scores = sorted((-int(v[q] @ v[c]), c) for c in range(900) if c != q)[:5]
+        want += [(q, k, c, -s) for k, (s, c) in enumerate(scores, 1)]
+    assert got == sorted(want)
+    squares = spark.createDataFrame([(float(x),) for x in (v * v).sum(axis=1)], "square double")
+    bands = length_bands(squares, 900, 40)
+    assert len(bands.sizes) > 10 and sum(bands.sizes) < 60
+    far = squares.select(bands.reached(F.lit(4.0e6), F.lit(2_000_000)).alias("b")).first()["b"]
+    assert far and len(far) < len(bands.sizes) and all(2_000 * math.sqrt(bands.longest[k]) < 2_000_000 for k in range(len(bands.sizes)) if k not in far)
+    assert length_bands(squares.where("false"), 0, 40).cuts == []
+
+
 def test_persons_print_apart(spark):
     rng = random.Random(8)
     names = sorted({"".join(rng.choices("abcdefghijklmnop", k=7)).capitalize() for _ in range(700)})
