@@ -27,10 +27,10 @@ ship_by_value(__name__)
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-REMEMBERED_RUNS = 400_000
+REMEMBERED_RUNS = 300_000
 LONGEST_REMEMBERED = 48  # bytes
 TEXTS_AT_ONCE = 256
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 1 << 20
 
 # Fixed value: how the vocabulary's tokenizer cuts lower-cased text.
 RUN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -148,7 +148,11 @@ def scan_words(
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places ``start .. start + size`` of every pair, one after the other."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 2**31 and (not len(starts) or int(starts.max()) + total < 2**31) else np.int64
+    out = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
