@@ -20,8 +20,7 @@ PREDICATES = {
 
 LEVEL_STEP = 64
 MAX_LEVEL = 3
-# Above this estimated size the features are checked for overfull bins.
-SKEW_CHECK_BYTES = 8 << 30
+# Features of one bin that may meet its regions in one task.
 HOT_BIN_ROWS = 2_000_000
 
 
@@ -116,7 +115,7 @@ def overlap_join(
     *,
     layout: JoinLayout | None = None,
     prefix: str = "region_",
-    hot_bin_rows: int | None = None,
+    hot_bin_rows: int = HOT_BIN_ROWS,
 ) -> DataFrame:
     """All (feature, region) pairs that overlap, for a whole table of regions.
 
@@ -127,39 +126,26 @@ def overlap_join(
     broadcast by its measured size, otherwise both sides are shuffled on the bin.
 
     ``hot_bin_rows``: bins with more features than this are cut into slices; the
-    features are spread over the slices and the regions of that bin repeated.
-    Without a value the check runs only for inputs estimated above 8 GiB.
+    features are spread over the slices and the regions of that bin repeated.  The bins' counts are taken at
+    every size of the table.
     """
     layout = layout or measure_layout(features, regions)
-    if hot_bin_rows is None:
-        size = plan_bytes(features)
-        if size is not None and size > SKEW_CHECK_BYTES:
-            hot_bin_rows = HOT_BIN_ROWS
     renamed = {c: prefix + c for c in regions.columns if c != "chr"}
     left = _binned(features, layout.bin_size, layout.feature_top, layout.region_top)
     right = _binned(regions, layout.bin_size, layout.region_top, layout.feature_top)
     right = right.withColumnsRenamed({**renamed, "__lv": "__rlv"})
 
     keys = ["chr", "__level", "__bin"]
-    if hot_bin_rows:
-        hot = (
-            left.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("__n"))
-            .where(F.col("__n") > hot_bin_rows)
-            .select(*keys, F.ceil(F.col("__n") / hot_bin_rows).cast("int").alias("__slices"))
-        )
-        slices = F.coalesce(F.col("__slices"), F.lit(1))
-        left = (
-            left.join(hot, keys, "left")
-            .withColumn("__slice", F.pmod(F.xxhash64(*features.columns), slices).cast("int"))
-            .drop("__slices")
-        )
-        right = (
-            right.join(hot, keys, "left")
-            .withColumn("__slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-            .drop("__slices")
-        )
-        keys = [*keys, "__slice"]
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where(F.col("__n") > hot_bin_rows).select(*keys, F.ceil(F.col("__n") / hot_bin_rows).cast("int").alias("__slices"))
+    # One row for so many features at the least: small enough for every executor.
+    hot = F.broadcast(hot)
+    slices = F.coalesce(F.col("__slices"), F.lit(1))
+    own_slice = F.pmod(F.xxhash64(*features.columns), slices).cast("int")
+    left = left.join(hot, keys, "left").withColumn("__slice", own_slice).drop("__slices")
+    every_slice = F.explode(F.sequence(F.lit(0), slices - 1))
+    right = right.join(hot, keys, "left").withColumn("__slice", every_slice).drop("__slices")
+    keys = [*keys, "__slice"]
 
     rs, re = F.col(prefix + "start"), F.col(prefix + "end")
     width = F.lit(layout.bin_size) * F.pow(F.lit(LEVEL_STEP), F.col("__level"))

@@ -451,6 +451,24 @@ def register_reader(name: str, reader: Callable[..., DataFrame]) -> None:
     READERS[name] = reader
 
 
+def read_with(name: str, *args, chr: str, start: int, end: int) -> DataFrame:
+    """Features of a user's reader in one region.
+
+    The reader gets the region as ``chr``, ``start`` and ``end``; it may return more than that.
+    """
+    got = READERS[name](*args, chr=chr, start=start, end=end)
+    return got.where((F.col("chr") == chr) & (F.col("end") >= start) & (F.col("start") <= end))
+
+
+def parse_service_response(answers: DataFrame, schema: str, names: dict[str, str] | None = None) -> DataFrame:
+    """Features of JSON answers, each a list in ``value``; properties of ``schema`` are renamed by ``names``.
+
+    An answer that is no list of objects gives nothing.
+    """
+    listed = answers.select(F.inline(F.from_json("value", f"array<struct<{schema.replace(' ', ': ').replace(',:', ',')}>>")))
+    return listed.withColumnsRenamed(names or {})
+
+
 def register_computation(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
     COMPUTATIONS[name] = fn
 
