@@ -149,7 +149,22 @@ def interaction_filter_partial(spark, sf):
     return O.interaction_filter(p, 100_000, 400_000, "partialInView", 12_000, 20_000).select("pid")
 
 
-@query("interaction_wg_sample")
+@query(
+    "interaction_wg_sample",
+    with_views(
+        """WITH off AS (SELECT chr, coalesce(sum(length) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+              FROM (SELECT chr1 AS chr, max(end1) + 1 AS length FROM pairs GROUP BY 1) c),
+            tot AS (SELECT count(*) AS n, max(score) AS top FROM pairs),
+            cls AS (SELECT p.*, n > 500 AND top > 0 AS split, CASE WHEN n > 500 AND top > 0 AND score > 0
+              THEN greatest(0, least(4, coalesce(floor(ln(score) / nullif(ln(top) / 5, 0)), 0))) ELSE 0 END AS stratum FROM pairs p, tot),
+            rnk AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat_ws('|', '0', pid)), pid) AS i,
+              row_number() OVER (ORDER BY score DESC NULLS LAST, pid) AS best FROM cls),
+            got AS (SELECT * FROM rnk WHERE i <= CASE WHEN split THEN 100 ELSE 500 END OR (split AND best = 1))
+            SELECT pid, CAST(a.o + start1 AS BIGINT) AS wg_start, CAST(b.o + end2 AS BIGINT) AS wg_end, score
+            FROM got JOIN off a ON a.chr = chr1 JOIN off b ON b.chr = chr2 ORDER BY md5(concat_ws('|', '0', pid)), pid LIMIT 501""",
+        "pairs",
+    ),
+)
 def interaction_wg_sample(spark, sf):
     from pyspark.sql import Window
 

@@ -319,13 +319,24 @@ def pack_rows_depth(spark, sf):
     return packed.groupBy("chr").agg((F.max("row") + 1).cast("long").alias("n_rows"))
 
 
-@query("whole_genome_sample")
+_HASHED = "md5(concat_ws('|', '0', fid, cents)), fid, cents"
+
+
+@query(
+    "whole_genome_sample",
+    with_views(
+        f"""WITH {_OFFSETS} SELECT 'all' AS chr, start, "end", fid, cents, CAST("offset" + start AS BIGINT) AS wg_start, CAST("offset" + "end" AS BIGINT) AS wg_end
+            FROM features JOIN off USING (chr) ORDER BY {_HASHED} LIMIT 2000""",
+        "features",
+        "chrom_sizes",
+    ),
+)
 def whole_genome_sample(spark, sf):
     off = G.genome_offsets(V.chromosomes(spark, sf))
     f = V.features(spark, sf).select("chr", "start", "end", "fid", "cents")
     return S.whole_genome_sample(f, off, ["fid", "cents"], limit=2_000)
 
 
-@query("generic_sample")
+@query("generic_sample", with_views(f"SELECT * FROM features ORDER BY {_HASHED} LIMIT 1000", "features"))
 def generic_sample(spark, sf):
     return S.generic_sample(V.features(spark, sf), 1_000, ["fid", "cents"])

@@ -404,7 +404,14 @@ def group_order(spark, sf):
     return ranked.select(F.col("group_value").alias("g"), "ord")
 
 
-@query("downsample_reads")
+@query(
+    "downsample_reads",
+    sam_sql(
+        """, nm AS (SELECT read_name, min((chr, start // 100)) AS p FROM rd GROUP BY 1),
+        kp AS (SELECT read_name, row_number() OVER (PARTITION BY p ORDER BY md5(concat_ws('|', '0', read_name)), read_name) AS i FROM nm)
+        SELECT fid, chr, start, read_name FROM rd WHERE read_name IN (SELECT read_name FROM kp WHERE i <= 2)"""
+    ),
+)
 def downsample_reads(spark, sf):
     return S.downsample_reads(reads(spark, sf), depth=2).select(FID, "chr", "start", "read_name")
 

@@ -28,14 +28,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate in bytes, or None where the session hides it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
 def block_of(position: Column | str, width: int = BLOCK_BP) -> Column:
     col = F.col(position) if isinstance(position, str) else position
     return F.floor(col / F.lit(width)).cast("long")
@@ -264,8 +256,9 @@ def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column], by: Se
 
 
 def hashed_order(*cols: str, seed: int = 0) -> list[Column]:
-    """A repeatable pseudo-random order: hash first, the columns themselves as tie-break."""
-    return [F.xxhash64(F.lit(seed), *cols), *[F.col(c) for c in cols]]
+    """A repeatable pseudo-random order, the same in any engine: an MD5 digest of the columns, then the columns as tie-break."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return [F.md5(text.cast("binary")), *[F.col(c) for c in cols]]
 
 
 def all_of(conditions: Sequence[Column]) -> Column:
