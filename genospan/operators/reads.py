@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genospan.functions import reads as R
 from genospan.scale import order_statistics
+from genospan.session import ship_by_value
+
+ship_by_value(__name__)
 
 BASES = ("A", "C", "G", "T", "N")
 DEFAULT_QUALITY = 30
@@ -49,12 +55,76 @@ def split_reads(alignments: DataFrame, start: int | None = None, end: int | None
     return out
 
 
-def _block_text(n: Column, at: Column) -> list[Column]:
-    """Bases and quality characters of a block; ``N`` and nothing where not recorded."""
-    absent = (F.col("seq") == "*") | F.col("seq").isNull()
-    seq = F.when(absent, F.repeat(F.lit("N"), n)).otherwise(F.rpad(F.substring("seq", at, n), n, "N"))
-    qual = F.when(F.col("qual") == "*", F.lit("")).otherwise(F.substring("qual", at, n))
-    return [seq, qual]
+COUNTERS = [*(f"{side}{b}" for b in BASES for side in ("pos", "neg", "qual")), "total", "qual", "del", "ins"]
+READS_BLOCK_BP = 1 << 14
+EVENTS_AT_ONCE = 1 << 20  # bases and gaps that a worker counts together, one read at least
+_CODE = np.full(256, len(BASES), np.int64)
+for _k, _b in enumerate(BASES):
+    _CODE[[ord(_b), ord(_b.lower())]] = _k
+
+
+def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a text column, and each row's first byte and length; a missing text or ``*`` has none."""
+    absent = pc.fill_null(pc.equal(column, "*"), True)
+    column = pc.if_else(absent, "", column).cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    edge = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    return raw, edge[:-1], np.diff(edge)
+
+
+def _ramps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _count_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of ``COUNTERS`` for the positions that some reads touch."""
+    for batch in batches:
+        each = batch.column(batch.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
+        lo, ends = 0, np.cumsum(each)
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + EVENTS_AT_ONCE, side="right")))
+            yield _counted(batch.slice(lo, hi - lo))
+            lo = hi
+
+
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+    chroms = column["chr"].dictionary_encode()
+    code, reverse = chroms.indices.to_numpy(), column["reverse"].to_numpy(zero_copy_only=False).astype(bool)
+    lists = column["op"]
+    read = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    op = pc.dictionary_encode(lists.flatten())
+    kind = np.array([{"D": 1, "I": 2}.get(x, 0) for x in op.dictionary.to_pylist()] or [0])[op.indices.to_numpy()]
+    first, off, size = (column[n].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for n in ("pos", "off", "len"))
+
+    def keys(part: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return (np.repeat(code[read[part]].astype(np.int64), sizes) << 44) + np.repeat(first[part], sizes) + _ramps(sizes)
+
+    bases, gaps, added = (np.flatnonzero(kind == k) for k in range(3))
+    n = size[bases]
+    owner, inside = np.repeat(read[bases], n), np.repeat(off[bases], n) + _ramps(n)
+    raw, begin, length = _text(column["seq"])
+    known = inside < length[owner]
+    # Bases that are not recorded count as N.
+    base = np.where(known, _CODE[raw[np.where(known, begin[owner] + inside, 0)]], BASES.index("N"))
+    raw, begin, length = _text(column["qual"])
+    known = inside < length[owner]
+    q = np.where(known, raw[np.where(known, begin[owner] + inside, 0)].astype(np.int64) - 33, DEFAULT_QUALITY)
+    place = [keys(bases, n), keys(gaps, size[gaps]), keys(added, np.ones(len(added), np.int64))]
+    at, which = np.unique(np.concatenate(place), return_inverse=True)
+    edges = np.cumsum([0, *map(len, place)])
+    own, gap, ins = (which[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
+    m, kinds = len(at), len(BASES) + 1
+    count = lambda index, width, weights=None: np.bincount(index, weights, m * width).astype(np.int64).reshape(m, width)
+    strand = count(own * 2 * kinds + base * 2 + reverse[owner], 2 * kinds)
+    quality = count(own * kinds + base, kinds, q.astype(np.float64))
+    sums = [x for k in range(len(BASES)) for x in (strand[:, 2 * k], strand[:, 2 * k + 1], quality[:, k])]
+    sums += [strand.sum(axis=1), quality.sum(axis=1), count(gap, 1)[:, 0], count(ins, 1)[:, 0]]
+    names = chroms.dictionary.take(pa.array(at >> 44))
+    return pa.RecordBatch.from_arrays([names, pa.array(at & ((1 << 44) - 1)), *map(pa.array, sums)], names=["chr", "pos", *COUNTERS])
 
 
 def pileup(alignments: DataFrame) -> DataFrame:
@@ -62,64 +132,25 @@ def pileup(alignments: DataFrame) -> DataFrame:
 
     ``posA..posN`` and ``negA..negN`` by strand and base, ``qualA..qualN``,
     ``total`` and ``qual``; ``del`` counts bases inside D gaps (not N), ``ins``
-    insertions at their first base.  Soft clips are skipped.
+    insertions at their first base.  Soft clips are skipped; bases that are not recorded count as N, without a
+    recorded quality as ``DEFAULT_QUALITY``.
 
-    The reads are scanned once.  Each operation is cut out of the read and then
-    split, so the work per read grows with its length only.  There is one shuffle
-    on (chr, pos), with sums combined on the map side: a position covered by a
-    large share of all reads costs no more than any other.
+    The reads are dealt by blocks of their place.  A worker counts a bounded number of bases at a time in flat arrays and
+    hands on one row for each position it saw; those rows are summed by (chr, pos).  A position
+    covered by a large share of all reads costs a row for each such step, not for each read.
     """
-    ops = alignments.select(
-        "chr",
-        R.has_flag("reverse").alias("reverse"),
-        "seq",
-        "qual",
-        F.explode(F.filter("parts", lambda p: p["op"].isin("M", "=", "X", "D", "I"))).alias("b"),
-    ).where("b.len > 0")
-    n, at = F.col("b.len").cast("int"), F.col("b.off").cast("int") + 1
-    is_gap, is_ins = F.col("b.op") == "D", F.col("b.op") == "I"
-    seq, quals = _block_text(n, at)
-    cells = (
-        F.when(is_gap, F.array_repeat(F.lit(""), n)).when(is_ins, F.array(F.lit(""))).otherwise(F.split(seq, ""))
-    )
-    marks = F.when(is_gap | is_ins, F.array(F.lit(""))).otherwise(F.split(quals, ""))
-    cut = ops.select(
-        "chr",
-        "reverse",
-        F.col("b.pos").alias("from"),
-        F.when(is_gap, "d").when(is_ins, "i").otherwise("b").alias("kind"),
-        cells.alias("bases"),
-        marks.alias("quals"),
-    )
-    z = F.posexplode(F.arrays_zip("bases", "quals")).alias("i", "z")
-    events = cut.select("chr", "reverse", "from", "kind", z).select(
-        "chr",
-        (F.col("from") + F.col("i")).alias("pos"),
-        "reverse",
-        "kind",
-        F.upper("z.bases").alias("base"),
-        F.when(F.length("z.quals") > 0, F.ascii("z.quals") - 33).otherwise(DEFAULT_QUALITY).alias("q"),
+    wanted = F.filter("parts", lambda p: p["op"].isin("M", "=", "X", "D", "I") & (p["len"] > 0))
+    parts = alignments.where(F.col("chr").isNotNull()).select("chr", R.has_flag("reverse").alias("reverse"), "seq", "qual", wanted.alias("p")).where(F.size("p") > 0)
+    flat = parts.select(
+        "chr", "reverse", "seq", "qual",
+        *[F.col(f"p.{k}").alias(k) for k in ("op", "pos", "off", "len")],
+        F.aggregate("p", F.lit(0).cast("long"), lambda n, b: n + b["len"].cast("long")).alias("n"),
     )
-    is_base = F.col("kind") == "b"
-
-    def tally(cond: Column, name: str) -> Column:
-        return F.sum(F.when(cond, 1).otherwise(0)).alias(name)
-
-    aggs = []
-    for b in BASES:
-        this = is_base & (F.col("base") == b)
-        aggs += [
-            tally(this & ~F.col("reverse"), f"pos{b}"),
-            tally(this & F.col("reverse"), f"neg{b}"),
-            F.sum(F.when(this, F.col("q")).otherwise(0)).alias(f"qual{b}"),
-        ]
-    aggs += [
-        tally(is_base, "total"),
-        F.sum(F.when(is_base, F.col("q")).otherwise(0)).alias("qual"),
-        tally(F.col("kind") == "d", "del"),
-        tally(F.col("kind") == "i", "ins"),
-    ]
-    return events.groupBy("chr", "pos").agg(*aggs)
+    # Reads come by place, so that a step sees few positions; Spark splits what is dealt too thick.
+    flat = flat.withColumn("start", F.get("pos", F.lit(0))).withColumn("block", F.floor(F.col("start") / READS_BLOCK_BP))
+    flat = flat.hint("rebalance", "chr", "block").sortWithinPartitions("chr", "start")
+    counted = flat.mapInArrow(_count_events, "chr string, pos long, " + ", ".join(f"{c} long" for c in COUNTERS))
+    return counted.groupBy("chr", "pos").agg(*[F.sum(c).alias(c) for c in COUNTERS])
 
 
 def base_count(base: str, strand: str = "both") -> Column:

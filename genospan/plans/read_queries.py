@@ -253,17 +253,21 @@ def insert_size_class(spark, sf):
     return reads(spark, sf).select(FID, R.insert_size_class(100, 400).alias("size_class"))
 
 
-_PILE = """pile AS (SELECT chr, pos, CAST(sum(pa) AS BIGINT) AS "posA", CAST(sum(nc) AS BIGINT) AS "negC", CAST(sum(nn) AS BIGINT) AS "negN",
-      CAST(sum(qg) AS BIGINT) AS "qualG", CAST(sum(t) AS BIGINT) AS total, CAST(sum(qv) AS BIGINT) AS qual, CAST(sum(d) AS BIGINT) AS del, CAST(sum(i) AS BIGINT) AS ins FROM (
-      SELECT chr, pos, CASE WHEN base = 'A' AND flags & 16 = 0 THEN 1 ELSE 0 END AS pa, CASE WHEN base = 'C' AND flags & 16 <> 0 THEN 1 ELSE 0 END AS nc,
-             CASE WHEN base = 'N' AND flags & 16 <> 0 THEN 1 ELSE 0 END AS nn, CASE WHEN base = 'G' THEN qv ELSE 0 END AS qg, 1 AS t, qv, 0 AS d, 0 AS i FROM bs
-      UNION ALL SELECT chr, start + q + j, 0, 0, 0, 0, 0, 0, 1, 0 FROM (SELECT *, unnest(range(2)) AS j FROM rk WHERE ln % 4 = 1) x
-      UNION ALL SELECT chr, start + q, 0, 0, 0, 0, 0, 0, 0, 1 FROM rk WHERE ln % 4 = 2) e GROUP BY 1, 2)"""
+_ONE_BASE = ", ".join(
+    f"""count(*) FILTER (base = '{b}' AND NOT back) AS "pos{b}", count(*) FILTER (base = '{b}' AND back) AS "neg{b}",
+        CAST(coalesce(sum(qv) FILTER (base = '{b}'), 0) AS BIGINT) AS "qual{b}" """
+    for b in O.BASES
+)
+_PILE = f"""pile AS (SELECT chr, pos, {_ONE_BASE}, count(base) AS total, CAST(coalesce(sum(qv), 0) AS BIGINT) AS qual,
+      CAST(sum(d) AS BIGINT) AS del, CAST(sum(i) AS BIGINT) AS ins FROM (
+      SELECT chr, pos, base, flags & 16 <> 0 AS back, qv, 0 AS d, 0 AS i FROM bs
+      UNION ALL SELECT chr, start + q + j, NULL, FALSE, NULL, 1, 0 FROM (SELECT *, unnest(range(2)) AS j FROM rk WHERE ln % 4 = 1) x
+      UNION ALL SELECT chr, start + q, NULL, FALSE, NULL, 0, 1 FROM rk WHERE ln % 4 = 2) e GROUP BY 1, 2)"""
 
 
 @query("pileup", sam_sql(", " + _PILE + " SELECT * FROM pile"))
 def pileup(spark, sf):
-    return O.pileup(kept(spark, sf)).select("chr", "pos", "posA", "negC", "negN", "qualG", "total", "qual", "del", "ins")
+    return O.pileup(kept(spark, sf))
 
 
 @query("pileup_max", sam_sql(", " + _PILE + ' SELECT chr, max(total) AS max_total FROM pile GROUP BY chr'))

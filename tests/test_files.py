@@ -147,3 +147,43 @@ def test_complement_pairs(spark):
     row = spark.createDataFrame([(IUPAC + "NacgtwsX",)], "s string").select(complement(F.col("s")), complement(complement(F.col("s")))).first()
     assert row[0] == "TGCARYWSMKHDVBNtgcawsX"
     assert row[1] == IUPAC + "NacgtwsX"
+
+
+def test_pileup_of_awkward_reads(spark, monkeypatch):
+    """Counts against a plain loop: missing bases and qualities, gaps, insertions, clips, lower case, a deep place."""
+    from collections import Counter
+
+    from genospan.operators import reads as O
+    from genospan.sources.sam import with_parts
+
+    monkeypatch.setattr(O, "EVENTS_AT_ONCE", 11)
+    rows = [
+        ("a", 0, 5, "4M", "ACGT", "IIII"), ("b", 16, 5, "2M1D2M", "acgt", "!!##"), ("c", 0, 6, "2S2M1I3M", "TTACGNNR", "*"),
+        ("d", 16, 9, "3M", "*", "*"), ("e", 0, 7, "1M2N2M", "CC", "5"), ("f", 0, 7, "2=1X", "GGG", "AB"),
+    ] + [(f"g{k}", 16 * (k % 2), 8, "3M", "ACT", "III") for k in range(50)]
+    lines = [tab(n, f, "1", p, 60, c, "*", 0, 0, s, q) for n, f, p, c, s, q in rows]
+    got = O.pileup(with_parts(parse_sam(spark.createDataFrame([(x,) for x in lines], "value string")))).collect()
+    want: dict = {}
+    import re
+
+    for _, flags, pos, cigar, seq, qual in rows:
+        at, off = pos - 1, 0
+        for n, op in re.findall(r"(\d+)(\D)", cigar):
+            for k in range(int(n)):
+                here = want.setdefault(at + (0 if op == "I" else k), Counter()) if op in "M=XD" or (op == "I" and k == 0) else None
+                if op in "M=X":
+                    base = "N" if seq == "*" or off + k >= len(seq) else seq[off + k].upper()
+                    q = 30 if qual == "*" or off + k >= len(qual) else ord(qual[off + k]) - 33
+                    here["total"] += 1
+                    here["qual"] += q
+                    if base in "ACGTN":
+                        here[("neg" if flags & 16 else "pos") + base] += 1
+                        here["qual" + base] += q
+                elif op == "D":
+                    here["del"] += 1
+                elif op == "I" and k == 0:
+                    here["ins"] += 1
+            at += int(n) if op in "M=XDN" else 0
+            off += int(n) if op in "M=XIS" else 0
+    have = {r["pos"]: {c: r[c] for c in O.COUNTERS if r[c]} for r in got}
+    assert have == {p: {c: n for c, n in counts.items() if n} for p, counts in want.items()}
