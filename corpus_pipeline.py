@@ -19,6 +19,16 @@ from genospan.llm.toxicity import THRESHOLD, with_toxicity
 from genospan.session import ensure_checkpoint_dir
 
 
+def apart(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with the columns that a stage does not use under names no operator makes."""
+    return docs.select(*[F.col(c).alias(c if c in used else f"__own_{k}") for k, c in enumerate(docs.columns)])
+
+
+def back(made: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return made.select(*[F.col(c if c in used else f"__own_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below the threshold, rows without an id or a text included."""
     scored = with_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), into="__toxicity")
@@ -42,15 +52,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data and secrets; ``n_chars`` follows the text."""
-    made = replace_entities(docs, key=EXAMPLE_KEY).drop("entities")
+    made = replace_entities(apart(docs, "text", "n_chars"), key=EXAMPLE_KEY)
     if "n_chars" in made.columns:
         made = made.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return made.select(*docs.columns)
+    return back(made, docs, "text", "n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources."""
-    return mix_sources(docs)
+    used = ("doc_id", "text", "source")
+    return back(mix_sources(apart(docs, *used)), docs, *used)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
