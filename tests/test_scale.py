@@ -54,3 +54,16 @@ def test_order_statistics_without_groups(spark):
         found = order_statistics(df, "v", {"x": F.lit(at)}).collect()
         assert [(r["n"], r["x"]) for r in found] == [(len(want), want[at])]
     assert order_statistics(df.where("false"), "v", {"x": F.lit(0)}).count() == 0
+
+
+@pytest.mark.parametrize("name", ["qtl_axis_max", "paired_end_stats", "contact_percentiles", "contact_filter", "score_histogram"])
+def test_no_product_joins(spark, name):
+    import __spark_entry__ as entry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
