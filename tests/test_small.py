@@ -318,3 +318,26 @@ def test_bed_rows_keep_many_blocks(spark):
     row = "\t".join(["chr1", "0", str(n * 10), "a", "0", "+", "0", str(n * 10), "0", str(n), "5," * n, ",".join(str(10 * k) for k in range(n))])
     got = AN.parse_bed(spark.createDataFrame([(row,)], "value string")).select(F.size("exons").alias("n")).first()
     assert got["n"] == n
+
+
+@pytest.mark.parametrize("mode", ["closed", "mixed", "signal", "half"])
+def test_overlap_totals_without_pairs(spark, mode):
+    """Counts and sums as by brute force, with empty and reversed rows, ties and repeated ids; and no join of pairs."""
+    rng = random.Random(5)
+    span = lambda most: (lambda s: (s, s + rng.choice([0, 1, 2, most, -2])))(rng.randrange(60))
+    features = [(rng.choice("ab"), *span(7), rng.randrange(9)) for _ in range(150)] + [(None, 1, 5, 1), ("a", None, 5, 1), ("b", 3, None, 1)]
+    regions = [(rng.choice("abc"), *span(20), k % 25) for k in range(40)]
+    f = spark.createDataFrame(features, "chr string, start long, end long, w long")
+    r = spark.createDataFrame(regions, "chr string, start long, end long, region_id long")
+    got = {x["region_id"]: (x["n"], x["w"]) for x in I.overlap_totals(f, r, mode, sums=["w"]).collect()}
+    meets = {"closed": lambda s, e, a, b: s <= b and e >= a, "mixed": lambda s, e, a, b: s <= b and e > a,
+             "signal": lambda s, e, a, b: s < b and e >= a, "half": lambda s, e, a, b: s < b and e > a}[mode]
+    want = {}
+    for c, a, b, k in regions:
+        for d, s, e, w in features:
+            if d == c and None not in (s, e) and meets(s, e, a, b):
+                n, t = want.get(k, (0, 0))
+                want[k] = (n + 1, t + w)
+    assert got == want
+    plain = I.overlap_totals(f.where("start <= end"), r.where("start < end"), mode)
+    assert "__bin" not in plain._jdf.queryExecution().optimizedPlan().toString()
