@@ -341,3 +341,31 @@ def test_overlap_totals_without_pairs(spark, mode):
     assert got == want
     plain = I.overlap_totals(f.where("start <= end"), r.where("start < end"), mode)
     assert "__bin" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("hot", [3, 10**6])
+@pytest.mark.parametrize("kind", ["seg", "mut", "sum"])
+def test_region_scores_finished_in_one_bin(spark, kind, hot):
+    """As by brute force: long and reversed rows, null values and samples, ids that come twice; no pair is shuffled."""
+    rng = random.Random(11)
+    span = lambda lengths: (lambda s: (s, s + rng.choice(lengths)))(rng.randrange(3000))
+    features = [(rng.choice("ab"), *span([0, 3, 9, -4, 2000]), rng.choice(["x", "y", "z", None]), rng.choice([1, 5, -2, None])) for _ in range(150)]
+    regions = [(rng.choice("abc"), *span([0, 5, 40, 900, -3]), k if k > 3 else None if k > 1 else 1) for k in range(40)]
+    f = spark.createDataFrame(features, "chr string, start long, end long, sample string, value long")
+    r = spark.createDataFrame(regions, "chr string, start long, end long, region_id long")
+    layout = I.JoinLayout(8, 0, 1)
+    got = {(x["region_id"], x["sample"]): x["score"] for x in I.region_scores(f, r, kind, layout=layout, hot_bin_rows=hot).collect()}
+    want, size = {}, {}
+    for c, a, b, k in regions:
+        for d, s, e, who, v in features:
+            if c == d and s <= b and e >= a:
+                term = 1 if kind == "mut" else None if v is None else v * (min(b, e) - max(a, s)) if kind == "seg" else v
+                old = want.get((k, who))
+                want[k, who] = old if term is None else (old or 0) + term
+                size[k, who] = max(size.get((k, who), b - a + 1), b - a + 1)
+    if kind == "seg":
+        want = {key: None if v is None or not size[key] else v / size[key] for key, v in want.items()}
+    assert got == want
+    single = I.region_scores(f, r.where("region_id > 3"), kind, layout=layout)
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Aggregate" not in plan.split("FlatMapGroupsInArrow")[0]
