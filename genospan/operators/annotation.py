@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from genospan.functions import locus as L
 from genospan.functions.sequence import lookup
-from genospan.scale import cut_lineage, islands
+from genospan.scale import all_of, block_of, cut_lineage, islands, ordered_scan
 
 # Row types of the transcript model.
 TRANSCRIPT_TYPES = [
@@ -372,16 +372,22 @@ def hgvs_annotate(pos: str = "pos", ref: str = "ref", alt: str = "alt", name: st
     return F.when(F.col("exons").isNotNull(), F.coalesce(on_tx, change)).otherwise(genomic)
 
 
-def transcript_at(points: DataFrame, transcripts: DataFrame, *, layout=None) -> DataFrame:
+def transcript_at(points: DataFrame, transcripts: DataFrame) -> DataFrame:
     """The first transcript (by start, then ID) that contains each point; both ends count."""
-    from genospan.operators.intervals import overlap_join
-
-    spots = points.select("point_id", "chr", F.col("pos").alias("start"), F.col("pos").alias("end"))
-    tx = transcripts.select("chr", "start", "end", "id")
-    met = overlap_join(spots, tx, "closed", layout=layout, prefix="tx_")
-    best = met.groupBy("point_id").agg(F.min(F.struct("tx_start", "tx_id", "tx_end")).alias("b"))
-    return points.join(best, "point_id", "left").select(
-        *points.columns, F.col("b.tx_id").alias("transcript_id"), F.col("b.tx_start").alias("tx_start"), F.col("b.tx_end").alias("tx_end")
+    inside = all_of([F.col(c).isNotNull() for c in ("chr", "start", "end", "id")]) & (F.col("start") <= F.col("end"))
+    # Only a transcript that reaches beyond all before it is ever the first one at some point ...
+    tx = transcripts.where(inside).groupBy("chr", "start", "end").agg(F.min("id").alias("id"))
+    ranked = ordered_scan(tx, ["chr"], ["start", "id", "end"], block_of("start"), __reach=("max_before", F.col("end")))
+    edge = ranked.where(F.col("__reach").isNull() | (F.col("end") > F.col("__reach")))
+    hit = F.struct("start", "id", "end")
+    edge = edge.select("chr", F.col("end").cast("double").alias("__at"), F.lit(1).alias("__side"), hit.alias("__hit"))
+    # ... and the first of those that ends at a point or later is the answer, if it starts at the point or before.
+    asked = points.where("chr is not null and pos is not null").select("chr", F.col("pos").cast("double").alias("__at")).distinct()
+    both = edge.unionByName(asked.select("chr", "__at", F.lit(0).alias("__side"), F.lit(None).cast(edge.schema["__hit"].dataType).alias("__hit")))
+    scanned = ordered_scan(both, ["chr"], ["__at", "__side"], block_of("__at"), reverse=True, __b=("last", F.col("__hit")))
+    found = scanned.where((F.col("__side") == 0) & (F.col("__b.start") <= F.col("__at"))).select("chr", "__at", "__b")
+    return points.withColumn("__at", F.col("pos").cast("double")).join(found, ["chr", "__at"], "left").select(
+        *points.columns, F.col("__b.id").alias("transcript_id"), F.col("__b.start").alias("tx_start"), F.col("__b.end").alias("tx_end")
     )
 
 

@@ -8,7 +8,6 @@ from genospan.functions import locus as L
 from genospan.functions import sequence as SEQ
 from genospan.operators import annotation as A
 from genospan.operators import genome as G
-from genospan.operators.intervals import JoinLayout
 from genospan.plans import views as V
 from genospan.plans.association_queries import _NAMES, names
 from genospan.plans.format_queries import feature_lines, s
@@ -208,7 +207,7 @@ def resolve_hgvs(spark, sf):
 def transcript_at(spark, sf):
     o = V.table(spark, sf, "orders")
     points = o.select(F.col("o_orderkey").alias("point_id"), F.concat(F.lit("chr"), s(F.col("o_custkey") % 6)).alias("chr"), (F.col("o_orderkey") % 12_000).alias("pos"))
-    return A.transcript_at(points, transcripts(spark, sf), layout=JoinLayout(1024, 0, 0)).select("point_id", "transcript_id")
+    return A.transcript_at(points, transcripts(spark, sf)).select("point_id", "transcript_id")
 
 
 @query("hgvs_annotate")
