@@ -168,7 +168,7 @@ def overlap_join(
 def overlap_totals(
     features: DataFrame, regions: DataFrame, mode: str = "half", *, by: str = "region_id", sums: Sequence[str] = (), layout: JoinLayout | None = None
 ) -> DataFrame:
-    """Number ``n`` of overlapping features, and totals of whole-numbered columns (null counts as 0), per ``by``.
+    """Number ``n`` of overlapping features, and totals of whole-numbered columns, per ``by``.
 
     No pair is formed.  Features that start before a region ends, less those that end before it starts, are the ones
     that overlap it; both counts are running totals over distinct positions.  Rows that end before they start break
@@ -177,8 +177,10 @@ def overlap_totals(
     known = all_of([F.col(c).isNotNull() for c in ("chr", "start", "end")])
     forward = F.col("start") <= F.col("end")
     regular = F.col("start") < F.col("end") if mode == "half" else forward
-    totals = ["__n", *[f"__s{i}" for i in range(len(sums))]]
-    f = features.where(known).select("chr", "start", "end", F.lit(1).alias("__n"), *[F.col(c).alias(n) for n, c in zip(totals[1:], sums)])
+    added = {f"__s{i}": F.coalesce(F.col(c), F.lit(0)) for i, c in enumerate(sums)}
+    added |= {f"__k{i}": F.when(F.col(c).isNotNull(), 1).otherwise(0) for i, c in enumerate(sums)}  # a total of nulls is null
+    totals = ["__n", *added]
+    f = features.where(known).select("chr", "start", "end", F.lit(1).alias("__n"), *[c.alias(n) for n, c in added.items()])
     r = regions.where(known).select("chr", "start", "end", by)
 
     # What comes first at one position: a start or the end of a region, an end or the start of a region.
@@ -204,7 +206,8 @@ def overlap_totals(
         if not (odd_features if b is r else odd_regions).isEmpty():
             pairs = overlap_join(a, b, mode, layout=layout, prefix="__r_")
             found = found.unionByName(pairs.select(F.col(f"__r_{by}").alias(by), *[F.col(n).cast("long").alias(n) for n in totals]))
-    return found.groupBy(by).agg(*[F.sum(n).alias(name) for n, name in zip(totals, ("n", *sums))])
+    summed = [F.when(F.sum(f"__k{i}") > 0, F.sum(f"__s{i}")).alias(c) for i, c in enumerate(sums)]
+    return found.groupBy(by).agg(F.sum("__n").alias("n"), *summed)
 
 
 def nearest_feature(

@@ -67,8 +67,7 @@ def stored_regions(spark, sf):
     """A whole table of regions against the store."""
     path = new_folder(spark, "store")
     K.write_intervals(slim(spark, sf), path, longest=51)
-    hits = I.overlap_join(spark.read.parquet(path).select("chr", "start", "end", "cents"), V.view(spark, sf, "regions"), "half")
-    return hits.groupBy(F.col("region_region_id").alias("region_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    return I.overlap_totals(spark.read.parquet(path), V.view(spark, sf, "regions"), "half", sums=["cents"])
 
 
 @query("read_sharded", with_views("""SELECT chr, start, "end", name FROM (SELECT chr, start, "end", 'n' || fid AS name FROM features) x WHERE chr IN ('AF', 'NO', 'RO')""", "features"))

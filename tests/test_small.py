@@ -325,7 +325,7 @@ def test_overlap_totals_without_pairs(spark, mode):
     """Counts and sums as by brute force, with empty and reversed rows, ties and repeated ids; and no join of pairs."""
     rng = random.Random(5)
     span = lambda most: (lambda s: (s, s + rng.choice([0, 1, 2, most, -2])))(rng.randrange(60))
-    features = [(rng.choice("ab"), *span(7), rng.randrange(9)) for _ in range(150)] + [(None, 1, 5, 1), ("a", None, 5, 1), ("b", 3, None, 1)]
+    features = [(rng.choice("ab"), *span(7), rng.choice([None, *range(9)])) for _ in range(150)] + [(None, 1, 5, 1), ("a", None, 5, 1), ("b", 3, None, 1)]
     regions = [(rng.choice("abc"), *span(20), k % 25) for k in range(40)]
     f = spark.createDataFrame(features, "chr string, start long, end long, w long")
     r = spark.createDataFrame(regions, "chr string, start long, end long, region_id long")
@@ -336,8 +336,8 @@ def test_overlap_totals_without_pairs(spark, mode):
     for c, a, b, k in regions:
         for d, s, e, w in features:
             if d == c and None not in (s, e) and meets(s, e, a, b):
-                n, t = want.get(k, (0, 0))
-                want[k] = (n + 1, t + w)
+                n, t = want.get(k, (0, None))
+                want[k] = (n + 1, t if w is None else (t or 0) + w)
     assert got == want
     plain = I.overlap_totals(f.where("start <= end"), r.where("start < end"), mode)
     assert "__bin" not in plain._jdf.queryExecution().optimizedPlan().toString()
@@ -369,3 +369,20 @@ def test_region_scores_finished_in_one_bin(spark, kind, hot):
     single = I.region_scores(f, r.where("region_id > 3"), kind, layout=layout)
     plan = single._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Aggregate" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_transcript_at_without_pairs(spark):
+    """The first transcript at every point as by brute force, with ties, nested and reversed ones, and no join of pairs."""
+    rng = random.Random(3)
+    tx = [(rng.choice("ab"), s, s + rng.choice([0, 2, 9, 9, 40, -3]), f"t{rng.randrange(60)}") for s in [rng.randrange(80) for _ in range(70)]]
+    points = [(k % 150, rng.choice(["a", "b", "c", None]), rng.choice([*range(130), None])) for k in range(200)]
+    p = spark.createDataFrame(points, "point_id long, chr string, pos long")
+    t = spark.createDataFrame(tx, "chr string, start long, end long, id string")
+    found = A.transcript_at(p, t)
+    got = sorted((r["point_id"], str(r["chr"]), str(r["pos"]), str(r["transcript_id"]), str(r["tx_end"])) for r in found.collect())
+    want = []
+    for k, c, at in points:
+        met = sorted((s, i, e) for d, s, e, i in tx if d == c and at is not None and s <= at <= e)
+        want.append((k, c, at, *((met[0][1], met[0][2]) if met else (None, None))))
+    assert got == sorted((k, *map(str, rest)) for k, *rest in want)
+    assert "__bin" not in found._jdf.queryExecution().optimizedPlan().toString()
