@@ -191,12 +191,25 @@ def base_mod_counts(calls: DataFrame, threshold: float = 0.5, include_no_mods: b
     return counted.withColumn("average_percent", F.when(F.col("count") > 0, average))
 
 
+def mod_kinds(alignments: DataFrame, read_id: str = "read_name") -> DataFrame:
+    """The distinct ``base, strand, mod`` that ``parse_base_mods`` finds, each batch of reads handing on its own once."""
+
+    def run(batches):
+        for batch in batches:
+            kinds = sorted({s[:3] for _, sets in _rows(batch) for s in sets if len(s[3])})
+            columns = list(zip(*kinds)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["base", "strand", "mod"])
+
+    return _read_columns(alignments, read_id, blocks=False).mapInArrow(run, "base string, strand string, mod string").distinct()
+
+
 def simplex_mods(mods: DataFrame) -> DataFrame:
     """Modifications read on one strand only, and the unmodified keys of their canonical bases."""
-    plus = mods.where(F.col("strand") == "+").select("base", "mod").distinct()
-    minus = mods.where(F.col("strand") == "-").select("mod").distinct()
-    only = plus.join(minus, "mod", "left_anti")
-    return only.select(F.explode(F.array("mod", F.concat(F.lit("NONE_"), "base"))).alias("mod")).distinct()
+    plus = F.collect_set(F.when(F.col("strand") == "+", F.col("base"))).alias("bases")
+    kinds = mods.select("base", "strand", "mod").distinct().groupBy("mod").agg(plus, F.max(F.col("strand") == "-").alias("minus"))
+    only = kinds.where(~F.col("minus") & (F.size("bases") > 0))
+    keys = F.concat(F.array("mod"), F.transform("bases", lambda b: F.concat(F.lit("NONE_"), b)))
+    return only.select(F.explode(keys).alias("mod")).distinct()
 
 
 def mod_fraction(counts: DataFrame, pile: DataFrame, simplex: DataFrame) -> DataFrame:

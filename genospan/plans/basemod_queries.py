@@ -70,7 +70,7 @@ def base_mod_counts_two_color(spark, sf):
 
 @query("simplex_mods", sam_sql(" SELECT unnest(['m', 'NONE_C']) AS mod FROM (SELECT count(*) AS n FROM rd) x"))
 def simplex_mods(spark, sf):
-    return B.simplex_mods(B.parse_base_mods(modified(spark, sf), "fid"))
+    return B.simplex_mods(B.mod_kinds(modified(spark, sf), "fid"))
 
 
 @query(
@@ -86,5 +86,5 @@ def mod_fraction(spark, sf):
     m = modified(spark, sf)
     counts = B.base_mod_counts(B.base_mod_calls(m, "fid"))
     pile = O.pileup(O.read_filter(m))
-    simplex = B.simplex_mods(B.parse_base_mods(m, "fid"))
+    simplex = B.simplex_mods(B.mod_kinds(m, "fid"))
     return B.mod_fraction(counts, pile, simplex).select("chr", "pos", F.round("fraction", 6).alias("fraction"))

@@ -386,3 +386,16 @@ def test_transcript_at_without_pairs(spark):
         want.append((k, c, at, *((met[0][1], met[0][2]) if met else (None, None))))
     assert got == sorted((k, *map(str, rest)) for k, *rest in want)
     assert "__bin" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mod_kinds_hand_on_each_kind_once(spark):
+    """Simplex keys from the kinds of each batch equal those from all calls, and so few rows are handed on."""
+    mms = ["C+m,0;", "C+m,0;A+a,0;", "G-h,0;", "A-a,0;", "T+x,9;", "C+mh,0;"]
+    rows = [(f"r{k}", "1", "ACGTACGT", 0, {"MM": mms[k % len(mms)]}) for k in range(60)]
+    reads = spark.createDataFrame(rows, "read_name string, chr string, seq string, flags int, tags map<string,string>").coalesce(1)
+    kinds, mods = B.mod_kinds(reads), B.parse_base_mods(reads)
+    assert sorted(kinds.collect()) == sorted(mods.select("base", "strand", "mod").distinct().collect())
+    got = sorted(r["mod"] for r in B.simplex_mods(kinds).collect())
+    assert got == sorted(r["mod"] for r in B.simplex_mods(mods).collect()) == ["NONE_C", "m"]
+    plan = B.simplex_mods(mods)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
