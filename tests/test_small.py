@@ -399,3 +399,11 @@ def test_mod_kinds_hand_on_each_kind_once(spark):
     assert got == sorted(r["mod"] for r in B.simplex_mods(mods).collect()) == ["NONE_C", "m"]
     plan = B.simplex_mods(mods)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_sam_tags_with_and_without_repeats(spark):
+    """Of a repeated tag the last stays; a value keeps its colons; malformed tags are dropped."""
+    head = "r\t0\t1\t5\t9\t3M\t*\t0\t0\tACG\tIII"
+    lines = [f"{head}\tAA:Z:x:y\tBB:i:1", f"{head}\tAA:Z:1\tBB:i:2\tAA:Z:3", head, f"{head}\tbad\tCC:Z:"]
+    got = [r["tags"] for r in parse_sam(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)).collect()]
+    assert got == [{"AA": "x:y", "BB": "1"}, {"BB": "2", "AA": "3"}, {}, {"CC": ""}]
