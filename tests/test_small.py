@@ -407,3 +407,30 @@ def test_sam_tags_with_and_without_repeats(spark):
     lines = [f"{head}\tAA:Z:x:y\tBB:i:1", f"{head}\tAA:Z:1\tBB:i:2\tAA:Z:3", head, f"{head}\tbad\tCC:Z:"]
     got = [r["tags"] for r in parse_sam(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)).collect()]
     assert got == [{"AA": "x:y", "BB": "1"}, {"BB": "2", "AA": "3"}, {}, {"CC": ""}]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_table_is_dealt_by_size(spark):
+    """More parts than cores once a part would be larger than what Spark advises."""
+    from genospan.plans.views import spread
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    try:
+        dealt = spread(spark.range(400_000), "id")
+        assert dealt.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_sam_line_is_split_once(spark):
+    line = "r1\t16\tc\t11\t 7x\t3S4M2D5M5M\t=\t-4\t-12.5\tACG\t*\tRG:Z:a:b\tbad\t:Z:x\tNM:i:"
+    lines = spark.createDataFrame([(line,)], "value string")
+    reads = O.read_filter(with_parts(parse_sam(lines)))
+    got = reads.first()
+    assert (got.flags, got.start, got.mq, got.mate_pos, got.tlen) == (16, 10, 7, -5, -12)
+    assert got.tags == {"RG": "a:b", "NM": ""}
+    assert [(p.op, p.len, p.pos, p.off) for p in got.parts] == [("S", 3, 7, 0), ("M", 4, 10, 3), ("D", 2, 14, 7), ("M", 10, 16, 7)]
+    assert plan_of(reads.where("size(parts) > 0")).count("split(value") == 1
