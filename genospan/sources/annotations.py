@@ -10,12 +10,14 @@ from genospan.sources.lines import (
     as_double,
     as_long,
     blank_fields,
+    bound,
     content,
     double_field,
     field,
     fill_directives,
     long_field,
     number_within,
+    once,
     ordered_lines,
     read_lines,
 )
@@ -55,19 +57,27 @@ def with_cds(exons: Column, cds_start: Column, cds_end: Column) -> Column:
 
 def attributes_of(text: Column) -> Column:
     """``k=v;k=v`` to a map; pairs without a key or a value are dropped."""
-    pairs = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda p: p.rlike("^[^=]+=.+"))
-    entries = F.transform(
-        pairs, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))), F.trim(F.regexp_replace(p, "^[^=]+=", "")))
-    )
+    entries = F.transform(pairs_of(text, "="), lambda p: F.struct(F.trim(p[0]), F.trim(p[1])))
     return F.map_from_entries(last_of_key(entries))
 
 
+def pairs_of(text: Column, delim: str) -> Column:
+    """Key and value, cut at the first ``delim``, of every part between semicolons that has both."""
+    cut = F.transform(F.split(text, ";"), lambda x: F.split(F.trim(x), delim, 2))
+    return F.filter(cut, lambda p: (F.size(p) == 2) & (F.get(p, F.lit(0)) != "") & (F.get(p, F.lit(1)) != ""))
+
+
 def last_of_key(entries: Column) -> Column:
     """Entries without earlier duplicates of a key, so that a map can be built."""
-    return F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["col1"] == e["col1"]),
-    )
+
+    def last(items: Column) -> Column:
+        later = lambda i: F.slice(items, i + 2, F.greatest(F.size(items), F.lit(1)))
+        kept = F.filter(items, lambda e, i: ~F.exists(later(i), lambda x: x["col1"] == e["col1"]))
+        # Most rows repeat no key.
+        single = F.size(F.array_distinct(F.transform(items, lambda e: e["col1"]))) == F.size(items)
+        return F.when(single, items).otherwise(kept)
+
+    return bound(entries, last)
 
 
 def read_bed(spark: SparkSession, path, **options) -> DataFrame:
@@ -81,7 +91,7 @@ def parse_bed(lines: DataFrame, max_columns: int = 12, keep_fields: bool = False
     ``attributes``.  The default score is 1000.  A field that cannot be read ends
     the row: what comes after it stays NULL.  Exons need matching counts.
     """
-    t = content(lines).select(blank_fields().alias("t"))
+    t = content(lines).select(once(blank_fields()).alias("t"))
     n = F.size("t")
     has = lambda i: (n > i) & F.lit(max_columns > i)
     raw_name, raw_score = field(3), field(4)
@@ -331,7 +341,7 @@ def percent_decode(text: Column) -> Column:
     out = text
     for code, char in GFF_ESCAPES.items():
         out = F.replace(out, F.lit(code), F.lit(char))
-    return out
+    return F.when(F.contains(text, F.lit("%")), out).otherwise(text)
 
 
 def read_gff(spark: SparkSession, path, kind: str = "gff3") -> DataFrame:
@@ -347,19 +357,13 @@ def parse_gff(lines: DataFrame, kind: str = "gff3") -> DataFrame:
     """
     gff3 = kind == "gff3"
     delim = "=" if gff3 else " "
-    t = content(lines).select(F.split("value", "\t").alias("t")).where(F.size("t") >= 9)
-    pairs = F.filter(F.transform(F.split(field(8), ";"), lambda x: F.trim(x)), lambda p: p.rlike(f"^[^{delim}]+{delim}.+"))
+    t = content(lines).select(once(F.split("value", "\t")).alias("t")).where(F.size("t") >= 9)
 
     def clean(x: Column) -> Column:
         text = percent_decode(F.trim(x))
         return text if gff3 else F.regexp_replace(text, '^"(.*)"$', "$1")
 
-    entries = F.transform(
-        pairs,
-        lambda p: F.struct(
-            clean(F.split_part(p, F.lit(delim), F.lit(1))).alias("col1"), clean(F.regexp_replace(p, f"^[^{delim}]+{delim}", "")).alias("col2")
-        ),
-    )
+    entries = F.transform(pairs_of(field(8), delim), lambda p: F.struct(clean(p[0]).alias("col1"), clean(p[1]).alias("col2")))
     rows = t.select(
         field(0).alias("chr"),
         percent_decode(field(1)).alias("source"),

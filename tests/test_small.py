@@ -20,7 +20,7 @@ from genospan.scale import islands, order_statistics
 from genospan.sources import annotations as AN
 from genospan.sources import detect, samples, sequences, sinks, tables
 from genospan.sources.sam import parse_sam, with_parts
-from genospan.sources.variants import read_vcf
+from genospan.sources.variants import parse_vcf, read_vcf
 
 
 def first_fit(rows, max_rows):
@@ -434,3 +434,22 @@ def test_sam_line_is_split_once(spark):
     assert got.tags == {"RG": "a:b", "NM": ""}
     assert [(p.op, p.len, p.pos, p.off) for p in got.parts] == [("S", 3, 7, 0), ("M", 4, 10, 3), ("D", 2, 14, 7), ("M", 10, 16, 7)]
     assert plan_of(reads.where("size(parts) > 0")).count("split(value") == 1
+
+
+def test_variant_extent_is_computed_once(spark):
+    line = "c\t10\tv\tGTC\tG,GTCT\t.\t.\tAC=1;F;AC=2=x\tGT\t0/1"
+    rows = OV.with_coordinates(parse_vcf(spark.createDataFrame([(line,)], "value string"), ["S"]))
+    got = rows.first()
+    assert (got.start, got.end, got.info) == (10.0, 12.0, {"AC": "2", "F": None})
+    near = rows.where("start <= 20 and end >= 5")
+    assert near.count() == 1
+    assert plan_of(near).count("array_position") == plan_of(rows.select("start")).count("array_position") <= 4
+
+
+def test_attributes_are_cut_once(spark):
+    text = "a=1;b = x=y ; =2;c=;a=3"
+    rows = AN.parse_bed(spark.createDataFrame([(f"c\t1\t2\t{text.replace(' ', '')};",)], "value string")).select("attributes")
+    assert rows.first().attributes == {"b": "x=y", "a": "3"}
+    assert plan_of(rows).count(", ;, -1)") == 1
+    gff = AN.parse_gff(spark.createDataFrame([("c\ts\tmRNA\t1\t9\t.\t+\t.\tID=t%3B1; Parent = g ;ID=t%252",)], "value string")).first()
+    assert (gff.id, gff.parent, gff.attributes) == ("t%2", "g", {"Parent": "g", "ID": "t%2"})
