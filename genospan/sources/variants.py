@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genospan.sources.lines import as_long, field, long_field, read_lines, with_file_headers
+from genospan.sources.annotations import last_of_key
+from genospan.sources.lines import as_long, field, long_field, once, read_lines, with_file_headers
 
 META_LINE = re.compile(r"^##(INFO|FILTER|FORMAT)=<(.*)>\s*$")
 META_PAIR = re.compile(r'(\w+)=("[^"]*"|[^,]*)')
@@ -57,10 +58,10 @@ def _variants(lines: DataFrame, names: Column, n: Column, with_calls: bool) -> D
     expected = F.lit(8) + F.when(n > 0, n + 1).otherwise(F.lit(0))
     t = (
         lines.where((F.col("value") != "") & ~F.col("value").startswith("#"))
-        .withColumn("t", F.split(F.trim("value"), "\t"))
+        .withColumn("t", once(F.split(F.trim("value"), "\t")))
         .where(F.size("t") == expected)
     )
-    info = F.when((field(7) != ".") & (field(7) != ""), F.str_to_map(_unique_keys(field(7)), F.lit(";"), F.lit("=")))
+    info = F.when((field(7) != ".") & (field(7) != ""), F.map_from_entries(last_of_key(_info_entries(field(7)))))
     cols = [
         field(0).alias("chr"),
         long_field(1).alias("pos"),
@@ -87,19 +88,16 @@ def _variants(lines: DataFrame, names: Column, n: Column, with_calls: bool) -> D
                 F.map_from_entries(F.filter(pairs, lambda p: p["k"] != "GT")).alias("fields"),
             )
 
-        cols.append(F.transform(F.slice("t", 10, n), call).alias("calls"))
+        # Never null, so that asking for it costs nothing.
+        none = F.array().cast("array<struct<sample:string,genotype:array<string>,fields:map<string,string>>>")
+        cols.append(F.coalesce(F.transform(F.slice("t", 10, n), call), none).alias("calls"))
     return t.select(*cols)
 
 
-def _unique_keys(info):
-    """INFO text in which only the last entry of a repeated key stays."""
-    items = F.split(info, ";")
-    key = lambda x: F.split_part(x, F.lit("="), F.lit(1))
-    kept = F.filter(
-        items, lambda e, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda x: key(x) == key(e))
-    )
-    # The value ends at a second '=': what follows it is not part of the value.
-    return F.array_join(F.transform(kept, lambda e: F.regexp_replace(e, "^([^=]*=[^=]*)=.*$", "$1")), ";")
+def _info_entries(info):
+    """Keys and values of an INFO text; a flag has no value, and a value ends at a second '='."""
+    cut = F.transform(F.split(info, ";"), lambda x: F.split(x, "=", 3))
+    return F.transform(cut, lambda p: F.struct(F.get(p, F.lit(0)).alias("col1"), F.get(p, F.lit(1)).alias("col2")))
 
 
 def end_of(info_end):
