@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genospan.functions import reads as R
 from genospan.functions.sequence import IUPAC, IUPAC_COMPLEMENT, complement
-from genospan.operators.reads import base_count
+from genospan.operators.reads import _ramps, base_count
 from genospan.session import ship_by_value
+from genospan.sources.lines import once
 
 ship_by_value(__name__)
 
@@ -28,57 +30,121 @@ def _split_codes(codes: str) -> list[str]:
     return [codes] if codes.isdigit() or len(codes) <= 1 else list(codes)
 
 
-def _mod_sets(mm: str, ml, seq: str, reverse: bool):
-    """Yields (base, strand, mod, read positions, likelihoods) for each modification of a read.
-
-    ``mm`` counts, per listed base, how many of that base to skip before each
-    modified one; ``ml`` holds one likelihood per modified base and code, in the
-    same order.  On the reverse strand counting runs along the original molecule.
-    """
-    raw = np.frombuffer((seq.encode().translate(_FLIP)[::-1] if reverse else seq.encode()), dtype=np.uint8)
-    used = 0
+def _items(mm: str):
+    """What an MM text lists: base, strand, modification codes, whether skipped bases count as unmodified, and the
+    0-based number of each modified base among its like."""
+    out = []
     for item in mm.split(";"):
         head, *skips = item.split(",")
-        if not skips:
-            continue
-        base, strand = head[0], head[1]
-        implicit = head.endswith(".")
-        codes = _split_codes(head[2:].rstrip(".?"))
-        sites = np.arange(len(raw)) if base == "N" else np.flatnonzero(raw == ord(base))
-        nth = np.cumsum(np.array([int(s) for s in skips], dtype=int) + 1) - 1
-        nth = nth[nth < len(sites)]
-        hit = sites[nth]
-        n, k = len(hit), len(codes)
-        if ml is None:
-            grid = np.full((n, k), 255)
-        else:
-            grid = np.asarray(ml[used : used + n * k], dtype=int).reshape(n, k)
-            used += n * k
-        skipped = np.setdiff1d(sites, hit) if implicit else sites[:0]
-        where = np.concatenate([hit, skipped])
-        if reverse:
-            where = len(raw) - 1 - where
-        for j, code in enumerate(codes):
-            yield base, strand, code, where, np.concatenate([grid[:, j], np.zeros(len(skipped), dtype=int)])
-
-
-def _rows(batch: pa.RecordBatch):
-    for r in batch.to_pylist():
-        text = r["ml"]
-        ml = None if text is None else [int(x) for x in text.split(",")[1:]]
-        yield r, list(_mod_sets(r["mm"], ml, r["seq"], r["reverse"]))
+        if skips:
+            nth = np.cumsum(np.array([int(s) for s in skips], dtype=np.int64) + 1) - 1
+            out.append((head[0], head[1], _split_codes(head[2:].rstrip(".?")), head.endswith("."), nth))
+    return out
+
+
+def _oriented(seq: pa.Array, reverse: np.ndarray):
+    """All sequences of a batch as one array, along the original molecules, with the first index and length of each."""
+    seq = seq.cast(pa.large_string())
+    _, offsets, data = seq.buffers()
+    edge = np.frombuffer(offsets, np.int64)[seq.offset : seq.offset + len(seq) + 1]
+    length = np.diff(edge)
+    first = np.cumsum(length) - length
+    owner, inside = np.repeat(np.arange(len(seq)), length), _ramps(length)
+    if not len(owner):
+        return np.zeros(0, np.uint8), first, length
+    back = reverse[owner]
+    raw = np.frombuffer(data, np.uint8)[edge[:-1][owner] + np.where(back, length[owner] - 1 - inside, inside)]
+    return np.where(back, np.frombuffer(_FLIP, np.uint8)[raw], raw), first, length
+
+
+def _likelihoods(ml: pa.Array):
+    """All ML values of a batch as one array, with the first index and number of each read's; -1 without a tag."""
+    lists = pc.split_pattern(pc.fill_null(ml, ""), ",")
+    edge = lists.offsets.to_numpy()
+    words = lists.flatten()
+    keep = np.ones(len(words), bool)
+    keep[edge[:-1] - edge[0]] = False  # the type of the values
+    values = pc.utf8_trim_whitespace(words.filter(pa.array(keep))).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    number = np.diff(edge) - 1
+    return values, np.cumsum(number) - number, np.where(ml.is_null().to_numpy(zero_copy_only=False), -1, number)
+
+
+def _mods(batch: pa.RecordBatch):
+    """Modified bases of a batch of reads as flat arrays, and their kinds ``(base, strand, mod)``.
+
+    The arrays are ``read, set_no, kind, at, likelihood``.  MM counts, per listed base, how many of that base to skip
+    before each modified one; ML holds one likelihood per modified base and code, in the same order.  On the reverse
+    strand counting runs along the original molecule.  Reads of one MM text are handled together.
+    """
+    column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+    reverse = column["reverse"].to_numpy(zero_copy_only=False).astype(bool)
+    raw, first, length = _oriented(column["seq"], reverse)
+    ml, ml_first, ml_number = _likelihoods(column["ml"])
+    used = np.zeros(batch.num_rows, np.int64)
+    kinds: dict[tuple, int] = {}
+    found: dict[str, tuple] = {}
+    out = [[np.zeros(0, np.int64)] for _ in range(5)]
+
+    def sites_of(base: str):
+        if base not in found:
+            sites = np.arange(len(raw)) if base == "N" else np.flatnonzero(raw == ord(base))
+            begin = np.searchsorted(sites, first)
+            found[base] = sites, begin, np.searchsorted(sites, first + length) - begin
+        return found[base]
+
+    texts = column["mm"].dictionary_encode()
+    code = texts.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []
+    for rows in groups:
+        set_no = 0
+        for base, strand, codes, implicit, nth in _items(texts.dictionary[int(code[rows[0]])].as_py()):
+            sites, begin, count = sites_of(base)
+            which, k = np.nonzero(nth < count[rows][:, None])
+            read = rows[which]
+            local = sites[begin[read] + nth[k]] - first[read]
+            tagged = ml_number[read] >= 0
+            slot = used[read] + k * len(codes)
+            used[rows] += np.bincount(which, minlength=len(rows)) * len(codes)
+            if np.any((ml_number[rows] >= 0) & (used[rows] > ml_number[rows])):
+                raise ValueError("an ML tag has fewer values than its MM tag")
+            if implicit:
+                other, ordinal = np.repeat(rows, count[rows]), _ramps(count[rows])
+                left = ~np.isin(ordinal, nth)
+                other, ordinal = other[left], ordinal[left]
+                local = np.concatenate([local, sites[begin[other] + ordinal] - first[other]])
+            else:
+                other = rows[:0]
+            every = np.concatenate([read, other])
+            at = np.where(reverse[every], length[every] - 1 - local, local)
+            for j, mod in enumerate(codes):
+                values = np.full(len(read), 255)
+                values[tagged] = ml[(ml_first[read] + slot + j)[tagged]]
+                kind = kinds.setdefault((base, strand, mod), len(kinds))
+                n = len(every)
+                piece = every, np.full(n, set_no), np.full(n, kind), at, np.concatenate([values, np.zeros(len(other), np.int64)])
+                for parts, x in zip(out, piece, strict=True):
+                    parts.append(x)
+                set_no += 1
+    return [np.concatenate(parts) for parts in out], list(kinds), first, length
+
+
+def _named(kinds, which: np.ndarray, part) -> pa.Array:
+    return pa.array([part(k) for k in kinds], pa.string()).take(pa.array(which))
 
 
 def _read_columns(alignments: DataFrame, read_id: str, blocks: bool) -> DataFrame:
     tag = lambda a, b: F.coalesce(F.try_element_at("tags", F.lit(a)), F.try_element_at("tags", F.lit(b)))
     cols = [
         F.col(read_id).cast("string").alias("read_id"), "chr", "seq", R.has_flag("reverse").alias("reverse"),
-        tag("MM", "Mm").alias("mm"), tag("ML", "Ml").alias("ml"),
+        once(F.struct(tag("MM", "Mm").alias("mm"), tag("ML", "Ml").alias("ml"))).alias("tagged"),
     ]
     if blocks:
         m = R.aligned_blocks()
         cols += [_field(m, k).alias(k) for k in ("pos", "off", "len")]
-    return alignments.select(*cols).where(F.col("mm").isNotNull() & (F.col("mm") != "") & F.col("seq").isNotNull())
+    rows = alignments.select(*cols)
+    rows = rows.select("read_id", "chr", "seq", "reverse", "tagged.*", *rows.columns[5:])
+    return rows.where(F.col("mm").isNotNull() & (F.col("mm") != "") & F.col("seq").isNotNull())
 
 
 def _field(array: Column, name: str) -> Column:
@@ -94,21 +160,16 @@ def parse_base_mods(alignments: DataFrame, read_id: str = "read_name") -> DataFr
 
     def run(batches):
         for batch in batches:
-            cols = {k: [] for k in ("read_id", "chr", "set_no", "base", "strand", "mod")}
-            idx, lh = [], []
-            for r, sets in _rows(batch):
-                for no, (base, strand, mod, where, values) in enumerate(sets):
-                    n = len(where)
-                    for k, v in zip(cols, (r["read_id"], r["chr"], no, base, strand, mod)):
-                        cols[k].extend([v] * n)
-                    idx.append(where)
-                    lh.append(values)
-            flat = lambda parts: np.concatenate(parts) if parts else np.array([], dtype=int)
+            (read, set_no, kind, at, likelihood), kinds, _, _ = _mods(batch)
+            rows = pa.array(read)
             yield pa.RecordBatch.from_pydict(
                 {
-                    **{k: pa.array(v, pa.int32() if k == "set_no" else pa.string()) for k, v in cols.items()},
-                    "read_idx": pa.array(flat(idx).astype(np.int32)),
-                    "likelihood": pa.array(flat(lh).astype(np.int32)),
+                    "read_id": batch.column(0).take(rows),
+                    "chr": batch.column(1).take(rows),
+                    "set_no": pa.array(set_no.astype(np.int32)),
+                    **{name: _named(kinds, kind, lambda k, i=i: k[i]) for i, name in enumerate(("base", "strand", "mod"))},
+                    "read_idx": pa.array(at.astype(np.int32)),
+                    "likelihood": pa.array(likelihood.astype(np.int32)),
                 }
             )
 
@@ -125,41 +186,36 @@ def base_mod_calls(alignments: DataFrame, read_id: str = "read_name") -> DataFra
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("read_id", "chr", "base", "strand", "mod", "canonical")}
-            nums = {k: [] for k in ("pos", "likelihood", "no_mod_likelihood")}
-            for r, sets in _rows(batch):
-                if not sets:
-                    continue
-                size = len(r["seq"])
-                best, which, total = np.full(size, -1), np.full(size, -1), np.zeros(size, dtype=int)
-                for no, (_, _, _, where, values) in enumerate(sets):
-                    total[where] += values
-                    better = values > best[where]
-                    best[where[better]] = values[better]
-                    which[where[better]] = no
-                ref = np.full(size, -1)
-                for p, o, n in zip(r["pos"], r["off"], r["len"]):
-                    n = min(n, size - o)
-                    ref[o : o + n] = np.arange(p, p + n)
-                at = np.flatnonzero((which >= 0) & (ref >= 0))
-                if not len(at):
-                    continue
-                keys = [sets[i][:3] for i in which[at]]
-                out["read_id"] += [r["read_id"]] * len(at)
-                out["chr"] += [r["chr"]] * len(at)
-                for j, k in enumerate(("base", "strand", "mod")):
-                    out[k] += [key[j] for key in keys]
-                out["canonical"] += [b if s == "+" else _PAIR.get(b, b) for b, s, _ in keys]
-                nums["pos"].append(ref[at])
-                nums["likelihood"].append(best[at])
-                nums["no_mod_likelihood"].append(255 - total[at])
-            flat = lambda parts: np.concatenate(parts) if parts else np.array([], dtype=int)
-            arrays = {k: pa.array(v, pa.string()) for k, v in out.items()}
-            arrays["pos"] = pa.array(flat(nums["pos"]).astype(np.int64))
-            for k in ("likelihood", "no_mod_likelihood"):
-                arrays[k] = pa.array(flat(nums[k]).astype(np.int32))
-            names = [c.split()[0] for c in CALLS_SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names=names)
+            (read, set_no, kind, at, likelihood), kinds, first, length = _mods(batch)
+            lists = batch.column(batch.schema.get_field_index("pos"))
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            pos, off, size = (
+                batch.column(batch.schema.get_field_index(n)).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for n in ("pos", "off", "len")
+            )
+            size = np.clip(size, 0, np.maximum(length[owner] - off, 0))
+            ref = np.full(int(length.sum()), -1)
+            ref[np.repeat(first[owner] + off, size) + _ramps(size)] = np.repeat(pos, size) + _ramps(size)
+            # The largest likelihood of a base comes first, of equal ones the first listed.
+            place = first[read] + at
+            order = np.lexsort((set_no, -likelihood, place))
+            where, head, which = np.unique(place[order], return_index=True, return_inverse=True)
+            total = np.bincount(which, likelihood[order], len(where)).astype(np.int64)
+            on_ref = ref[where] >= 0
+            best = order[head[on_ref]]
+            rows = pa.array(read[best])
+            pick = lambda part: _named(kinds, kind[best], part)
+            arrays = {
+                "read_id": batch.column(0).take(rows),
+                "chr": batch.column(1).take(rows),
+                "pos": pa.array(ref[where[on_ref]].astype(np.int64)),
+                "base": pick(lambda k: k[0]),
+                "strand": pick(lambda k: k[1]),
+                "mod": pick(lambda k: k[2]),
+                "likelihood": pa.array(likelihood[best].astype(np.int32)),
+                "canonical": pick(lambda k: k[0] if k[1] == "+" else _PAIR.get(k[0], k[0])),
+                "no_mod_likelihood": pa.array((255 - total[on_ref]).astype(np.int32)),
+            }
+            yield pa.RecordBatch.from_pydict(arrays)
 
     return _read_columns(alignments, read_id, blocks=True).mapInArrow(run, CALLS_SCHEMA)
 
@@ -196,7 +252,8 @@ def mod_kinds(alignments: DataFrame, read_id: str = "read_name") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            kinds = sorted({s[:3] for _, sets in _rows(batch) for s in sets if len(s[3])})
+            (_, _, kind, _, _), known, _, _ = _mods(batch)
+            kinds = sorted(known[i] for i in np.unique(kind))
             columns = list(zip(*kinds)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["base", "strand", "mod"])
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,3 +454,23 @@ def test_attributes_are_cut_once(spark):
     assert plan_of(rows).count(", ;, -1)") == 1
     gff = AN.parse_gff(spark.createDataFrame([("c\ts\tmRNA\t1\t9\t.\t+\t.\tID=t%3B1; Parent = g ;ID=t%252",)], "value string")).first()
     assert (gff.id, gff.parent, gff.attributes) == ("t%2", "g", {"Parent": "g", "ID": "t%2"})
+
+
+def test_base_modifications_of_a_batch_at_once():
+    """Reads of one text, of both strands, with and without likelihoods, are counted together."""
+    reads = [
+        ("r1", "c", "ACCGC", False, "C+m?,1,0;", "C,10,20", [100], [0], [5]),
+        ("r2", "c", "GCGGT", True, "C+m?,1,0;", "C,30,40", [200], [1], [4]),
+        ("r3", "c", "CCA", False, "C+mh.,0;N+a,2;", None, [300], [0], [3]),
+        ("r4", "c", "CC", False, "C+m?,1,0;", "C,7", [400], [0], [9]),
+        ("r5", "c", "", False, ";C+m;", "C", [500], [0], [1]),
+    ]
+    lists = pa.list_(pa.int64())
+    types = [pa.string()] * 3 + [pa.bool_()] + [pa.string()] * 2 + [lists] * 3
+    names = ["read_id", "chr", "seq", "reverse", "mm", "ml", "pos", "off", "len"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*reads), types, strict=True)], names=names)
+    (read, set_no, kind, at, likelihood), kinds, _, _ = B._mods(batch)
+    got = sorted((reads[r][0], int(s), kinds[k][2], int(a), int(x)) for r, s, k, a, x in zip(read, set_no, kind, at, likelihood))
+    want = [("r1", 0, "m", 2, 10), ("r1", 0, "m", 4, 20), ("r2", 0, "m", 0, 40), ("r2", 0, "m", 2, 30)]
+    want += [("r3", 0, "m", 0, 255), ("r3", 0, "m", 1, 0), ("r3", 1, "h", 0, 255), ("r3", 1, "h", 1, 0), ("r3", 2, "a", 2, 255)]
+    assert got == sorted([*want, ("r4", 0, "m", 1, 7)])
