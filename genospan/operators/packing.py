@@ -158,13 +158,14 @@ def pack_reads(reads: DataFrame, by: Sequence[str] = ("chr",), *, tie: Sequence[
     return out.select(*[c for c in out.columns if c in reads.columns or c == "row"])
 
 
-def pack_full(reads: DataFrame, start: int, end: int) -> DataFrame:
+def pack_full(reads: DataFrame, start: int, end: int, *, tie: Sequence[str] = ()) -> DataFrame:
     """One read per row, in start order, for reads that touch the window.
 
     Row numbers are given inside the window only; the numbering is a blocked count.
+    Reads of one start are taken by name and flags, then by ``tie``; reruns agree only if that makes the order total.
     """
     inside = reads.where((F.col("end") >= start) & (F.col("start") <= end))
     per_start = inside.groupBy("chr", "start").agg(F.count(F.lit(1)).alias("__n"))
     before = ordered_scan(per_start, ["chr"], ["start"], block_of("start"), __before=("sum_before", F.col("__n")))
-    nth = F.row_number().over(Window.partitionBy("chr", "start").orderBy("read_name", "flags")) - 1
+    nth = F.row_number().over(Window.partitionBy("chr", "start").orderBy("read_name", "flags", *tie)) - 1
     return inside.join(before.drop("__n"), ["chr", "start"]).withColumn("row", (F.col("__before") + nth).cast("int")).drop("__before")

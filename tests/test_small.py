@@ -1,5 +1,6 @@
 """Small fixtures with known answers and brute-force comparisons."""
 
+import datetime
 import random
 
 import pyarrow as pa
@@ -474,3 +475,18 @@ def test_base_modifications_of_a_batch_at_once():
     want = [("r1", 0, "m", 2, 10), ("r1", 0, "m", 4, 20), ("r2", 0, "m", 0, 40), ("r2", 0, "m", 2, 30)]
     want += [("r3", 0, "m", 0, 255), ("r3", 0, "m", 1, 0), ("r3", 1, "h", 0, 255), ("r3", 1, "h", 1, 0), ("r3", 2, "a", 2, 255)]
     assert got == sorted([*want, ("r4", 0, "m", 1, 7)])
+
+
+def test_full_packing_takes_tied_reads_by_id(spark, tmp_path):
+    """Reads of one order and line number share start, name and flags; their rows follow fid, however the table is laid."""
+    import __spark_entry__ as entry
+
+    day = datetime.datetime(1996, 9, 13)
+    lines = [(7 + k % 2, 12 * 41 * 53 * 59 * 61 * (k + 1) + 1, 1, 1, 20.0, 1.0, 0.0, 0.0, "A", "F", day) for k in range(60)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    names += ", l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    random.Random(2).shuffle(lines)
+    spark.createDataFrame(lines, names).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = entry.queries()["pack_full"](spark, str(tmp_path)).collect()
+    fids = [((x[0] * 8 + 1) * 1_000_000 + x[1]) * 10_000 + 70 for x in sorted(lines)]
+    assert sorted((x["row"], x["fid"], x["chr"]) for x in got) == [(n, fid, "AF") for n, fid in enumerate(fids)]
