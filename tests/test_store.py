@@ -45,3 +45,29 @@ def test_service_answers_and_reader(spark):
     assert sorted((r["chr"], r["start"], r["x"]) for r in rows.collect()) == [("1", 5, "a"), ("2", 7, None)]
     T.register_reader("three", lambda spark, **region: spark.range(3).select(F.lit(region["chr"]).alias("chr"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 5).alias("end")))
     assert [r["start"] for r in T.read_with("three", spark, chr="9", start=8, end=12).collect()] == [10]
+
+
+def test_overlaps_come_bin_by_bin(spark):
+    """A written result repeats few values at a time: rows of one bin lie together, by start of the feature."""
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["overlap_join"](spark, "/root/testdata/sf0.01").collect()
+    cells = [(x["chr"], max(x["start"], x["region_start"]) // 512) for x in rows]
+    follows = [a == b for a, b in zip(cells, cells[1:])]
+    assert len(rows) - sum(follows) == len(set(cells)) > 100
+    assert all(a["start"] <= b["start"] for a, b, same in zip(rows, rows[1:], follows) if same)
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 7])
+def test_clustered_overlaps_are_the_same_pairs(spark, limit):
+    features = [("1", 100 + k % 3, 103 + k % 5, k) for k in range(200)] + [("1", 1000 * k, 1000 * k + 5000 * (k % 9), 1000 + k) for k in range(100)]
+    features += [(None, 100, 103, 5000), ("1", None, 103, 5001), ("1", 100, None, 5002), ("2", 7, 9, 5003), ("2", 7, 9, 5003)]
+    regions = [("1", 95 + 2 * k, 99 + 2 * k, k) for k in range(10)] + [("1", 500 * k, 500 * k + 700, 100 + k) for k in range(20)]
+    regions += [(None, 90, 200, 300), ("2", 0, 10, 301), ("2", 0, None, 302)]
+    f = spark.createDataFrame(features, "chr string, start long, end long, fid long")
+    r = spark.createDataFrame(regions, "chr string, start long, end long, id long")
+    want = sorted((a[3], b[3]) for a in features for b in regions if None not in (*a, *b) and a[0] == b[0] and a[1] < b[2] and a[2] > b[1])
+    for layout in (None, I.JoinLayout(64), I.JoinLayout(64, 1, 1)):
+        for hint in ("broadcast", "merge"):
+            found = I.overlap_join(f, r.hint(hint), "half", layout=layout, hot_bin_rows=limit, clustered=True)
+            assert sorted((x["fid"], x["region_id"]) for x in found.collect()) == want
