@@ -303,8 +303,8 @@ def region_scores(features: DataFrame, regions: DataFrame, kind: str = "seg", **
     return _totals_by_bin(f, once, kind, **join).unionByName(rest)
 
 
-# Rows of a result batch, and bins that are sent to every executor.
-BATCH_ROWS, MOST_SENT_CELLS = 1 << 18, 1_000_000
+# Rows that are put in order at a time, rows of a result batch, and bins that are sent to every executor.
+ORDERED_ROWS, BATCH_ROWS, MOST_SENT_CELLS = 1 << 21, 1 << 18, 1_000_000
 
 
 def _totals_by_bin(f: DataFrame, r: DataFrame, kind: str, layout: JoinLayout | None = None, hot_bin_rows: int = HOT_BIN_ROWS) -> DataFrame:
@@ -355,26 +355,35 @@ def _totals_by_bin(f: DataFrame, r: DataFrame, kind: str, layout: JoinLayout | N
 
 
 def _bin_scores(batches: Iterator[pa.RecordBatch], kind: str, number: type, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Scores of the regions of one bin: features in sample order, one pass over them per region."""
+    """Scores of the regions of one bin: features in sample order, one pass over them per region.
+
+    Rows come by the first feature that a total holds, then by region: neighbours in place then list the same regions, and
+    a sample is repeated, so that written totals take far less disk.
+    """
     table = pa.Table.from_batches([b.select(["start", "end", "sample", "value", "region_id", "asks"]) for b in batches])
     asks = table["asks"].to_numpy()
     r, f = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
     if not len(r) or not len(f):
         return
+    r = r.sort_by([("start", "ascending"), ("end", "ascending"), ("region_id", "ascending")])
     coded = f["sample"].combine_chunks().dictionary_encode("encode")
-    codes = coded.indices.to_numpy()
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
-    start, end = f["start"].to_numpy()[order], f["end"].to_numpy()[order]
+    codes, start, end = coded.indices.to_numpy(), f["start"].to_numpy(), f["end"].to_numpy()
+    value = f["value"].fill_null(0).to_numpy().astype(number)
+    place = np.lexsort((codes, value, end, start))
+    at = np.argsort(codes[place], kind="stable")  # places in sample order
+    order = place[at]
+    codes, start, end, value = codes[order], start[order], end[order], value[order]
     known = f["value"].is_valid().to_numpy()[order]
-    value = f["value"].fill_null(0).to_numpy()[order].astype(number)
     ids = r["region_id"].combine_chunks()
     held, rows = [], 0
 
-    def batch():
-        which, sample, score, missing = (np.concatenate(x) for x in zip(*held))
-        columns = [ids.take(pa.array(which)), coded.dictionary.take(pa.array(sample)), pa.array(score, mask=missing)]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    def ordered():
+        which, first, score, missing = (np.concatenate(x) for x in zip(*held))
+        by = np.argsort(at[first] * len(ids) + which)
+        for part in np.split(by, range(BATCH_ROWS, len(by), BATCH_ROWS)):
+            sample = coded.dictionary.take(pa.array(codes[first[part]]))
+            columns = [ids.take(pa.array(which[part])), sample, pa.array(score[part], mask=missing[part])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     for k, (a, b) in enumerate(zip(r["start"].to_numpy(), r["end"].to_numpy())):
         hit = np.flatnonzero((start <= b) & (end >= a))
@@ -394,13 +403,13 @@ def _bin_scores(batches: Iterator[pa.RecordBatch], kind: str, number: type, name
             if kind == "seg":
                 size = b - a + 1
                 score, missing = (score / size, missing) if size else (np.zeros(len(first)), np.ones(len(first), bool))
-        held.append((np.full(len(first), k), mine[first], score, missing))
+        held.append((np.full(len(first), k, np.int32), hit[first].astype(np.int32), score, missing))
         rows += len(first)
-        if rows >= BATCH_ROWS:
-            yield batch()
+        if rows >= ORDERED_ROWS:
+            yield from ordered()
             held, rows = [], 0
     if held:
-        yield batch()
+        yield from ordered()
 
 
 def merge_tracks(tracks: dict[str, DataFrame]) -> DataFrame:

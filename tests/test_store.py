@@ -58,6 +58,30 @@ def test_overlaps_come_bin_by_bin(spark):
     assert all(a["start"] <= b["start"] for a, b, same in zip(rows, rows[1:], follows) if same)
 
 
+@pytest.mark.parametrize("kind", ["seg", "mut", "sum"])
+def test_totals_come_feature_by_feature(spark, monkeypatch, kind):
+    """A written result repeats few values at a time: totals lie by their first feature, each with its regions in order."""
+    f = spark.createDataFrame([("1", 100 + k % 7, 200, 997 * k % 50, 3 + k % 2) for k in range(50)], "chr string, start long, end long, sample long, value long")
+    r = spark.createDataFrame([("1", 90 + 11 * k % 20, 150, k) for k in range(20)], "chr string, start long, end long, region_id long")
+    layout = I.JoinLayout(512)
+    rows = [tuple(x) for x in I.region_scores(f, r, kind, layout=layout).collect()]
+    assert len(rows) == 1000 and [x[0] for x in rows] == [x[0] for x in rows[:20]] * 50
+    assert all(len({x[1] for x in rows[k : k + 20]}) == 1 for k in range(0, 1000, 20))
+    monkeypatch.setattr(I, "ORDERED_ROWS", 120)
+    monkeypatch.setattr(I, "BATCH_ROWS", 7)
+    assert sorted(tuple(x) for x in I.region_scores(f, r, kind, layout=layout).collect()) == sorted(rows)
+
+
+@pytest.mark.parametrize("score", [0.0000005, -0.0000005, 2.0078125, -2.0078125, 1.0000015, 12345.6789012, 0.0, 1e7 / 3, None])
+def test_region_scores_rounds_as_before(spark, monkeypatch, score):
+    from genospan.plans import interval_queries as Q
+
+    made = spark.createDataFrame([(1, 2, score)], "region_id long, sample long, score double")
+    monkeypatch.setattr(I, "region_scores", lambda *a, **b: made)
+    got = Q.region_scores(spark, "/root/testdata/sf0.001").first()["score"]
+    assert got == made.select(F.round("score", 6)).first()[0]
+
+
 @pytest.mark.parametrize("limit", [2_000_000, 7])
 def test_clustered_overlaps_are_the_same_pairs(spark, limit):
     features = [("1", 100 + k % 3, 103 + k % 5, k) for k in range(200)] + [("1", 1000 * k, 1000 * k + 5000 * (k % 9), 1000 + k) for k in range(100)]
