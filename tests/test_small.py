@@ -57,6 +57,28 @@ def test_packing_equals_sequential_first_fit(spark, max_rows, same_start):
         assert [got[r[3]] for r in mine] == want
 
 
+@pytest.mark.parametrize("max_rows", [None, 4])
+def test_packing_hands_states_on_and_makes_its_input_once(spark, max_rows):
+    """Many blocks without a gap, some with one, a long feature over several, groups that end inside a block."""
+    rng = random.Random(5)
+    rows = [("a", s := rng.randrange(3000) + (4000 if k % 3 == 0 else 0), s + rng.randrange(1, 90), k) for k in range(1200)]
+    rows += [("a", 500, 2900, 2000), ("b", 7, 9, 2001)] + [("c", 10 * k, 10 * k + rng.randrange(30), 3000 + k) for k in range(150)]
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, schema := "chr string, start long, end long, id long").mapInArrow(counted, schema)
+    got = {r["id"]: r["row"] for r in P.pack_rows(df, ["chr"], tie=["id"], max_rows=max_rows, gap=2, rows_per_block=50).collect()}
+    assert made.value == len(rows)
+    for c in "abc":
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], r[3]))
+        assert [got[r[3]] for r in mine] == first_fit([(r[1], r[2] + 2) for r in mine], max_rows or 10_000)
+    assert P.pack_rows(df.where("false"), ["chr"], tie=["id"]).collect() == []
+
+
 def test_reads_of_a_row_keep_their_distance(spark):
     rng = random.Random(3)
     rows = [("c", s := rng.randrange(3000), s + 50, 50, i) for i in range(400)]
